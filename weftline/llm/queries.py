@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import leakage, neardup, sitelines, tokens
+from weftline.llm import leakage, mainbody, neardup, sitelines, tokens
 from weftline.session import table
 
 
+def _tagged(spark: SparkSession, sf_dir: str, both: bool = False) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    tables = [("pages", pages, "page_id", "url", "markdown")]
+    if both:
+        tables.append(("job_results", table(spark, sf_dir, "job_results"), "id", "url", "markdown"))
+    return mainbody.tagged_tables(tables, pages)[0]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tagged(spark, sf_dir, both=True)
+    return mainbody.furniture(t, "tbl").select("tbl", F.col("id").alias("row_id"), "line_no")
+
+
+def p3_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of every page of both tables."""
+    t = _tagged(spark, sf_dir, both=True)
+    return t.select("tbl", F.col("id").alias("row_id"), mainbody.body_text().alias("body"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neardup.NearDuplicates(table(spark, sf_dir, "job_results"), "id", "markdown", n=3, threshold=0.5)
     return near.pairs().select("id_a", "id_b")
