@@ -7,26 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import leakage, mainbody, neardup, sitelines, tokens
-from weftline.session import table
+from weftline.llm import language, leakage, mainbody, neardup, sitelines, tokens
+from weftline.session import cut, table, written
 
 
-def _tagged(spark: SparkSession, sf_dir: str, both: bool = False) -> DataFrame:
+def _tagged(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """Tagged pages with further columns of theirs."""
     pages = table(spark, sf_dir, "pages")
-    tables = [("pages", pages, "page_id", "url", "markdown")]
-    if both:
-        tables.append(("job_results", table(spark, sf_dir, "job_results"), "id", "url", "markdown"))
+    found = cut(mainbody.notices(mainbody.prepared(pages, "page_id", "url", "markdown")))
+    rows = mainbody.prepared(pages, "page_id", "url", "markdown", *extra)
+    return mainbody.tag(mainbody.with_notices(rows, found), mainbody.train(pages, found), ",".join(extra))
+
+
+def _tagged_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    tables = [("pages", pages, "page_id", "url", "markdown"), ("job_results", table(spark, sf_dir, "job_results"), "id", "url", "markdown")]
     return mainbody.tagged_tables(tables, pages)[0]
 
 
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of each page with language and confidence."""
+    tagged = written(_tagged(spark, sf_dir, "language"), "tagged")
+    return language.stretches(tagged, language.train(tagged, "language"), 16, "language")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(p1_segments(spark, sf_dir), "language").withColumnRenamed("id", "page_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tagged(spark, sf_dir, both=True)
+    t = _tagged_both(spark, sf_dir)
     return mainbody.furniture(t, "tbl").select("tbl", F.col("id").alias("row_id"), "line_no")
 
 
 def p3_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of every page of both tables."""
-    t = _tagged(spark, sf_dir, both=True)
+    t = _tagged_both(spark, sf_dir)
     return t.select("tbl", F.col("id").alias("row_id"), mainbody.body_text().alias("body"))
 
 
