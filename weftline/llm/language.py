@@ -142,6 +142,8 @@ def _sgd(x: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, seed: int
     w = rng.normal(0, 0.1, (DIM, NONE + 1))
     bias = np.zeros(NONE + 1)
     ge, gw = np.full((BUCKETS, 1), 1e-3), 1e-3
+    sizes = np.bincount(y, minlength=NONE + 1)
+    weight = np.sqrt(sizes.max() / np.maximum(sizes, 1)).clip(1, 8)[y]  # rare languages count more
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), 64):
@@ -156,7 +158,7 @@ def _sgd(x: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, seed: int
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(i)), y[i]] -= 1
-            p /= len(i)
+            p *= weight[i, None] / len(i)
             back = (p @ w.T) / n[:, None]
             cells, inv = np.unique(flat, return_inverse=True)
             rank = np.argsort(inv, kind="stable")
@@ -212,10 +214,13 @@ def fit(pages: list[tuple[str, list[str]]], precision: float = 0.995, epochs: in
     def cleaned(rows: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
         """Pages that speak for their label, without the sentences that don't."""
         out = []
-        for code, s in rows:
-            p = first.scores([WORD.findall(t.lower()) for t in s])[:, CODES.index(code)]
-            if p.mean() >= 0.5:
-                out.append((code, [t for t, v in zip(s, p) if v >= 0.3]))
+        for code in CODES:
+            scored = [(s, first.scores([WORD.findall(t.lower()) for t in s])[:, CODES.index(code)]) for c, s in rows if c == code]
+            fits = [x for x in scored if x[1].mean() >= 0.5]
+            if 2 * len(fits) < len(scored):  # a language that the first fit hasn't learned keeps its pages
+                out += [(code, s) for s, _ in scored]
+            else:
+                out += [(code, [t for t, v in zip(s, p) if v >= 0.3]) for s, p in fits]
         return out
 
     kept = cleaned([r for r, h in zip(pages, held) if not h]) or pages
@@ -236,13 +241,13 @@ def fit(pages: list[tuple[str, list[str]]], precision: float = 0.995, epochs: in
     return model
 
 
-def train(tagged: DataFrame, label: str, per_language: int = 150) -> LanguageModel:
+def train(tagged: DataFrame, label: str, per_language: int = 100) -> LanguageModel:
     """Fit on tagged pages (id, p, text, label column)."""
     rows = tagged.select("id", "p", "text", named(F.col(label)).alias("code")).where("code is not null")
     order = Window.partitionBy("code").orderBy(F.xxhash64("id"), "id")
     some = rows.select("id", "code").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     picked = rows.join(F.broadcast(some.select("id")), "id", "left_semi")  # at most per_language ids for each code
-    pages = [(r["code"], sentences(r["text"], r["p"])[:40]) for r in picked.orderBy(F.xxhash64("id"), "id").collect()]
+    pages = [(r["code"], sentences(r["text"], r["p"])[:30]) for r in picked.orderBy(F.xxhash64("id"), "id").collect()]
     return fit([p for p in pages if p[1]])
 
 

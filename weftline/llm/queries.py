@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, leakage, mainbody, neardup, sitelines, tokens
+from weftline.llm import language, leakage, mainbody, neardup, residue, sitelines, textstats, tokens
 from weftline.session import cut, table, written
 
 
@@ -35,6 +35,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.mislabelled(p1_segments(spark, sf_dir), "language").withColumnRenamed("id", "page_id")
 
 
+def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's share of residue, its kind and its placeholders."""
+    return residue.residue(_tagged(spark, sf_dir)).withColumnRenamed("id", "page_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pages(spark, sf_dir).where("found").select("page_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tagged_both(spark, sf_dir)
     return mainbody.furniture(t, "tbl").select("tbl", F.col("id").alias("row_id"), "line_no")
@@ -71,6 +80,19 @@ def p5_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("host", "key", "n", "host_rows", F.round("llr", 3).alias("llr"), F.round("q", 6).alias("q"), "excessive")
 
 
+def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the whole text of each page."""
+    return textstats.statistics(table(spark, sf_dir, "pages"), "page_id", "markdown").withColumnRenamed("id", "page_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = written(_tagged(spark, sf_dir), "tagged")
+    body = tagged.select("id", mainbody.body_text(headlines=False).alias("text"))
+    odd = textstats.statistics(body, "id", "text").where("kind is not null")
+    gone = residue.residue(tagged).where("found").select("id")
+    return odd.join(gone, "id", "left_anti").select(F.col("id").alias("page_id"), "kind")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
