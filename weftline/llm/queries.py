@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, leakage, mainbody, neardup, residue, sitelines, textstats, tokens
+from weftline.llm import language, leakage, mainbody, neardup, residue, sitelines, subjects, textstats, tokens
 from weftline.session import cut, table, written
 
 
@@ -107,6 +107,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_scores(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p9_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of each document with their part of its words."""
+    docs = table(spark, sf_dir, "documents")
+    model = subjects.train(docs, "doc_id", "text", table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+    return subjects.mixtures(docs, "doc_id", "text", model)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_mixtures(spark, sf_dir).where("share >= 0.25").select("doc_id", "subject")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
