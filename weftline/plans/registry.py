@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from weftline.functions.hosts import host
-from weftline.session import table
+from weftline.plans import analytics, urls
 
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return table(spark, sf_dir, "pages").groupBy(host("url").alias("host")).agg(F.count("*").alias("pages"))
+MODULES = [urls, analytics]
+FLAGSHIP = urls.url_dedup_first
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": FLAGSHIP}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
