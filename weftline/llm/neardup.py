@@ -102,96 +102,104 @@ def prob_min_hash(sets: list[np.ndarray], weights: list[np.ndarray], m: int, see
 
 
 def shingled(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, key, sh): rows with at least one shingle; ``key`` is 128 bits of hash of the set, ``sh`` its bytes."""
-    import hashlib
+    """(id, sh): rows with at least one shingle and the bytes of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, sets = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(t, n)
-                if len(s):
-                    raw = s.tobytes()
-                    ids.append(i)
-                    keys.append(hashlib.blake2b(raw, digest_size=16).digest())
-                    sets.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["id", "key", "sh"])
+            sets = [shingles(t, n) for t in b.column(1).to_pylist()]
+            keep = [k for k, s in enumerate(sets) if len(s)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["id", "sh"])
 
-    picked = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col)
-    return picked.mapInArrow(run, "id bigint, key binary, sh binary")
+    return df.mapInArrow(run, "id bigint, sh binary")
 
 
 _CELLS = 4096
 
 
-def frequency_sketch(sets: DataFrame, bits: int) -> np.ndarray:
-    """Counts of rows per cell of a sketch with ``2**bits`` cells. Tasks add up blocks of cells; the driver
-    gets one row of counts per block, the same number however large the corpus."""
+def frequency_sketch(texts: DataFrame, n: int, bits: int) -> tuple[np.ndarray, int]:
+    """Counts of rows per cell of a sketch with ``2**bits`` cells, and the rows with shingles. Tasks add up
+    blocks of cells; the driver gets one row of counts per block, the same number however large the corpus."""
     cells, blocks = 1 << bits, max(1, (1 << bits) // _CELLS)
     per = cells // blocks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total, rows = np.zeros(cells, np.int64), 0
         for b in batches:
-            raw = [x for x in b.column(0).to_pylist()]
-            if raw:
-                all_ = np.frombuffer(b"".join(raw), np.uint64)
-                total += np.bincount((all_ >> np.uint64(64 - bits)).astype(np.int64), minlength=cells)
+            sets = [s for s in (shingles(t, n) for t in b.column(1).to_pylist()) if len(s)]
+            rows += len(sets)
+            if sets:
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=cells)
         part = total.reshape(blocks, per)
         keep = [k for k in range(blocks) if part[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([part[k].tobytes() for k in keep], pa.binary())], names=["block", "counts"])
+        raw = [part[k].tobytes() for k in keep] + [np.array([rows], np.int64).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([*keep, -1], pa.int32()), pa.array(raw, pa.binary())], names=["block", "counts"])
 
     def add(pdf):
         import pandas as pd
 
-        total = np.zeros(per, np.int64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, np.int64)
+        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [0], "counts": [total.tobytes()]})
 
     # In two steps, so that no task holds a block's counts of more than a 64th of all tasks.
     shape = "block int, part int, counts binary"
-    parts = sets.select("sh").mapInArrow(count, "block int, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    parts = texts.mapInArrow(count, "block int, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
     parts = parts.groupBy("block", "part").applyInPandas(add, shape).groupBy("block").applyInPandas(add, shape)
-    out = np.zeros((blocks, per), np.int64)
+    out, rows = np.zeros((blocks, per), np.int64), 0
     for r in parts.collect():
-        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    return out.reshape(-1)
+        x = np.frombuffer(r["counts"], np.int64)
+        if r["block"] < 0:
+            rows = int(x[0])
+        else:
+            out[r["block"]] = x
+    return out.reshape(-1), rows
+
 
+def signed(texts: DataFrame, n: int, rows: int, sketch: np.ndarray | None, bits: int, bands: int, width: int, power: float) -> DataFrame:
+    """(id, key, sig, bands) of the rows with shingles: 128 bits of hash of the set, one byte per register and a
+    hash per band."""
+    import hashlib
 
-def signed(sets: DataFrame, rows: int, sketch: np.ndarray | None, bits: int, bands: int, width: int, power: float) -> DataFrame:
-    """(id, sig, bands): one byte per register and a hash per band."""
     m = bands * width
-    spark = sets.sparkSession
-    table = spark.sparkContext.broadcast(None if sketch is None else np.power(1.0 + np.log(max(rows, 1) / np.clip(sketch, 1, max(rows, 1))), power).astype(np.float32))
+    table = texts.sparkSession.sparkContext.broadcast(
+        None if sketch is None else np.power(1.0 + np.log(max(rows, 1) / np.clip(sketch, 1, max(rows, 1))), power).astype(np.float32)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = table.value
+        number = np.arange(bands, dtype=np.uint64)
         for b in batches:
-            ids, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 256):
-                sets_ = [np.frombuffer(x, np.uint64) for x in raw[at : at + 256]]
+            for at in range(0, len(b), 256):
+                ids, texts_ = (b.column(k).slice(at, 256).to_pylist() for k in (0, 1))
+                sets = [(i, s) for i, s in ((i, shingles(t, n)) for i, t in zip(ids, texts_)) if len(s)]
+                ids, sets_ = [i for i, _ in sets], [s for _, s in sets]
+                if not ids:
+                    continue
                 w = [np.ones(len(s)) if weight is None else weight[(s >> np.uint64(64 - bits)).astype(np.int64)] for s in sets_]
                 sig = prob_min_hash(sets_, w, m)
                 with np.errstate(over="ignore"):
-                    band = np.zeros((len(sets_), bands), np.uint64)
+                    band = np.tile(mix(number + _M3), (len(ids), 1))
                     for k in range(width):
                         band = mix(band * _M2 + sig[:, k::width] + _M1)
                     small = (mix(sig) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at : at + 256], pa.int64()), pa.array([x.tobytes() for x in small], pa.binary()), pa.array(list(band.view(np.int64)), pa.list_(pa.int64()))],
-                    names=["id", "sig", "bands"],
+                    [
+                        pa.array(ids, pa.int64()),
+                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets_], pa.binary()),
+                        pa.array([x.tobytes() for x in small], pa.binary()),
+                        pa.array(list(band.view(np.int64)), pa.list_(pa.int64())),
+                    ],
+                    names=["id", "key", "sig", "bands"],
                 )
 
-    return sets.select("id", "sh").mapInArrow(run, "id bigint, sig binary, bands array<bigint>")
+    return texts.mapInArrow(run, "id bigint, key binary, sig binary, bands array<bigint>")
 
 
 def candidates(sigs: DataFrame, bucket: int, least: int) -> DataFrame:
     """(a, b), a < b: distinct pairs that share a band and agree in at least ``least`` registers."""
-    flat = sigs.select("id", F.posexplode("bands").alias("band", "h"))
-    sizes = flat.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1")
-    flat = flat.join(sizes, ["band", "h"])
-    small = flat.where(F.col("size") <= bucket).groupBy("band", "h").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    flat = sigs.select("id", F.explode("bands").alias("h"))
+    sizes = flat.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    flat = cut(flat.join(sizes, "h"))
+    small = flat.where(F.col("size") <= bucket).groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pairs = small.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b").distinct()
     s = sigs.select("id", "sig")
     both = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
@@ -210,12 +218,12 @@ def candidates(sigs: DataFrame, bucket: int, least: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / bucket).cast("int")
     large = flat.where(F.col("size") > bucket).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id").join(s, "id")
+    large = large.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id").join(s, "id")
 
     def blockwise(key, pdf):
         import pandas as pd
 
-        i, j = key[2], key[3]
+        i, j = key[1], key[2]
         left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
         ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
         if not len(ia) or not len(ib):
@@ -228,7 +236,7 @@ def candidates(sigs: DataFrame, bucket: int, least: int) -> DataFrame:
             b.append(np.maximum(hit, ia[k]))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
-    hot = large.groupBy("band", "h", "i", "j").applyInPandas(blockwise, "a bigint, b bigint")
+    hot = large.groupBy("h", "i", "j").applyInPandas(blockwise, "a bigint, b bigint")
     return near.union(hot).distinct()
 
 
@@ -252,24 +260,32 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, likeness double")
 
 
+MAX_BROADCAST_IDS = 200_000
+
+
 class NearDuplicates:
-    """The links of a collection. ``members`` (id, rep) maps every row with shingles to its class of equal
-    sets; ``links`` (a, b, likeness) are the pairs of classes at or above the threshold."""
+    """The links of a collection. ``members`` (id, rep, copies) maps every row with shingles to its class of equal
+    sets; ``links`` (a, b, likeness) are the pairs of classes at or above the threshold.
+
+    Texts are read three times, for the sketch, the signatures and the sets of the few candidates, as their
+    shingles take more room than they do; nothing of their size is written or shuffled."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, bands: int = 80, width: int = 4,
                  bucket: int = 64, sketch_bits: int = 20, power: float = 2.0):
-        self.sets = written(shingled(df, id_col, text_col, n), "shingles")
-        reps = self.sets.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-        self.members = cut(self.sets.select("id", "key").join(reps, "key").select("id", "rep", "copies"))
-        firsts = self.members.where("id = rep").select("id")
-        self.rep_sets = self.sets.join(firsts, "id", "left_semi")
-        rows = self.sets.count()
-        sketch = frequency_sketch(self.sets, sketch_bits) if sketch_bits and rows else None
-        sigs = written(signed(self.rep_sets, rows, sketch, sketch_bits, bands, width, power), "signatures")
+        texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        sketch, rows = frequency_sketch(texts, n, sketch_bits) if sketch_bits else (None, 0)
+        sigs = written(signed(texts, n, rows, sketch, sketch_bits, bands, width, power), "signatures")
+        first = F.min_by(F.struct("sig", "bands"), "id")
+        reps = cut(sigs.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), first.alias("s")))
+        self.members = cut(sigs.select("id", "key").join(reps.select("key", F.col("id").alias("rep"), "copies"), "key").drop("key"))
         m = bands * width
         low = max(0.05, threshold - 0.06)  # weights may put the weighted likeness a little below the plain one
         least = int(max(1, m * (low - 5 * (low * (1 - low) / m) ** 0.5)))
-        self.links = cut(verified(candidates(sigs, bucket, least), self.sets, threshold))
+        pairs = cut(candidates(reps.select("id", "s.sig", "s.bands"), bucket, least))
+        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        few = ids.count() <= MAX_BROADCAST_IDS
+        sets = written(shingled(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "id", "text", n), "sets")
+        self.links = cut(verified(pairs, sets, threshold))
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b, likeness), id_a < id_b: all pairs of rows, those inside classes included."""
