@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import analytics, urls
+from weftline.plans import analytics, dom, flows, texts, urls
 
-MODULES = [urls, analytics]
+MODULES = [urls, analytics, texts, dom, flows]
 FLAGSHIP = urls.url_dedup_first
 
 
