@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -62,3 +63,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+MAX_BROADCAST_IDS = 200_000
+
+
+def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids``. Ids are counted first: few (a few MB) are broadcast, so that wide
+    rows aren't shuffled; more are joined by key."""
+    ids = ids.select(key).distinct()
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
