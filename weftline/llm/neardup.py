@@ -29,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut, written
+from weftline.session import cut, semi, written
 
 WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 WORD_CACHE = 500_000
 
 
+#: Registers of which a byte is kept for the filter of candidates.
+FILTER_BYTES = 160
+
+
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
@@ -155,8 +159,8 @@ def frequency_sketch(texts: DataFrame, n: int, bits: int) -> tuple[np.ndarray, i
 
 
 def signed(texts: DataFrame, n: int, rows: int, sketch: np.ndarray | None, bits: int, bands: int, width: int, power: float) -> DataFrame:
-    """(id, key, sig, bands) of the rows with shingles: 128 bits of hash of the set, one byte per register and a
-    hash per band."""
+    """(id, key, sig, bands) of the rows with shingles: 128 bits of hash of the set, one byte of each of the first
+    registers and a hash per band."""
     import hashlib
 
     m = bands * width
@@ -180,7 +184,7 @@ def signed(texts: DataFrame, n: int, rows: int, sketch: np.ndarray | None, bits:
                     band = np.tile(mix(number + _M3), (len(ids), 1))
                     for k in range(width):
                         band = mix(band * _M2 + sig[:, k::width] + _M1)
-                    small = (mix(sig) & np.uint64(255)).astype(np.uint8)
+                    small = (mix(sig[:, :FILTER_BYTES]) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
@@ -260,9 +264,6 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, likeness double")
 
 
-MAX_BROADCAST_IDS = 200_000
-
-
 class NearDuplicates:
     """The links of a collection. ``members`` (id, rep, copies) maps every row with shingles to its class of equal
     sets; ``links`` (a, b, likeness) are the pairs of classes at or above the threshold.
@@ -275,16 +276,16 @@ class NearDuplicates:
         texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
         sketch, rows = frequency_sketch(texts, n, sketch_bits) if sketch_bits else (None, 0)
         sigs = written(signed(texts, n, rows, sketch, sketch_bits, bands, width, power), "signatures")
-        first = F.min_by(F.struct("sig", "bands"), "id")
-        reps = cut(sigs.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), first.alias("s")))
-        self.members = cut(sigs.select("id", "key").join(reps.select("key", F.col("id").alias("rep"), "copies"), "key").drop("key"))
-        m = bands * width
+        keys = sigs.select("id", "key")
+        reps = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+        self.members = cut(keys.join(reps, "key").drop("key"))
+        firsts = semi(sigs, self.members.where("id = rep").select("id"), "id")
+        m = min(FILTER_BYTES, bands * width)
         low = max(0.05, threshold - 0.06)  # weights may put the weighted likeness a little below the plain one
         least = int(max(1, m * (low - 5 * (low * (1 - low) / m) ** 0.5)))
-        pairs = cut(candidates(reps.select("id", "s.sig", "s.bands"), bucket, least))
+        pairs = cut(candidates(firsts, bucket, least))
         ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        few = ids.count() <= MAX_BROADCAST_IDS
-        sets = written(shingled(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "id", "text", n), "sets")
+        sets = written(shingled(semi(texts, ids, "id"), "id", "text", n), "sets")
         self.links = cut(verified(pairs, sets, threshold))
 
     def pairs(self) -> DataFrame:
