@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import language, leakage, mainbody, neardup, residue, sitelines, subjects, textstats, tokens
-from weftline.session import cut, table, written
+from weftline.session import cut, semi, table, written
 
 
-def _tagged(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+def _tagged(spark: SparkSession, sf_dir: str, *extra: str, body: bool = False) -> DataFrame:
     """Tagged pages with further columns of theirs."""
     pages = table(spark, sf_dir, "pages")
     found = cut(mainbody.notices(mainbody.prepared(pages, "page_id", "url", "markdown")))
     rows = mainbody.prepared(pages, "page_id", "url", "markdown", *extra)
-    return mainbody.tag(mainbody.with_notices(rows, found), mainbody.train(pages, found), ",".join(extra))
+    return mainbody.tag(mainbody.with_notices(rows, found), mainbody.train(pages, found), ",".join(extra), body)
 
 
 def _tagged_both(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +86,9 @@ def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = written(_tagged(spark, sf_dir), "tagged")
-    body = tagged.select("id", mainbody.body_text(headlines=False).alias("text"))
-    odd = textstats.statistics(body, "id", "text").where("kind is not null")
-    gone = residue.residue(tagged).where("found").select("id")
+    tagged = written(_tagged(spark, sf_dir, body=True), "tagged")
+    odd = cut(textstats.statistics(tagged, "id", "body").where("kind is not null").select("id", "kind"))
+    gone = residue.residue(semi(tagged, odd, "id")).where("found").select("id")
     return odd.join(gone, "id", "left_anti").select(F.col("id").alias("page_id"), "kind")
 
 
