@@ -184,7 +184,7 @@ def read_epub(data: bytes) -> tuple[str, str]:
 
 def read_rtf(data: bytes) -> tuple[str, str]:
     s = data.decode("latin-1")
-    s = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info|pict)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", s)
+    s = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info|pict)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "{}", s)
     s = re.sub(r"\\u(-?\d+)\s?\??", lambda m: chr(int(m[1]) % 65536), s)
     s = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), s)
     s = re.sub(r"\\(?:par|line)\b ?", "\n", s).replace("\\tab ", "\t")

@@ -73,8 +73,9 @@ def circuit_breaker(events: DataFrame, key: str = "user_id", ts: str = "s", ok:
     return fold(events, key, [ts, tie], [ok], lambda: CLOSED, step, f"{key} {kind}, {tie} bigint, state string, passed boolean")
 
 
-def circuit_breaker_stream(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """The same over a stream of (key, event_id, s, ok); state lives in Spark's store for an hour without events."""
+def circuit_breaker_stream(events: DataFrame, key: str = "user_id", forget_ms: int | None = None) -> DataFrame:
+    """The same over a stream of (key, event_id, s, ok). With ``forget_ms`` a key's state goes after so long without
+    events; that needs a trigger that goes on, as a run over what's available would wait for it for ever."""
     shape = f"{key} bigint, event_id bigint, state string, passed boolean"
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -89,10 +90,12 @@ def circuit_breaker_stream(events: DataFrame, key: str = "user_id") -> DataFrame
             at, name, passed = breaker_step(at, r.s, bool(r.ok))
             rows.append((k[0], r.event_id, name, passed))
         state.update((at[0], list(at[1]), at[2]))
-        state.setTimeoutDuration(3_600_000)
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(rows, columns=[key, "event_id", "state", "passed"])
 
-    return events.groupBy(key).applyInPandasWithState(run, shape, "name string, fails array<double>, opened double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy(key).applyInPandasWithState(run, shape, "name string, fails array<double>, opened double", "append", timeout)
 
 
 def seen_stream(urls: DataFrame, key: str = "url", ts: str = "ts", keep: str = "2 hours") -> DataFrame:
