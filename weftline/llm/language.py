@@ -203,7 +203,8 @@ def fit(pages: list[tuple[str, list[str]]], precision: float = 0.995, epochs: in
 
     def learn(rows: list[tuple[str, list[str]]]) -> LanguageModel:
         texts, y = build(rows)
-        e, w, b = _sgd([np.array([g for x in t for g in grams(x)]) for t in texts], y, epochs, rate, seed)
+        rounds = min(4 * epochs, max(epochs, 60_000 // max(1, len(texts))))  # few sentences are seen more often
+        e, w, b = _sgd([np.array([g for x in t for g in grams(x)]) for t in texts], y, rounds, rate, seed)
         return LanguageModel(e @ w, b, 1.0, 0.0)
 
     if not pages:

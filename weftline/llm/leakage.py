@@ -150,8 +150,8 @@ class Index:
         """``df``: documents by key. A seed is rare if it is among the ``keep`` lowest of a window of item words;
         its weight is its inverse document frequency as a part of its item's sum."""
         each = df[np.searchsorted(self.keys, self.seeds)]
-        idf = np.log1p(documents / np.maximum(each, 1))
-        self.weight = idf / np.bincount(self.owner, weights=idf, minlength=len(self.ids))[self.owner]
+        idf = np.log1p(max(1, documents) / np.maximum(each, 1))
+        self.weight = idf / np.maximum(np.bincount(self.owner, weights=idf, minlength=len(self.ids))[self.owner], 1e-12)
         self.rare[:] = False
         for k in range(len(self.ids)):
             mine = np.flatnonzero(self.owner == k)

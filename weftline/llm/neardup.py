@@ -3,7 +3,10 @@
 1. Each text becomes its set of distinct runs of ``n`` words, as sorted 64-bit hashes; texts with equal
    sets form a class and only the class's lowest id goes on.
 2. A count sketch of fixed size (``2**sketch_bits`` cells, whatever the corpus) gives each shingle a
-   document frequency and from it a weight, so that template phrases say little about likeness.
+   document frequency (copies in one task counted once) and from it a weight, so that template phrases say
+   little about likeness. A text most of whose shingles are in a twentieth of the rows or more looks like one of
+   a large group of near copies, whose own phrases are the frequent ones; it gets a second signature without
+   weights, so that the group's links aren't lost.
 3. ProbMinHash: every shingle sends exponential arrivals, at a rate equal to its weight, to random
    registers; a register keeps its first arrival, and a shingle stops once its next arrival comes after
    the latest register (early termination). Two signatures agree in a register with the probability
@@ -91,7 +94,7 @@ def prob_min_hash(sets: list[np.ndarray], weights: list[np.ndarray], m: int, see
     owner = np.repeat(np.arange(len(sets)), sizes)
     t = np.zeros(len(h))
     state = h
-    step = np.uint64(seed) * _M1
+    step = np.uint64(seed * int(_M1) & (1 << 64) - 1)
     with np.errstate(over="ignore"):
         while len(state):
             state = mix(state + step)
@@ -128,8 +131,16 @@ def frequency_sketch(texts: DataFrame, n: int, bits: int) -> tuple[np.ndarray, i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(cells, np.int64), 0
+        seen: set[int] = set()  # copies count once in a task
         for b in batches:
-            sets = [s for s in (shingles(t, n) for t in b.column(1).to_pylist()) if len(s)]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            sets = []
+            for s in (shingles(t, n) for t in b.column(1).to_pylist()):
+                h = hash(s.tobytes())
+                if len(s) and h not in seen:
+                    seen.add(h)
+                    sets.append(s)
             rows += len(sets)
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=cells)
@@ -158,19 +169,49 @@ def frequency_sketch(texts: DataFrame, n: int, bits: int) -> tuple[np.ndarray, i
     return out.reshape(-1), rows
 
 
+def weights(sketch: np.ndarray, rows: int, power: float) -> np.ndarray:
+    """Weight of a cell: the rarer, the higher."""
+    return np.power(1.0 - np.log(np.clip(sketch, 1, rows) / rows), power).astype(np.float32)
+
+
+#: A text most of whose shingles are in this part of the rows may belong to one large group of near copies.
+HOT_PART = 0.05
+
+
+def agreeing(a: list[bytes], b: list[bytes], least: int) -> np.ndarray:
+    """Which pairs of signatures agree in ``least`` registers, in the weighted ones or, where both have them, in
+    the plain ones behind."""
+    out = np.zeros(len(a), bool)
+    if not len(a):
+        return out
+    both = np.array([len(x) > FILTER_BYTES and len(y) > FILTER_BYTES for x, y in zip(a, b)])
+    for start, rows in ((0, np.arange(len(a))), (FILTER_BYTES, np.flatnonzero(both))):
+        if len(rows):
+            x, y = (np.frombuffer(b"".join(s[k][start : start + FILTER_BYTES].ljust(FILTER_BYTES, b"\0") for k in rows), np.uint8).reshape(len(rows), -1) for s in (a, b))
+            out[rows] |= (x == y).sum(axis=1) >= least
+    return out
+
+
 def signed(texts: DataFrame, n: int, rows: int, sketch: np.ndarray | None, bits: int, bands: int, width: int, power: float) -> DataFrame:
     """(id, key, sig, bands) of the rows with shingles: 128 bits of hash of the set, one byte of each of the first
     registers and a hash per band."""
     import hashlib
 
     m = bands * width
-    table = texts.sparkSession.sparkContext.broadcast(
-        None if sketch is None else np.power(1.0 + np.log(max(rows, 1) / np.clip(sketch, 1, max(rows, 1))), power).astype(np.float32)
-    )
+    table = texts.sparkSession.sparkContext.broadcast(None if sketch is None else weights(sketch, max(rows, 1), power))
+
+    limit = float(np.power(1.0 - np.log(HOT_PART), power)) if rows >= 50 else -1.0
+
+    def packed(sig: np.ndarray, salt: np.uint64) -> tuple[list[bytes], list[np.ndarray]]:
+        with np.errstate(over="ignore"):
+            band = np.tile(mix(np.arange(bands, dtype=np.uint64) + salt), (len(sig), 1))
+            for k in range(width):
+                band = mix(band * _M2 + sig[:, k::width] + _M1)
+            small = (mix(sig[:, :FILTER_BYTES]) & np.uint64(255)).astype(np.uint8)
+        return [x.tobytes().ljust(FILTER_BYTES, b"\0") for x in small], list(band.view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = table.value
-        number = np.arange(bands, dtype=np.uint64)
         for b in batches:
             for at in range(0, len(b), 256):
                 ids, texts_ = (b.column(k).slice(at, 256).to_pylist() for k in (0, 1))
@@ -179,18 +220,19 @@ def signed(texts: DataFrame, n: int, rows: int, sketch: np.ndarray | None, bits:
                 if not ids:
                     continue
                 w = [np.ones(len(s)) if weight is None else weight[(s >> np.uint64(64 - bits)).astype(np.int64)] for s in sets_]
-                sig = prob_min_hash(sets_, w, m)
-                with np.errstate(over="ignore"):
-                    band = np.tile(mix(number + _M3), (len(ids), 1))
-                    for k in range(width):
-                        band = mix(band * _M2 + sig[:, k::width] + _M1)
-                    small = (mix(sig[:, :FILTER_BYTES]) & np.uint64(255)).astype(np.uint8)
+                small, band = packed(prob_min_hash(sets_, w, m), _M3)
+                hot = [k for k, x in enumerate(w) if weight is not None and np.median(x) <= limit]
+                if hot:  # and a second time without weights
+                    more, extra = packed(prob_min_hash([sets_[k] for k in hot], [np.ones(len(sets_[k])) for k in hot], m, seed=2), _M2)
+                    for k, s, h in zip(hot, more, extra):
+                        small[k] += s
+                        band[k] = np.concatenate([band[k], h])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets_], pa.binary()),
-                        pa.array([x.tobytes() for x in small], pa.binary()),
-                        pa.array(list(band.view(np.int64)), pa.list_(pa.int64())),
+                        pa.array(small, pa.binary()),
+                        pa.array(band, pa.list_(pa.int64())),
                     ],
                     names=["id", "key", "sig", "bands"],
                 )
@@ -212,8 +254,7 @@ def candidates(sigs: DataFrame, bucket: int, least: int) -> DataFrame:
         for x in batches:
             if not len(x):
                 continue
-            sa, sb = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(len(x), -1) for k in (2, 3))
-            keep = pa.array((sa == sb).sum(axis=1) >= least)
+            keep = pa.array(agreeing(x.column(2).to_pylist(), x.column(3).to_pylist(), least))
             yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], names=["a", "b"])
 
     near = both.select("a", "b", "sa", "sb").mapInArrow(agree, "a bigint, b bigint")
@@ -232,10 +273,10 @@ def candidates(sigs: DataFrame, bucket: int, least: int) -> DataFrame:
         ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
         if not len(ia) or not len(ib):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sa, sb = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1) for x in (left, right))
+        sa, sb = list(left["sig"]), list(right["sig"])
         a, b = [], []
         for k in range(len(ia)):
-            hit = ib[((sa[k] == sb).sum(axis=1) >= least) & (ib != ia[k])]
+            hit = ib[agreeing([sa[k]] * len(sb), sb, least) & (ib != ia[k])]
             a.append(np.minimum(hit, ia[k]))
             b.append(np.maximum(hit, ia[k]))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
@@ -271,7 +312,7 @@ class NearDuplicates:
     Texts are read three times, for the sketch, the signatures and the sets of the few candidates, as their
     shingles take more room than they do; nothing of their size is written or shuffled."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, bands: int = 80, width: int = 4,
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, bands: int = 100, width: int = 4,
                  bucket: int = 64, sketch_bits: int = 20, power: float = 2.0):
         texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
         sketch, rows = frequency_sketch(texts, n, sketch_bits) if sketch_bits else (None, 0)

@@ -120,6 +120,8 @@ def kind(piece: Piece) -> str:
         return "other"
     if not words and not set(s) - set("=-*_|: "):
         return "table" if "|" in s else "other"
+    if n[SYMBOLS] > 0.6 * chars and chars > 25:
+        return "junk"
     item = bool(ITEM.match(s))
     ends = bool(SENTENCE_END.search(piece.tail))
     common = n[COMMONS] / max(1, words)
@@ -133,6 +135,8 @@ def kind(piece: Piece) -> str:
         return "table"
     if n[SYMBOLS] > 0.34 * chars and chars > 12 and common < 0.15:
         return "junk"
+    if n[SYMBOLS] - n[COMMAS] >= 0.22 * chars and chars > 20 and not item and not n[PIPES] and s[:4] != "http" and s[:1] not in "![*_>":
+        return "junk"
     if n[DIGITS] + n[SYMBOLS] > chars / 2 and chars > 20 and n[COMMAS] < 2 and "](" not in s and not n[COMMONS]:
         return "junk"
     if words >= 12 and n[REPEATS] > words / 2 and not n[ENDS]:
