@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import analytics, dom, flows, texts, urls
+from weftline.plans import analytics, dom, flows, lookups, texts, urls
 
-MODULES = [urls, analytics, texts, dom, flows]
+MODULES = [urls, analytics, texts, dom, flows, lookups]
 FLAGSHIP = urls.url_dedup_first
 
 
