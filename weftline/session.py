@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -39,12 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _temporary() -> str:
+    """A folder of this process, gone when it ends."""
+    d = tempfile.mkdtemp(prefix="weftline-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    return d
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = os.path.join(tempfile.gettempdir(), f"weftline-{os.getuid()}", "checkpoint")
-        os.makedirs(d, exist_ok=True)
+    d = spark.conf.get("spark.checkpoint.dir", None) or _temporary()
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(d)
     return d
