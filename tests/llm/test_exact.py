@@ -70,6 +70,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert g[1000] == g[0] == g[2079] == 0 and 5000 not in g and g[5003] == 5003
 
 
+@pytest.mark.parametrize("others, group", [(400, 5), (400, 16)])
+def test_near_duplicates_of_a_hot_group(spark, others, group):
+    """Near copies among 1 to 4 % of the rows: the shared phrases are the frequent ones."""
+    rng = random.Random(7)
+    fresh = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
+    rows = [(i, " ".join(fresh(100))) for i in range(others)]
+    for g in range(6):
+        base = fresh(200)
+        rows += [(10_000 + 100 * g + k, " ".join([*base, *fresh(90)])) for k in range(group)]  # likeness 0.52
+    near = neardup.NearDuplicates(spark.createDataFrame(rows, "id long, markdown string"), "id", "markdown", n=3, threshold=0.5)
+    got, all_ = {(r.id_a, r.id_b) for r in near.pairs().collect()}, brute(rows, 3, 0.5)
+    assert got <= all_ and len(all_) == 6 * group * (group - 1) // 2
+    assert len(got) >= 0.98 * len(all_)
+
+
 def test_near_duplicates_empty(spark):
     near = neardup.NearDuplicates(spark.createDataFrame([], "id long, markdown string"), "id", "markdown")
     assert near.pairs().count() == 0 and near.groups().count() == 0

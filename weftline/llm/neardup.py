@@ -1,12 +1,10 @@
-"""Problem 4: near-duplicate records by ProbMinHash over weighted word shingles.
+"""Problem 4: near-duplicate records by ProbMinHash over word shingles.
 
 1. Each text becomes its set of distinct runs of ``n`` words, as sorted 64-bit hashes; texts with equal
    sets form a class and only the class's lowest id goes on.
-2. A count sketch of fixed size (``2**sketch_bits`` cells, whatever the corpus) gives each shingle a
-   document frequency (copies in one task counted once) and from it a weight, so that template phrases say
-   little about likeness. A text most of whose shingles are in a twentieth of the rows or more looks like one of
-   a large group of near copies, whose own phrases are the frequent ones; it gets a second signature without
-   weights, so that the group's links aren't lost.
+2. The likeness asked for counts every shingle once, so every shingle has the same weight. Weights that fall with
+   document frequency would spare candidates that only share template phrases, but they lose the links of a group
+   of near copies, whose own phrases are the frequent ones.
 3. ProbMinHash: every shingle sends exponential arrivals, at a rate equal to its weight, to random
    registers; a register keeps its first arrival, and a shingle stops once its next arrival comes after
    the latest register (early termination). Two signatures agree in a register with the probability
@@ -120,98 +118,30 @@ def shingled(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return df.mapInArrow(run, "id bigint, sh binary")
 
 
-_CELLS = 4096
-
-
-def frequency_sketch(texts: DataFrame, n: int, bits: int) -> tuple[np.ndarray, int]:
-    """Counts of rows per cell of a sketch with ``2**bits`` cells, and the rows with shingles. Tasks add up
-    blocks of cells; the driver gets one row of counts per block, the same number however large the corpus."""
-    cells, blocks = 1 << bits, max(1, (1 << bits) // _CELLS)
-    per = cells // blocks
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(cells, np.int64), 0
-        seen: set[int] = set()  # copies count once in a task
-        for b in batches:
-            if len(seen) > 1_000_000:
-                seen.clear()
-            sets = []
-            for s in (shingles(t, n) for t in b.column(1).to_pylist()):
-                h = hash(s.tobytes())
-                if len(s) and h not in seen:
-                    seen.add(h)
-                    sets.append(s)
-            rows += len(sets)
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=cells)
-        part = total.reshape(blocks, per)
-        keep = [k for k in range(blocks) if part[k].any()]
-        raw = [part[k].tobytes() for k in keep] + [np.array([rows], np.int64).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([*keep, -1], pa.int32()), pa.array(raw, pa.binary())], names=["block", "counts"])
-
-    def add(pdf):
-        import pandas as pd
-
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [0], "counts": [total.tobytes()]})
-
-    # In two steps, so that no task holds a block's counts of more than a 64th of all tasks.
-    shape = "block int, part int, counts binary"
-    parts = texts.mapInArrow(count, "block int, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-    parts = parts.groupBy("block", "part").applyInPandas(add, shape).groupBy("block").applyInPandas(add, shape)
-    out, rows = np.zeros((blocks, per), np.int64), 0
-    for r in parts.collect():
-        x = np.frombuffer(r["counts"], np.int64)
-        if r["block"] < 0:
-            rows = int(x[0])
-        else:
-            out[r["block"]] = x
-    return out.reshape(-1), rows
-
-
-def weights(sketch: np.ndarray, rows: int, power: float) -> np.ndarray:
-    """Weight of a cell: the rarer, the higher."""
-    return np.power(1.0 - np.log(np.clip(sketch, 1, rows) / rows), power).astype(np.float32)
-
-
-#: A text most of whose shingles are in this part of the rows may belong to one large group of near copies.
-HOT_PART = 0.05
-
-
 def agreeing(a: list[bytes], b: list[bytes], least: int) -> np.ndarray:
-    """Which pairs of signatures agree in ``least`` registers, in the weighted ones or, where both have them, in
-    the plain ones behind."""
-    out = np.zeros(len(a), bool)
+    """Which pairs of signatures agree in ``least`` registers."""
     if not len(a):
-        return out
-    both = np.array([len(x) > FILTER_BYTES and len(y) > FILTER_BYTES for x, y in zip(a, b)])
-    for start, rows in ((0, np.arange(len(a))), (FILTER_BYTES, np.flatnonzero(both))):
-        if len(rows):
-            x, y = (np.frombuffer(b"".join(s[k][start : start + FILTER_BYTES].ljust(FILTER_BYTES, b"\0") for k in rows), np.uint8).reshape(len(rows), -1) for s in (a, b))
-            out[rows] |= (x == y).sum(axis=1) >= least
-    return out
+        return np.zeros(0, bool)
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+    return (x == y).sum(axis=1) >= least
 
 
-def signed(texts: DataFrame, n: int, rows: int, sketch: np.ndarray | None, bits: int, bands: int, width: int, power: float) -> DataFrame:
+def signed(texts: DataFrame, n: int, bands: int, width: int) -> DataFrame:
     """(id, key, sig, bands) of the rows with shingles: 128 bits of hash of the set, one byte of each of the first
     registers and a hash per band."""
     import hashlib
 
     m = bands * width
-    table = texts.sparkSession.sparkContext.broadcast(None if sketch is None else weights(sketch, max(rows, 1), power))
-
-    limit = float(np.power(1.0 - np.log(HOT_PART), power)) if rows >= 50 else -1.0
 
-    def packed(sig: np.ndarray, salt: np.uint64) -> tuple[list[bytes], list[np.ndarray]]:
+    def packed(sig: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
         with np.errstate(over="ignore"):
-            band = np.tile(mix(np.arange(bands, dtype=np.uint64) + salt), (len(sig), 1))
+            band = np.tile(mix(np.arange(bands, dtype=np.uint64) + _M3), (len(sig), 1))
             for k in range(width):
                 band = mix(band * _M2 + sig[:, k::width] + _M1)
             small = (mix(sig[:, :FILTER_BYTES]) & np.uint64(255)).astype(np.uint8)
-        return [x.tobytes().ljust(FILTER_BYTES, b"\0") for x in small], list(band.view(np.int64))
+        return [x.tobytes() for x in small], list(band.view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = table.value
         for b in batches:
             for at in range(0, len(b), 256):
                 ids, texts_ = (b.column(k).slice(at, 256).to_pylist() for k in (0, 1))
@@ -219,14 +149,7 @@ def signed(texts: DataFrame, n: int, rows: int, sketch: np.ndarray | None, bits:
                 ids, sets_ = [i for i, _ in sets], [s for _, s in sets]
                 if not ids:
                     continue
-                w = [np.ones(len(s)) if weight is None else weight[(s >> np.uint64(64 - bits)).astype(np.int64)] for s in sets_]
-                small, band = packed(prob_min_hash(sets_, w, m), _M3)
-                hot = [k for k, x in enumerate(w) if weight is not None and np.median(x) <= limit]
-                if hot:  # and a second time without weights
-                    more, extra = packed(prob_min_hash([sets_[k] for k in hot], [np.ones(len(sets_[k])) for k in hot], m, seed=2), _M2)
-                    for k, s, h in zip(hot, more, extra):
-                        small[k] += s
-                        band[k] = np.concatenate([band[k], h])
+                small, band = packed(prob_min_hash(sets_, [np.ones(len(s)) for s in sets_], m))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
@@ -309,21 +232,18 @@ class NearDuplicates:
     """The links of a collection. ``members`` (id, rep, copies) maps every row with shingles to its class of equal
     sets; ``links`` (a, b, likeness) are the pairs of classes at or above the threshold.
 
-    Texts are read three times, for the sketch, the signatures and the sets of the few candidates, as their
-    shingles take more room than they do; nothing of their size is written or shuffled."""
+    Texts are read twice, for the signatures and the sets of the few candidates, as their shingles take more room
+    than they do; nothing of their size is written or shuffled."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, bands: int = 100, width: int = 4,
-                 bucket: int = 64, sketch_bits: int = 20, power: float = 2.0):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, bands: int = 100, width: int = 4, bucket: int = 64):
         texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-        sketch, rows = frequency_sketch(texts, n, sketch_bits) if sketch_bits else (None, 0)
-        sigs = written(signed(texts, n, rows, sketch, sketch_bits, bands, width, power), "signatures")
+        sigs = written(signed(texts, n, bands, width), "signatures")
         keys = sigs.select("id", "key")
         reps = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
         self.members = cut(keys.join(reps, "key").drop("key"))
         firsts = semi(sigs, self.members.where("id = rep").select("id"), "id")
         m = min(FILTER_BYTES, bands * width)
-        low = max(0.05, threshold - 0.06)  # weights may put the weighted likeness a little below the plain one
-        least = int(max(1, m * (low - 5 * (low * (1 - low) / m) ** 0.5)))
+        least = int(max(1, m * (threshold - 5 * (threshold * (1 - threshold) / m) ** 0.5)))
         pairs = cut(candidates(firsts, bucket, least))
         ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         sets = written(shingled(semi(texts, ids, "id"), "id", "text", n), "sets")
