@@ -70,18 +70,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert g[1000] == g[0] == g[2079] == 0 and 5000 not in g and g[5003] == 5003
 
 
-@pytest.mark.parametrize("others, group", [(400, 5), (400, 16)])
-def test_near_duplicates_of_a_hot_group(spark, others, group):
+@pytest.mark.parametrize("others, groups, group", [(400, 6, 5), (400, 6, 16)])
+def test_near_duplicates_of_a_hot_group(spark, others, groups, group):
     """Near copies among 1 to 4 % of the rows: the shared phrases are the frequent ones."""
     rng = random.Random(7)
     fresh = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
     rows = [(i, " ".join(fresh(100))) for i in range(others)]
-    for g in range(6):
+    for g in range(groups):
         base = fresh(200)
         rows += [(10_000 + 100 * g + k, " ".join([*base, *fresh(90)])) for k in range(group)]  # likeness 0.52
     near = neardup.NearDuplicates(spark.createDataFrame(rows, "id long, markdown string"), "id", "markdown", n=3, threshold=0.5)
     got, all_ = {(r.id_a, r.id_b) for r in near.pairs().collect()}, brute(rows, 3, 0.5)
-    assert got <= all_ and len(all_) == 6 * group * (group - 1) // 2
+    assert got <= all_ and len(all_) == groups * group * (group - 1) // 2
     assert len(got) >= 0.98 * len(all_)
 
 
@@ -138,6 +138,17 @@ def test_leakage(spark):
     assert leakage.leaks(d.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 
 
+def test_leakage_of_a_widely_leaked_part(spark):
+    """Half an item in a third of many documents, and an item known only with every sixth word changed."""
+    one, two = ([f"{p}{k}" for k in range(40)] for p in "pq")
+    half, sixth = " ".join(one[:20]), " ".join("zzz" if k % 6 == 3 else x for k, x in enumerate(two))
+    docs = [(i, f"intro {i} {half} outro" if i % 3 == 0 else f"note {i} of nothing") for i in range(6000)] + [(6000 + i, sixth) for i in range(20)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(d, "doc_id", "text", items, "item_id", "text").collect()}
+    assert got == {(i, 1) for i in range(0, 6000, 3)} | {(6000 + i, 2) for i in range(20)}
+
+
 def test_statistics_of_chunks_equal_whole(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["the", "of", "Bericht.", "x\n", "- item\n", "| a | b |\n", "1234,", "Über", "\n\n"]) for _ in range(300)) for _ in range(6)]

@@ -1,11 +1,9 @@
 """Problem 8: evaluation texts leaking into training text.
 
 Texts become words (entities resolved, compatibility forms folded, lower case, letters and digits only).
-Runs of three item words are the seeds. All runs of each document are looked up in the seed index and
-written with it; from that come the numbers of documents by seed, and in every window of eight item words
-the seeds of the lowest numbers are the rare ones. A document is joined to the items of which it holds a
-rare seed and seeds enough, by item words and by inverse document frequency, to reach the required share
-even if one word in eight is changed; those pairs are scored by Smith-Waterman alignment. An alignment is cut where more than one word in a row is missing, changed or
+Runs of three item words are the seeds. A document is joined to the items of which its seeds cover words enough
+to reach the required share with single words changed; how many documents hold a seed doesn't matter, as a widely
+leaked part of an item counts like any other. Those pairs are scored by Smith-Waterman alignment. An alignment is cut where more than one word in a row is missing, changed or
 inserted; the pieces of at least ``stretch`` item words, best set in the item's order, are added up.
 
 The item index is broadcast. Its size doesn't follow the corpus, but it is checked: items beyond
@@ -28,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.neardup import WORD, _M1, _M2, _words, mix
-from weftline.session import written
 
 SEED = 3
 _HIDDEN = re.compile("[­​-‍⁠﻿]")
@@ -129,8 +126,6 @@ class Index:
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owner, self.pos = seeds[order], owner[order], pos[order]
         self.keys, self.first, self.count = np.unique(self.seeds, return_index=True, return_counts=True)
-        self.rare = np.ones(len(self.seeds), bool)
-        self.weight = np.ones(len(self.seeds))
 
     def lookup(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """For each document the indices into ``keys`` of its distinct runs that are seeds."""
@@ -146,22 +141,8 @@ class Index:
         cuts = np.searchsorted(owner, np.arange(1, len(docs)))
         return [np.unique(x) for x in np.split(at[hit], cuts)]
 
-    def mark_rare(self, df: np.ndarray, documents: int, window: int, keep: int) -> None:
-        """``df``: documents by key. A seed is rare if it is among the ``keep`` lowest of a window of item words;
-        its weight is its inverse document frequency as a part of its item's sum."""
-        each = df[np.searchsorted(self.keys, self.seeds)]
-        idf = np.log1p(max(1, documents) / np.maximum(each, 1))
-        self.weight = idf / np.maximum(np.bincount(self.owner, weights=idf, minlength=len(self.ids))[self.owner], 1e-12)
-        self.rare[:] = False
-        for k in range(len(self.ids)):
-            mine = np.flatnonzero(self.owner == k)
-            mine = mine[np.argsort(self.pos[mine])]
-            for s in range(max(1, len(mine) - (window - SEED))):
-                w = mine[s : s + window - SEED + 1]
-                self.rare[w[np.argsort(each[w], kind="stable")[:keep]]] = True
-
-    def held(self, keys: np.ndarray, share: float) -> list[tuple[int, np.ndarray]]:
-        """The items of which seeds cover words enough, with the places of those seeds."""
+    def candidates(self, keys: np.ndarray, share: float) -> list[int]:
+        """The items of which seeds cover words enough."""
         if len(keys) < 2:
             return []
         size = self.count[keys]
@@ -175,12 +156,9 @@ class Index:
             for k in range(SEED):
                 held[self.pos[mine] + k] = True
             if held.sum() >= 0.56 * share * self.sizes[c]:
-                out.append((c, mine))
+                out.append(c)
         return out
 
-    def candidates(self, keys: np.ndarray, share: float) -> list[int]:
-        return [c for c, mine in self.held(keys, share) if self.rare[mine].any() and self.weight[mine].sum() >= 0.3 * share]
-
 
 def share_held(item: np.ndarray, doc: np.ndarray, stretch: int) -> float:
     """The part of the item's words that the document holds in stretches. Only the document's words from the
@@ -193,7 +171,7 @@ def share_held(item: np.ndarray, doc: np.ndarray, stretch: int) -> float:
 
 
 def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
-          share: float = 0.5, stretch: int = 8, keep: int = 3, block_words: int = 2_000_000) -> DataFrame:
+          share: float = 0.5, stretch: int = 8, block_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, share): the items of which a document holds at least ``share`` in stretches."""
     docs = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
@@ -213,35 +191,20 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     for block in blocks:
         if not block:
             continue
-        index = Index(block)
-        plain = spark.sparkContext.broadcast(index)
+        index = spark.sparkContext.broadcast(Index(block))
 
-        def seed(batches: Iterator[pa.RecordBatch], plain=plain) -> Iterator[pa.RecordBatch]:
-            ix = plain.value
+        def score(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            ix = index.value
             for b in batches:
                 h = [word_hashes(words_of(t)) for t in b.column(1).to_pylist()]
-                keys = ix.lookup(h)
-                words = [x.tobytes() if ix.held(k, share) else None for x, k in zip(h, keys)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], names=["doc_id", "keys", "words"])
-
-        seeded = written(docs.mapInArrow(seed, "doc_id bigint, keys array<bigint>, words binary"), "seeded")
-        df = np.zeros(len(index.keys), np.int64)
-        for r in seeded.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect():
-            df[r["k"]] = r["n"]  # one row for each seed of the block at most
-        index.mark_rare(df, seeded.count(), stretch, keep)
-        marked = spark.sparkContext.broadcast(index)
-
-        def score(batches: Iterator[pa.RecordBatch], marked=marked) -> Iterator[pa.RecordBatch]:
-            ix = marked.value
-            for b in batches:
                 rows: list[tuple[int, int, float]] = []
-                for i, k, w in zip(*(b.column(c).to_pylist() for c in range(3))):
-                    for c in ix.candidates(np.array(k, np.int64), share):
-                        got = share_held(ix.words[c], np.frombuffer(w, np.uint64), stretch)
+                for i, words, keys in zip(b.column(0).to_pylist(), h, ix.lookup(h)):
+                    for c in ix.candidates(keys, share):
+                        got = share_held(ix.words[c], words, stretch)
                         if got >= share:
                             rows.append((i, ix.ids[c], got))
                 d, it, s = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(it, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "item_id", "share"])
 
-        out = out.union(seeded.where("words is not null").mapInArrow(score, shape))
+        out = out.union(docs.mapInArrow(score, shape))
     return out
