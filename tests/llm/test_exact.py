@@ -70,9 +70,9 @@ def test_near_duplicates_equal_brute_force(spark):
     assert g[1000] == g[0] == g[2079] == 0 and 5000 not in g and g[5003] == 5003
 
 
-@pytest.mark.parametrize("others, groups, group", [(400, 6, 5), (400, 6, 16)])
+@pytest.mark.parametrize("others, groups, group", [(400, 6, 5), (400, 6, 16), (35, 1, 10)])
 def test_near_duplicates_of_a_hot_group(spark, others, groups, group):
-    """Near copies among 1 to 4 % of the rows: the shared phrases are the frequent ones."""
+    """Near copies among 1 to 4 % of the rows, or in a small table: the shared phrases are the frequent ones."""
     rng = random.Random(7)
     fresh = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
     rows = [(i, " ".join(fresh(100))) for i in range(others)]
