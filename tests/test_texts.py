@@ -48,3 +48,19 @@ def test_html(spark):
     assert [tuple(r) for r in one(spark, h, H.headings("t"))] == [(2, "H x")]
     assert one(spark, "<p>Please verify you are human</p>", H.looks_blocked("t")) is True
     assert one(spark, "connection refused", H.error_code("t")) == "NETWORK_ERROR"
+
+
+def test_blocked_pages_by_tier(spark):
+    long = lambda n: ("some words of a page " * 200)[:n]
+    head, soft = "<head><script>var a = 'Just a moment';</script></head>", "<body>Page not found</body>"
+    cases = [
+        ("<body>Pardon our interruption</body>", True), ("<body>Robot or human?</body>", True), (f"<body>not a robot {long(700)}</body>", True),
+        (f"{' ' * 5000}<body>captcha, access denied {long(1000)}</body>", False), (f"<body>{long(1000)} Robot or human</body>", True),
+        (f"<body>{long(3500)} just a moment</body>", False), (f"<body>{long(3500)}<i id='PX-captcha'></i></body>", True),
+        (f"{head}<body>{long(1500)}</body>", True), (f"{head}<body>{long(3500)}</body>", False),
+        ("<body>hi<noscript>x</noscript></body>", True), (f"<body>{long(400)}<noscript>x</noscript></body>", False), (soft, True),
+        (f"<body>Page not found {long(600)}</body>", False), ("<title>Google Search</title><body>hi</body>", True),
+        ("<body>Continue shopping. Privacy notice</body>", True), ("<body>Privacy notice</body>", False), ("<body></body>", False), ("", True), (None, True),
+    ]
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, t string").select("i", H.looks_blocked("t").alias("b")).collect()
+    assert {r.i: r.b for r in rows} == {i: b for i, (_, b) in enumerate(cases)}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ def language(html) -> Column:
     return F.regexp_extract(_c(html), r'(?i)<html\b[^>]*\blang="([^"]*)"', 1)
 
 
-#: Phrases of pages that stand between a visitor and the content.
+#: The short list that the SQL of ``page_block_class`` is written from; ``looks_blocked`` has its own.
 BLOCK_PHRASES = """
 access denied
 checking your browser
@@ -70,13 +73,149 @@ unusual traffic
 """.strip().split("\n")
 
 
+#: Marks of a challenge in the source, whatever the length of the text.
+CHALLENGE_MARKS = ["px-captcha", "human-challenge"]
+
+#: Phrases of pages that stand between a visitor and the content, for texts of less than 800 characters.
+SHORT_PHRASES = """
+javascript is disabled
+enable javascript
+requires javascript
+javascript is required
+please enable javascript
+you need to enable javascript
+this page requires javascript
+turn on javascript
+activate javascript
+captcha
+verify you are human
+verify you're human
+are you a robot
+not a robot
+bot detection
+access denied
+please verify
+unusual traffic
+automated access
+checking your browser
+just a moment
+attention required
+please wait while we verify
+ray id
+performance & security by cloudflare
+sucuri website firewall
+pardon our interruption
+press & hold
+blocked by
+we need to verify that you're not a robot
+sorry, we just need to make sure
+one more step
+please click here if you are not redirected
+if you are not redirected within
+having trouble accessing google
+your connection needs to be verified
+connection is being verified
+please verify your identity
+robot or human
+activate and hold
+confirm that you're human
+confirm you are human
+""".strip().split("\n")
+
+#: Those that ordinary texts of 800 to 3000 characters don't hold.
+STRONG_PHRASES = """
+checking your browser
+just a moment
+attention required
+please wait while we verify
+performance & security by cloudflare
+sucuri website firewall
+your connection needs to be verified
+robot or human
+activate and hold
+confirm that you're human
+confirm you are human
+""".strip().split("\n")
+
+#: Those that tell by the first 5000 characters of the source.
+HEAD_PHRASES = """
+javascript is disabled
+enable javascript
+attention required
+just a moment
+checking your browser
+please wait while we verify
+verify you are human
+are you a robot
+not a robot
+please click here if you are not redirected
+having trouble accessing google
+""".strip().split("\n")
+
+#: Two of these in a text of less than 500 characters are a store's page without a session.
+STORE_PHRASES = ["continue shopping", "conditions of use", "privacy notice"]
+
+#: Texts of less than 500 characters that say the page is gone.
+GONE_PHRASES = """
+page not found
+page doesn't exist
+page does not exist
+this page isn't available
+this page is not available
+no longer available
+has been removed
+has been deleted
+404 - not found
+404 not found
+error 404
+sorry, we couldn't find
+sorry, we could not find
+the page you requested
+the page you were looking for
+nothing here
+content not found
+""".strip().split("\n")
+
+
+BODY = r"(?is)<body[^>]*>(.*?)</body>"
+#: White space of any script, separators of the control characters included.
+BLANK = r"(?U)[\s\x1c-\x1f]+"
+
+
+def body_text(html) -> Column:
+    """Text of the body (without one, of all) in lower case."""
+    h = _c(html)
+    x = F.when(h.rlike(BODY), F.regexp_extract(h, BODY, 1)).otherwise(h)
+    for name in ("script", "style", "noscript"):
+        x = F.regexp_replace(x, rf"(?is)<{name}[^>]*>.*?</{name}>", " ")
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, TAG, " "), BLANK, " ")))
+
+
 def looks_blocked(html) -> Column:
-    """No text, or little of it with a phrase of a barrier; long pages never."""
-    t = F.lower(F.substring(visible_text(html), 1, 5000))
-    hit = F.lit(False)
-    for p in BLOCK_PHRASES:
-        hit = hit | t.contains(p)
-    return F.when(F.length(visible_text(html)) == 0, True).when(F.length(visible_text(html)) > 3000, False).otherwise(hit)
+    """Pages that stand between a visitor and the content: no source, marks of a challenge, or phrases that count
+    by the length of the text; above 3000 characters only the marks count."""
+    h = _c(html)
+
+    def any_(x: Column, phrases: list[str]) -> Column:
+        return functools.reduce(operator.or_, [x.contains(p) for p in phrases])
+
+    def tiers(x: Column) -> Column:
+        text, source, size = x["text"], x["source"], F.length(x["text"])
+        store = functools.reduce(operator.add, [text.contains(p).cast("int") for p in STORE_PHRASES])
+        return (
+            F.when(any_(source, CHALLENGE_MARKS), True)
+            .when(size > 3000, False)
+            .when((size >= 800) & any_(text, STRONG_PHRASES), True)
+            .when((size < 800) & any_(text, SHORT_PHRASES), True)
+            .when(any_(x["head"], HEAD_PHRASES), True)
+            .when((size < 300) & source.contains("<noscript"), True)
+            .when(size < 500, x["title"].contains("google") | (store >= 2) | any_(text, GONE_PHRASES))
+            .otherwise(False)
+        )
+
+    # As an element of an array, so that the texts are made once and not for each phrase.
+    parts = F.struct(body_text(h).alias("text"), F.lower(h).alias("source"), F.lower(F.substring(h, 1, 5000)).alias("head"), F.lower(F.regexp_extract(h, TITLE, 1)).alias("title"))
+    return F.when(h.isNull() | (h == ""), True).otherwise(F.transform(F.array(parts), tiers)[0])
 
 
 def error_code(message) -> Column:
