@@ -183,3 +183,11 @@ def test_operators_take_long_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "the same text of five words")] * 3, "id long, text string")
     assert textstats.statistics(df, "id", "text").count() == 3
     assert df.select(F.count("*")).first()[0] == 3
+
+
+def test_statistics_of_long_texts_with_repeated_and_null_ids(spark):
+    rows = [(1, "the same words " * 40), (1, "the same words " * 40), (1, "other " * 200), (None, "a " * 300), (None, "b " * 400), (2, "short")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    cols = ["id", "words", "chars"]
+    whole, parts = (sorted(map(str, textstats.statistics(df, "id", "text", chunk=c).select(cols).collect())) for c in (65_536, 97))
+    assert parts == whole and len(parts) == 6

@@ -235,7 +235,7 @@ def derive(p: Partial) -> tuple:
 
 
 def statistics(df: DataFrame, id_col: str, text_col: str, chunk: int = 65_536) -> DataFrame:
-    """One row of statistics for each row of ``df`` with text; ids must be unique for texts above ``chunk``."""
+    """One row of statistics for each row of ``df`` with text; repeated and null ids keep a row each."""
     import json
 
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -251,8 +251,8 @@ def statistics(df: DataFrame, id_col: str, text_col: str, chunk: int = 65_536) -
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            states = [json.dumps(Partial(t).state()) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(states, pa.string())], names=["id", "no", "state"])
+            states = [json.dumps(Partial(t).state()) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(states, pa.string())], names=["row", "id", "no", "state"])
 
     def merged(pdf) -> Partial:
         out = None
@@ -264,16 +264,18 @@ def statistics(df: DataFrame, id_col: str, text_col: str, chunk: int = 65_536) -
     def group(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"id": pdf["id"].iloc[:1], "no": [int(pdf["no"].min())], "state": [json.dumps(merged(pdf).state())]})
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "id": pdf["id"].iloc[:1], "no": [int(pdf["no"].min())], "state": [json.dumps(merged(pdf).state())]})
 
     def last(pdf):
         import pandas as pd
 
-        return pd.DataFrame([(pdf["id"].iloc[0], *derive(merged(pdf).finish()))], columns=NAMES)
+        return pd.DataFrame([(None if pdf["id"].isna().iloc[0] else pdf["id"].iloc[0], *derive(merged(pdf).finish()))], columns=NAMES)
 
     small = rows.where(F.length("text") <= chunk).mapInArrow(whole, SHAPE)
     cuts = F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))
-    large = rows.where(F.length("text") > chunk).select("id", "text", F.explode(cuts).alias("no"))
-    large = large.select("id", "no", F.expr(f"substring(text, no * {chunk} + 1, {chunk})").alias("piece")).mapInArrow(part, "id bigint, no int, state string")
-    tree = large.withColumn("up", F.floor(F.col("no") / 64)).groupBy("id", "up").applyInPandas(group, "id bigint, no int, state string")
-    return small.union(tree.groupBy("id").applyInPandas(last, SHAPE))
+    parts = "row bigint, id bigint, no int, state string"
+    large = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())  # ids may repeat
+    large = large.select("row", "id", "text", F.explode(cuts).alias("no"))
+    large = large.select("row", "id", "no", F.expr(f"substring(text, no * {chunk} + 1, {chunk})").alias("piece")).mapInArrow(part, parts)
+    tree = large.withColumn("up", F.floor(F.col("no") / 64)).groupBy("row", "up").applyInPandas(group, parts)
+    return small.union(tree.groupBy("row").applyInPandas(last, SHAPE))
