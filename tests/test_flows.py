@@ -26,6 +26,13 @@ def test_best_first_and_depth_first(spark):
     assert [r.url for r in got] == ["p0", "p5", "p9", "p3", "p4"]
 
 
+def test_best_first_query_visits_twenty_rounds(spark, sf_dir):
+    from weftline.plans import flows
+
+    rows = flows.graph_best_first(spark, sf_dir).collect()  # the first round has the seed only
+    assert max(r["round"] for r in rows) == 19 and len({r.url for r in rows}) == len(rows) == 191 and max(r.depth for r in rows) <= 5
+
+
 def test_breaker_states():
     state, seen = S.CLOSED, []
     for t, ok in [(0, False), (1, False), (2, False), (3, False), (4, False), (5, True), (35, False), (36, True), (70, True), (71, False)]:

@@ -28,9 +28,10 @@ def graph_bfs(s, d):
 
 
 def graph_best_first(s, d):
-    """Twenty rounds of the best ten nodes by number."""
+    """Twenty rounds of the best ten nodes by number. Depth is bounded, as a crawl's is: nodes five links from the
+    seed are visited but their links aren't followed."""
     score = -F.regexp_extract("url", r"(\d+)", 1).cast("double")
-    return G.best_first(_trade(s, d), s.createDataFrame([("s1",)], "url string"), score, 10, 4, 5)
+    return G.best_first(_trade(s, d), s.createDataFrame([("s1",)], "url string"), score, 10, 20, 5)
 
 
 def graph_dfs(s, d):
