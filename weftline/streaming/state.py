@@ -1,7 +1,7 @@
-"""Stateful operators: circuit breaker, rate limit, seen set, smoothed times, monitors.
+"""Stateful operators: circuit breaker, seen set, windows and sessions.
 
-Each is one step function over a small state. In batch the rows are sorted by key and time inside partitions
-and folded in one pass of constant memory; in a stream the same step runs in ``applyInPandasWithState``.
+The circuit breaker is one step function over a small state. In batch the rows are sorted by key and time inside
+partitions and folded in one pass of constant memory; in a stream the same step runs in ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
