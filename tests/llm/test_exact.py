@@ -150,18 +150,25 @@ def test_leakage_of_a_widely_leaked_part(spark):
 
 
 def test_statistics_of_chunks_equal_whole(spark):
+    """All columns, the kind included, over all pages and odd texts, wherever the text is cut."""
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["the", "of", "Bericht.", "x\n", "- item\n", "| a | b |\n", "1234,", "Über", "\n\n"]) for _ in range(300)) for _ in range(6)]
-    rows = list(enumerate([*texts, None, "", "\n \n", "a" * 5000, "the " * 3000]))
+    rows = list(enumerate([*texts, None, "", "\n \n", "a" * 5000, "the " * 3000, ' .  " X\t\tb  c. D', "x.  “Y” z.  (W\n- a  b\tc", "one. " * 40 + "Two"]))
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "id long, text string, words int")
-    cols = ["id", "words", "chars", "lines", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_lines", "common_words"]
-    whole = {r.id: tuple(r) for r in textstats.statistics(df, "id", "text").select(cols).collect()}
-    parts = {r.id: tuple(r) for r in textstats.statistics(df, "id", "text", chunk=97).select(cols).collect()}
-    assert set(whole) == {i for i, t in rows if t is not None}
-    for i in whole:
-        assert parts[i] == pytest.approx(whole[i]), i
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").selectExpr("page_id + 1000 as id", "markdown as text", "0 as words")
+    df = df.union(pages).cache()
+    whole = {r.id: tuple(r) for r in textstats.statistics(df, "id", "text").collect()}
+    for chunk in (97, 1000):
+        assert {r.id: tuple(r) for r in textstats.statistics(df, "id", "text", chunk=chunk).collect()} == whole
+    assert set(whole) >= {i for i, t in rows if t is not None} and 6 not in whole
     assert whole[0][1] == len(re.findall(r"[^\W_]+", texts[0]))
-    assert whole[7][1:4] == (0, 0, 0)
+    assert whole[8][1:4] == (0, 0, 0)
+    for text in (*texts, rows[11][1]):  # cut at every third character, merged in any order
+        parts = [textstats.Partial(text[i : i + 3]) for i in range(0, len(text), 3)]
+        while len(parts) > 1:
+            k = rng.randrange(len(parts) - 1)
+            parts[k : k + 2] = [parts[k].merge(parts[k + 1])]
+        assert textstats.derive(parts[0].finish()) == textstats.derive(textstats.Partial(text).finish())
 
 
 @pytest.mark.parametrize(

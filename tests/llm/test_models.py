@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def tagged(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    t, model = mainbody.tagged_tables([("pages", pages, "page_id", "url", "markdown")], pages)
+    t, model = mainbody.tagged_tables([("pages", pages, "page_id", "url", "markdown", "html")], pages)
     rows = t.collect()
     html = {r.page_id: r.html for r in pages.select("page_id", "html").collect()}
     return rows, model, html
@@ -42,7 +42,7 @@ def test_main_body_held_out_layout(tagged):
         h = html[r.id] or ""
         if 'id="content"' in h:
             page = mainbody.Page(r.text)
-            y = mainbody.label(page, re.sub(r'<div id="content"', "<main", re.sub(r'<div (?!id="content")[^>]*>', "<div promo>", h)))
+            y = mainbody.label(page, re.sub(r'<div id="content"', "<main", re.sub(r'<div (?!id="content")[^>]*>', '<div class="promo">', h)))
             for n, v in zip(page.numbers, y if y is not None else []):
                 if v >= 0:
                     total += 1
@@ -59,6 +59,7 @@ def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     k = mainbody.STATES
     model = mainbody.Model(rng.normal(size=(mainbody.SIZE, k)).astype(np.float32), np.log(np.ones(k) / k), rng.random(k), rng.random((k, k)), rng.random((k, k)), rng.random(k))
+    model.v = None
     page = mainbody.Page("a b\nc d\n\ne f\n\ng h\ni j")
     e = np.exp(model.logits([page], [frozenset()]))
     got = model.marginals([page], [frozenset()])[0]
@@ -70,6 +71,35 @@ def test_marginals_equal_enumeration():
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def test_element_marginals_equal_enumeration():
+    """Sum-product over elements and lines against the sum over all assignments."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    k, m = mainbody.STATES, mainbody.STATES + 1
+    v = rng.normal(size=(1 << mainbody.BITS, m)).astype(np.float32)
+    model = mainbody.Model(
+        rng.normal(size=(mainbody.SIZE, k)).astype(np.float32), np.log(np.ones(k) / k), *[rng.random(k)] * 4,
+        v, np.log(np.ones(m) / m), rng.random(m), rng.random((3, m, m)), rng.random((m, k)),
+    )
+    page = mainbody.Page("one\n\ntwo three\n\nfour", "<body><div><p>one</p><p>two <b>three</b></p></div><p>four</p></body>")
+    assert page.node == [2, 3, 4] and page.tree.parent == [-1, 0, 1, 1, 0]
+    e = np.exp(model.logits([page], [frozenset()]))
+    z = np.stack([v[mainbody.element_features(page.tree.look(n, True))].sum(axis=0) for n in range(5)]).astype(float)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    own = np.exp(mainbody.emissions(z, model.v_prior))
+    # Of elements 0 to 4: 1 is the first child of 0, 2 of 1; 3 follows 2 and 4 follows 1, both without elements inside.
+    want = np.zeros((3, k))
+    for s in itertools.product(range(m), repeat=5):
+        p = model.root[s[0]] * np.prod([own[i, s[i]] for i in range(5)]) * model.edges[0, s[0], s[1]] * model.edges[0, s[1], s[2]] * model.edges[1, s[2], s[3]] * model.edges[1, s[1], s[4]]
+        sums = [(model.leaf[s[n]] * e[i]).sum() for i, n in enumerate(page.node)]
+        for i, n in enumerate(page.node):
+            want[i] += p * model.leaf[s[n]] * e[i] * np.prod(sums) / sums[i]
+    assert np.allclose(model.marginals([page], [frozenset()])[0], want / want.sum(axis=1, keepdims=True), atol=1e-5)
+
+
 def test_main_body_odd_rows(spark, tagged):
     _, model, _ = tagged
     rows = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "\n\n", 0), (4, "word " * 50_000, 0), (4, "# A", 0)], "page_id long, markdown string, p int").withColumn("url", F.lit(None).cast("string"))
@@ -116,6 +146,11 @@ def test_language_held_out(spark, tagged):
     segs = language.stretches(spark.createDataFrame([(1, [1.0, None, 1.0], SAMPLE["en"] + "\n\n" + SAMPLE["de"], "fr"), (2, [], "", None)], "id long, p array<float>, text string, label string"), m, 16, "label")
     assert [(r.lang, r.running) for r in segs.orderBy("seg_no").collect()] == [("en", True), ("de", True)]
     assert sorted(tuple(r) for r in language.mislabelled(segs, "label").collect()) == [(1, "de"), (1, "en")]
+    odd = [(1, [1.0], SAMPLE["en"] + " Yes.", "t", "fr"), (2, [], "", None, None), (3, [1.0], "- Der Server und die Schnittstelle", None, None), (4, [1.0], "Yes. " + SAMPLE["en"], "t", "fr")]
+    odd = spark.createDataFrame(odd, "id long, p array<float>, text string, title string, label string")
+    docs = {r.id: (r.lang, r.basis) for r in language.documents(odd, m).collect()}
+    assert docs == {1: ("en", "running"), 2: ("und", "none"), 3: ("de", "lines"), 4: ("en", "running")}
+    assert {r.id: (r.sentences, r.words) for r in language.stretches(odd, m).collect()} == {1: (2, 24), 4: (2, 24)}
 
 
 @pytest.mark.parametrize("label, code", [("en-GB", "en"), ("Español", "es"), ("pt_BR", "pt"), ("deu", "de"), ("und", None), ("", None), (None, None), ("x-default", None), ("N/A", None)])
@@ -138,14 +173,43 @@ PROSE = "The careful parser reads its settings at start-up. The queue worker wri
     ],
 )
 def test_residue(text, found):
-    share, _, marks = residue.judge(residue.ResidueIndex(), text, [1.0] * (text.count("\n") + 1), 0.55, 0.3)
+    share, _, marks = residue.judge(residue.ResidueIndex(), text, [1.0] * (text.count("\n") + 1), 0.35)
     assert (share >= 0.3 or marks > 0) is found
 
 
 def test_residue_rows(spark):
     df = spark.createDataFrame([(1, [1.0], "Page not found", 0), (2, [], "", 0), (3, [0.0], "menu", 0)], "id long, p array<float>, text string, share int")
     assert {r.id: r.found for r in residue.residue(df).collect()} == {1: True, 2: False, 3: False}
+    more = df.selectExpr("*", "cast(null as string) as title", "cast(null as int) as status_code")
+    assert {r.id: r.found for r in residue.residue(more).collect()} == {1: True, 2: False, 3: False}
+
 
+def test_residue_without_exemplars_that_stand_in_the_tables(tagged):
+    """Recall on the pages found, once every exemplar sentence that occurs in the tables word for word is gone."""
+    rows, _, _ = tagged
+
+    def folded(s):
+        return " ".join(x for x in residue.terms(s) if " " not in x)
+
+    there = {folded(s) for r in rows for line in r.text.split("\n") for s in residue.SENTENCE.split(residue.MARK.sub("", line))}
+    kept = []
+    for kind, lang, text in residue.EXEMPLARS:
+        parts = [text] if kind == "placeholder" else [s for s in residue.SENTENCE.split(text) if folded(s) not in there]
+        if parts:
+            kept.append((kind, lang, " ".join(parts)))
+    assert sum(len(t) for *_, t in kept) > 0.9 * sum(len(t) for *_, t in residue.EXEMPLARS)  # few stand there at all
+    full, less = residue.ResidueIndex(), residue.ResidueIndex(kept)
+    found = [r for r in rows for s, _, n in [residue.judge(full, r.text, r.p, 0.35)] if s >= 0.3 or n]
+    again = [r for r in found for s, _, n in [residue.judge(less, r.text, r.p, 0.35)] if s >= 0.3 or n]
+    assert len(found) >= 30 and len(again) >= 0.9 * len(found)
+
+
+@pytest.mark.parametrize(
+    "span, form",
+    [("{{ user.name }}", "{{name"), ("${name}", "${name"), ("[PRODUCT NAME]", "[UPPER"), ("[insert name]", "[ask"), ("[1]", None), ("[see there]", None), ("{a, b}", None), ("__NAME__", "__name"), ("%NAME%", "%name"), ("<%= name %>", "<%name")],
+)
+def test_placeholder_forms(span, form):
+    assert residue.form(span) == form
 
 def test_subjects_held_out(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")

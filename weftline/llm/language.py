@@ -11,12 +11,16 @@ hash of their id). Labels are partly wrong and pages partly mixed: after a first
 for another language, and single sentences that do, are left out and the model is fitted again. The class of no language is trained on words drawn at
 random: letters, pseudo-Latin filler, and the training words with their letters in another order.
 
-Only running text of the main body is read: no headings, lists, tables, code, or lines that don't end as
-sentences do. Successive sentences of one language form a stretch; two sentences and ``min_words`` words make
-it running text.
+Only running text of the main body is read for stretches: no headings, lists, tables, code, or lines that don't end as
+sentences do. Successive sentences of one language form a stretch; a sentence of one word belongs to the stretch before it
+(at the beginning, after it); two sentences and ``min_words`` words make it running text. ``documents`` gives every page a language: the one
+of most words of its running text, and where there is none that of its main body's lines (headings, lists, tables) and title.
 
-Defined results: null text gives no row; a page without running text has no stretch; of two languages with
-equally many words the first in the alphabet is the page's; repeated rows give repeated results.
+The languages are the eight of ``NAMES``; text in another one is rejected (``und``) or, if close, taken for one of them.
+
+Defined results: null text gives no row; a page without running text has no stretch, but a row among the documents, with
+``und`` and confidence 0 where it has no words; of two languages with equally many words the first in the alphabet is the
+page's; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.mainbody import Scores
+
 #: The languages with the codes and names that label them.
 NAMES = {
     "en": "en eng english anglais englisch inglés inglese inglês engels английский",
@@ -95,35 +101,30 @@ def sentences(text: str, p: list[float | None]) -> list[str]:
 class LanguageModel:
     def __init__(self, table: np.ndarray, bias: np.ndarray, temperature: float, threshold: float):
         self.table, self.bias, self.temperature, self.threshold = table, bias, temperature, threshold
-        self.cache: dict[str, np.ndarray] = {}
+        self.words = self._sums()
+
+    def _sums(self) -> Scores:
+        """Sums of the buckets' class scores by word, and at the end their number."""
+        return Scores(np.hstack([self.table, np.ones((len(self.table), 1))]), grams)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.cache = {}
-
-    def _word(self, word: str) -> np.ndarray:
-        """Sum of the buckets' class scores, and at the end their number."""
-        v = self.cache.get(word)
-        if v is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            g = grams(word)
-            v = self.cache[word] = np.append(self.table[g].sum(axis=0), len(g))
-        return v
+        self.words = self._sums()
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         """Class probabilities of sentences given as words; without words all mass is on no language."""
         out = np.zeros((len(texts), NONE + 1))
         out[:, NONE] = 1
-        for k, words in enumerate(texts):
-            if words:
-                v = np.sum([self._word(w) for w in words], axis=0)
-                z = (v[:-1] / v[-1] + self.bias) / self.temperature
-                z = np.exp(z - z.max())
-                out[k] = z / z.sum()
+        some = [k for k, words in enumerate(texts) if words]
+        if some:
+            starts = np.cumsum([0] + [len(texts[k]) for k in some[:-1]])
+            v = np.add.reduceat(self.words.of([w for k in some for w in texts[k]]).astype(np.float64), starts, axis=0)
+            z = (v[:, :-1] / v[:, -1:] + self.bias) / self.temperature
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            out[some] = z / z.sum(axis=1, keepdims=True)
         return out
 
     def label(self, texts: list[str]) -> list[tuple[str, float, int]]:
@@ -178,7 +179,7 @@ def fit(pages: list[tuple[str, list[str]]], precision: float = 0.995, epochs: in
     rng = np.random.default_rng(seed)
 
     def junk(n: int) -> list[list[str]]:
-        own = [w for _, s in pages[:200] for t in s[:6] for w in WORD.findall(t.lower())] or LATIN
+        own = [w for _, s in pages for t in s for w in WORD.findall(t.lower())] or LATIN
         made = []
         for k in range(n):
             size = int(rng.integers(4, 24))
@@ -242,13 +243,14 @@ def fit(pages: list[tuple[str, list[str]]], precision: float = 0.995, epochs: in
     return model
 
 
-def train(tagged: DataFrame, label: str, per_language: int = 100) -> LanguageModel:
-    """Fit on tagged pages (id, p, text, label column)."""
+def train(tagged: DataFrame, label: str, per_language: int = 100, per_page: int = 30) -> LanguageModel:
+    """Fit on tagged pages (id, p, text, label column): at most ``per_language`` pages of each language, and of each the
+    first ``per_page`` sentences. Both bound the sample for fitting only."""
     rows = tagged.select("id", "p", "text", named(F.col(label)).alias("code")).where("code is not null")
     order = Window.partitionBy("code").orderBy(F.xxhash64("id"), "id")
     some = rows.select("id", "code").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     picked = rows.join(F.broadcast(some.select("id")), "id", "left_semi")  # at most per_language ids for each code
-    pages = [(r["code"], sentences(r["text"], r["p"])[:30]) for r in picked.orderBy(F.xxhash64("id"), "id").collect()]
+    pages = [(r["code"], sentences(r["text"], r["p"])[:per_page]) for r in picked.orderBy(F.xxhash64("id"), "id").collect()]
     return fit([p for p in pages if p[1]])
 
 
@@ -261,12 +263,23 @@ def stretches(tagged: DataFrame, model: LanguageModel, min_words: int = 16, *ext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for x in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
             out = []
-            for p, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            parts = [sentences(text, p) for p, text in zip(x.column(1).to_pylist(), x.column(2).to_pylist())]
+            labels = iter(m.label([s for page in parts for s in page]))
+            for page in parts:
                 segs: list[dict] = []
-                found = [x for x in m.label(sentences(text, p)) if x[2] >= 2]
-                for k, (lang, conf, n) in enumerate(found):
+                every = [next(labels) for _ in page]
+                found = [y for y in every if y[2] >= 2]
+                k, before = -1, 0
+                for lang, conf, n in every:
+                    if n < 2:  # says too little of its own
+                        if segs:
+                            segs[-1]["short"] += n
+                        else:
+                            before += n
+                        continue
+                    k += 1
                     if lang == "und" and 0 < k < len(found) - 1 and found[k - 1][0] == found[k + 1][0]:
                         lang = found[k - 1][0]  # one rejected sentence doesn't part a stretch
                     if segs and segs[-1]["lang"] == lang:
@@ -275,17 +288,57 @@ def stretches(tagged: DataFrame, model: LanguageModel, min_words: int = 16, *ext
                         s["sentences"] += 1
                         s["words"] += n
                     else:
-                        segs.append({"seg_no": len(segs) + 1, "lang": lang, "confidence": conf * n, "sentences": 1, "words": n})
+                        segs.append({"seg_no": len(segs) + 1, "lang": lang, "confidence": conf * n, "sentences": 1, "words": n, "short": 0})
+                if segs:
+                    segs[0]["short"] += before
                 for s in segs:
                     s["confidence"] = round(s["confidence"] / s["words"], 4)
+                    s["words"] += s.pop("short")
                     s["running"] = s["lang"] != "und" and s["sentences"] >= 2 and s["words"] >= min_words
                 out.append(segs)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind), *(b.column(3 + k) for k in range(len(extra)))], names=["id", "segs", *extra])
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(out, kind), *(x.column(3 + k) for k in range(len(extra)))], names=["id", "segs", *extra])
 
     made = tagged.select("id", "p", "text", *extra).mapInArrow(run, f"id bigint, segs {seg}{more}")
     return made.select("id", *extra, F.inline("segs"))
 
 
+def documents(tagged: DataFrame, model: LanguageModel, title: str = "title", *extra: str) -> DataFrame:
+    """(id, lang, confidence, basis, extra columns): a row for every tagged page. ``basis`` is what was read: ``running``
+    text, else the ``lines`` of the main body and the title, else ``none``. The confidence is the mean of the words' sentences,
+    those of other languages as none."""
+    shared = tagged.sparkSession.sparkContext.broadcast(model)
+    more = "".join(f", {c} {tagged.schema[c].dataType.simpleString()}" for c in extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for x in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
+            parts, basis = [], []
+            for p, text, head in zip(*(x.column(k).to_pylist() for k in (1, 2, 3))):
+                read = sentences(text, p)
+                basis.append("running" if read else "lines")
+                parts.append(read or [*(line for line, v in zip(text.split("\n"), p) if v is not None and v >= 0.5), head or ""])
+            labels = iter(m.label([s for page in parts for s in page]))
+            langs, confs = [], []
+            for k, page in enumerate(parts):
+                words: dict[str, list[float]] = {}
+                total = 0
+                for lang, conf, n in [next(labels) for _ in page]:
+                    total += n
+                    w = words.setdefault(lang, [0, 0.0])
+                    w[0] += n
+                    w[1] += n * conf
+                known = [c for c in words if c != "und" and words[c][0]]
+                best = min(known, key=lambda c: (-words[c][0], c)) if known else "und"
+                langs.append(best)
+                confs.append(round(words[best][1] / total, 4) if total else 0.0)
+                if not total:
+                    basis[k] = "none"
+            cols = [x.column(0), pa.array(langs, pa.string()), pa.array(confs, pa.float64()), pa.array(basis, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *(x.column(4 + k) for k in range(len(extra)))], names=["id", "lang", "confidence", "basis", *extra])
+
+    return tagged.select("id", "p", "text", title, *extra).mapInArrow(run, f"id bigint, lang string, confidence double, basis string{more}")
+
+
 def mislabelled(segments: DataFrame, label: str) -> DataFrame:
     """(id, lang): pages whose label names no language or not the one of most of their running text, and pages
     of several languages, with each language of their running text. ``segments`` has the label column."""

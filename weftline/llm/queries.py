@@ -15,13 +15,13 @@ def _tagged(spark: SparkSession, sf_dir: str, *extra: str, body: bool = False) -
     """Tagged pages with further columns of theirs."""
     pages = table(spark, sf_dir, "pages")
     found = cut(mainbody.notices(mainbody.prepared(pages, "page_id", "url", "markdown")))
-    rows = mainbody.prepared(pages, "page_id", "url", "markdown", *extra)
+    rows = mainbody.prepared(pages, "page_id", "url", "markdown", *extra, html_col="html")
     return mainbody.tag(mainbody.with_notices(rows, found), mainbody.train(pages, found), ",".join(extra), body)
 
 
 def _tagged_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    tables = [("pages", pages, "page_id", "url", "markdown"), ("job_results", table(spark, sf_dir, "job_results"), "id", "url", "markdown")]
+    tables = [("pages", pages, "page_id", "url", "markdown", "html"), ("job_results", table(spark, sf_dir, "job_results"), "id", "url", "markdown", None)]
     return mainbody.tagged_tables(tables, pages)[0]
 
 
@@ -31,13 +31,21 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.stretches(tagged, language.train(tagged, "language"), 16, "language")
 
 
+def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's language with confidence, those without running text included, and whether its label names it."""
+    tagged = written(_tagged(spark, sf_dir, "language", "title"), "tagged")
+    docs = language.documents(tagged, language.train(tagged, "language"), "title", "language")
+    right = F.coalesce(language.named(F.col("language")) == F.col("lang"), F.lit(False))
+    return docs.select(F.col("id").alias("page_id"), "lang", "confidence", "basis", right.alias("label_right"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.mislabelled(p1_segments(spark, sf_dir), "language").withColumnRenamed("id", "page_id")
 
 
 def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's share of residue, its kind and its placeholders."""
-    return residue.residue(_tagged(spark, sf_dir)).withColumnRenamed("id", "page_id")
+    return residue.residue(_tagged(spark, sf_dir, "title", "status_code")).withColumnRenamed("id", "page_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +89,15 @@ def p5_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of the whole text of each page."""
-    return textstats.statistics(table(spark, sf_dir, "pages"), "page_id", "markdown").withColumnRenamed("id", "page_id")
+    """Statistics of the whole text of each page, texts above 4,096 characters in chunks, and the part by which the stated
+    number of words is off (null where none is stated)."""
+    s = textstats.statistics(table(spark, sf_dir, "pages"), "page_id", "markdown", 4096, ("word_count",))
+    off = F.abs(F.col("word_count") - F.col("words")) / F.greatest("words", F.lit(1))
+    return s.withColumn("count_off", off).drop("word_count").withColumnRenamed("id", "page_id")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = written(_tagged(spark, sf_dir, body=True), "tagged")
+    tagged = written(_tagged(spark, sf_dir, "title", "status_code", body=True), "tagged")
     odd = cut(textstats.statistics(tagged, "id", "body").where("kind is not null").select("id", "kind"))
     gone = residue.residue(semi(tagged, odd, "id")).where("found").select("id")
     return odd.join(gone, "id", "left_anti").select(F.col("id").alias("page_id"), "kind")

@@ -1,17 +1,23 @@
 """Problem 2: template residue, filler and error-page text.
 
-Labelled exemplars of residue are held in an inverted index of their words and word pairs. Every passage
-window (a sentence of the main body, or a headline) retrieves the exemplars that share its terms; its
-containment is the TF-IDF weight of its terms that one exemplar holds, as a part of its whole weight. A window
-of high containment is residue, and a page of whose words at least ``cover`` lie in residue windows is excluded, whatever its
-status code. Placeholders are exemplars by form: an identifier or an instruction between the delimiters of a
-template language; one of them in running text or a headline, outside code, is enough.
-
-Inverse document frequencies come from the exemplars; a term that no exemplar holds weighs as the rarest one,
-so site names and article text lower the containment.
-
-Defined results: null text gives no row; empty text isn't residue; ties need no rule as the best containment
-alone decides; repeated rows give repeated rows; lists, tables and junk aren't residue unless exemplars hold them.
+Labelled exemplars of residue (a table of kind, language, text) are held in an inverted index of their words and word
+pairs. Passage windows are the sentences of the main body's running text, short ones with their predecessor, and the
+headline. A window retrieves, through the postings of its terms, the groups of exemplars (one kind in one language) that share
+them; its containment is the TF-IDF weight of its terms that one group holds, as a part of its whole weight. A window of
+high containment is residue, and a page of whose words at least ``cover`` lie in residue windows is excluded. The page's title
+and status code are read too: where the title is itself residue, or the status says error, less containment is
+enough; neither decides alone.
+
+Placeholders are terms of the index as well: a span between the delimiters of a template language becomes the term of its
+form (delimiters and the shape of what is inside), exemplars hold the forms, and a span in running text or a headline,
+outside code, whose form is held is residue. A whole sentence between brackets is judged by its words.
+
+Inverse document frequencies come from the exemplars; a term that no exemplar holds weighs as the rarest one, so site names
+and article text lower the containment. Filler of pseudo-Latin words counts in any order.
+
+Defined results: null text gives no row; empty text isn't residue; null title and status say nothing; of equally contained
+kinds the first in the alphabet is named; repeated rows give repeated rows; lists, tables and junk aren't residue unless
+exemplars hold them.
 """
 
 from __future__ import annotations
@@ -19,234 +25,129 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftline.llm.language import LATIN
+from weftline.llm.residue_exemplars import EXEMPLARS
 
-#: Labelled exemplars by kind, a line each.
-EXEMPLARS = {
-    "error": """
-page not found
-404 not found
-the page you asked for does not exist or has moved. check the address or go back to the start page.
-we looked everywhere but this page has gone missing.
-oops something went wrong
-an unexpected error occurred while loading this view. our team has been told. error code 0.
-internal server error
-the server is busy at the moment. try again in 0 minutes.
-service temporarily unavailable
-gateway timed out
-bad gateway
-the upstream host gave no answer within 0 seconds. reference number 0.
-bad request
-the parameter list could not be read near position 0.
-access denied
-you do not have permission to view this resource. reference number 0. request 0.
-forbidden
-too many requests
-your address has sent more than 0 calls. wait before the next one.
-database error
-query failed: table items does not exist, errno 0.
-fatal: could not connect to the database in line 0. stack trace: at handler:0
-not available in your region
-for licence reasons we cannot show this item where you are. case 0.
-site suspended
-this account has been switched off. the owner should get in touch with the host, ticket 0.
-this link has expired
-the document behind it was taken down 0 days ago. ask the sender for a new one.
-sign in to continue
-your session ended after 0 minutes. log in again to see this document.
-check that you are human
-complete the puzzle below to go on.
-just a moment, checking your browser before you enter
-loading… please wait
-under maintenance, we will be back soon
-seite nicht gefunden
-die angeforderte seite gibt es nicht mehr. bitte prüfen sie die adresse.
-ein fehler ist aufgetreten
-die anfrage konnte nicht verarbeitet werden (code 0).
-zugriff verweigert
-sie haben keine berechtigung für diesen bereich. vorgang 0.
-wartungsarbeiten
-unser angebot ist in 0 minuten wieder erreichbar.
-page introuvable
-la page demandée n'existe pas ou a été déplacée.
-erreur du serveur
-le service est indisponible, réessayez dans 0 minutes.
-accès refusé
-vous n'avez pas le droit de consulter cette ressource. dossier 0.
-página no encontrada
-la dirección que busca no existe o cambió de lugar.
-error interno
-no se pudo procesar la solicitud; vuelva a probar en 0 minutos.
-acceso denegado
-no tiene permiso para ver este recurso. referencia 0.
-pagina non trovata
-la pagina richiesta non esiste o è stata spostata.
-errore del server
-il servizio non è disponibile, riprovare tra 0 minuti.
-accesso negato
-non ha il permesso di vedere questa risorsa.
-página não encontrada
-a página que procura não existe ou mudou de lugar.
-erro do servidor
-o serviço está indisponível, tente de novo dentro de 0 minutos.
-acesso negado
-não tem permissão para ver este recurso.
-pagina niet gevonden
-de gevraagde pagina bestaat niet of is verplaatst.
-er is een fout opgetreden
-de dienst is niet beschikbaar, probeer het over 0 minuten opnieuw.
-toegang geweigerd
-u hebt geen toestemming om dit te bekijken.
-страница не найдена
-запрошенная страница не существует или была перемещена.
-ошибка сервера
-сервис недоступен, повторите попытку через 0 минут.
-доступ запрещён
-у вас нет прав на просмотр этого ресурса.
-""",
-    "script": """
-please enable javascript to view this page.
-you need to activate javascript before this shop can load.
-this application needs scripts to run. turn them on in your browser settings.
-this content is drawn by a program in your browser, which is turned off right now. allow it to continue.
-your browser does not support the features required by this site.
-we are sorry, but this site does not work properly without client-side code.
-for full functionality of this site it is necessary to allow scripting.
-loading… if nothing happens, your browser may be blocking scripts.
-js is off. switch it on and reload.
-javascript: off
-bitte aktivieren sie javascript, um diese seite zu sehen.
-diese anwendung läuft nur mit eingeschalteten skripten.
-ihr browser blockiert skripte; der inhalt kann nicht geladen werden.
-ohne aktives skripting lässt sich die seite nicht anzeigen.
-veuillez activer javascript pour afficher cette page.
-cette application ne fonctionne qu'avec les scripts activés.
-votre navigateur bloque les scripts, la page ne peut pas s'afficher.
-active javascript para ver esta página.
-esta aplicación necesita que los scripts estén permitidos.
-su navegador bloquea los scripts y la página no puede mostrarse.
-attivare javascript per vedere questa pagina.
-questa applicazione funziona solo con gli script attivi.
-il browser blocca gli script e la pagina non può essere mostrata.
-ative o javascript para ver esta página.
-esta aplicação precisa de scripts para funcionar.
-o seu navegador bloqueia os scripts e a página não pode ser mostrada.
-schakel javascript in om deze pagina te bekijken.
-deze toepassing werkt alleen met scripts.
-uw browser blokkeert scripts en de pagina kan niet worden getoond.
-включите javascript, чтобы увидеть эту страницу.
-для работы приложения нужны скрипты.
-ваш браузер блокирует скрипты, страница не может быть показана.
-""",
-    "filler": """
-this is a sample paragraph. replace it with your own words.
-dummy copy for layout purposes only.
-write something about yourself here.
-text goes here. your text here.
-sample content, to be supplied by the client.
-add your description here.
-coming soon: an introduction to our company.
-this area is reserved for the teaser text.
-headline number 0
-blah blah blah
-test test test, 0 0 0.
-placeholder text, replace before publishing
-hier steht später ihr text.
-platzhalter für die beschreibung.
-das ist ein blindtext ohne inhalt.
-beispielüberschrift 0
-bitte diesen absatz ersetzen.
-votre texte ici.
-texte factice pour la mise en page.
-ceci est un paragraphe d'exemple, à remplacer.
-titre provisoire 0
-description à compléter.
-aquí va su texto.
-este es un párrafo de muestra que debe sustituirse.
-texto de relleno para la maqueta.
-título provisional 0
-descripción pendiente.
-qui va il suo testo.
-questo è un paragrafo di esempio da sostituire.
-testo segnaposto per l'impaginazione.
-titolo provvisorio 0
-o seu texto aqui.
-este é um parágrafo de exemplo a substituir.
-texto de preenchimento para a maqueta.
-título provisório 0
-hier komt uw tekst.
-dit is een voorbeeldalinea die vervangen moet worden.
-opvultekst voor de opmaak.
-voorlopige titel 0
-здесь будет ваш текст.
-это пример абзаца, который нужно заменить.
-текст-заполнитель для макета.
-""",
-}
-
-PLACEHOLDER = re.compile(
-    r"\{\{-?\s*[A-Za-z_][\w. |]*-?\}\}|\{%-?\s*[A-Za-z_][\w. ]*-?%\}|<%[=-]?\s*[A-Za-z_][\w. ]*%>|[$#]\{\s*[A-Za-z_][\w.]*\s*\}"
-    r"|(?<![\w$#{%]){\s*[A-Za-z_]\w*(?:\.\w+)*\s*\}|(?<![\w%])%[A-Za-z][A-Za-z_]{2,}%(?![\w%])|(?<![\w@])@@[A-Za-z][A-Za-z_]+@@|(?<!\w)__[A-Z][A-Z_]+__(?!\w)"
-    r"|\[[A-Z][A-Z_]*(?: [A-Z_]+)*\](?!\()|\[(?i:insert|add|enter|put|type|your|replace|choose)\b[^\]\n]{0,40}\](?!\()"
+#: Spans between delimiters that may be placeholders.
+SPAN = re.compile(
+    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|(?<![\w$#{%])\{[^{}\n]{1,60}\}"
+    r"|(?<![\w%])%[A-Za-z_]{3,40}%(?![\w%])|(?<![\w@])@@[A-Za-z_]{2,40}@@|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)|\[[^\]\[\n]{2,90}\](?!\()"
 )
+INSIDE = re.compile(r"[A-Za-z_][\w.]*")
+INSTRUCTION = re.compile(r"(?i)(?:insert|add|enter|put|type|your|replace|choose)\b")
 TERM = re.compile(r"[^\W\d_]+|\d+")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»’)\]]*\s+")
 TICKS = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)")
 MARK = re.compile(r"^\s*(?:#{1,6}\s+|>\s*|[-+*•]\s+|\d{1,3}[.)]\s+)*")
-BRACKET = re.compile(r"\[([^\]\n]{12,90}[.!…])\](?!\()")
+TITLE_CUT = re.compile(r"\s+[-–—|·:•]\s+")
+SHORT = 3
+CACHE = 100_000
+
+
+def form(span: str) -> str | None:
+    """The term of a placeholder's form: its delimiters and the shape of what is inside; None for no such form."""
+    m = re.match(r"\W+|__", span)
+    left = m[0].strip() if m else ""
+    inner = span[len(m[0]) :].strip() if m else span
+    inner = re.sub(r"(?:\W+|__)$", "", inner)
+    if left[:1] == "[":
+        if INSTRUCTION.match(inner):
+            return "[ask"
+        return "[UPPER" if inner and all(w.isupper() for w in re.findall(r"[^\W\d_]+", inner)) and re.fullmatch(r"[A-Z][A-Z_]*(?: [A-Z_]+)*", inner) else None
+    words = re.split(r"[\s|]+", inner)
+    if not all(INSIDE.fullmatch(w) for w in words if w) or not inner:
+        return None
+    many = len(words) > 1 and left not in ("{{", "{%", "<%", "<%=")
+    return None if many else left.rstrip("-=").rstrip() + "name"
 
 
 def terms(text: str) -> list[str]:
+    """Words, numbers as one word, and pairs of successive words."""
     w = ["0" if x.isdigit() else x for x in TERM.findall(text.lower())]
     return w + [a + " " + b for a, b in zip(w, w[1:])]
 
 
 class ResidueIndex:
-    """Inverted index over the exemplars' windows: each sentence and each whole exemplar."""
-
-    def __init__(self, exemplars: dict[str, str] | None = None):
-        self.kinds: list[str] = []
-        sets: list[set[str]] = []
-        for kind, lines in (exemplars or EXEMPLARS).items():
-            for line in lines.strip().split("\n"):
-                self.kinds.append(kind)
-                sets.append(set(terms(line)))
-        self.kinds.append("filler")
-        sets.append(set(LATIN) | {a + " " + b for a in ("lorem", "ipsum", "dolor") for b in ("ipsum", "dolor", "sit")})
-        df = Counter(t for s in sets for t in s)
-        n = len(sets)
-        self.top = math.log(1 + n)
+    """Inverted index: the groups (kind, language) of exemplars in which each term occurs, with its weight."""
+
+    def __init__(self, exemplars: Iterable[tuple[str, str, str]] = EXEMPLARS):
+        rows = [(k, lang or "", t) for k, lang, t in exemplars if k and t]
+        self.forms = {f for k, _, t in rows if k == "placeholder" for f in [form(t)] if f}
+        held: dict[tuple[str, str], set[str]] = defaultdict(set)
+        df: Counter = Counter()
+        n = 0
+        for kind, lang, text in rows:
+            if kind != "placeholder":
+                for part in SENTENCE.split(text):
+                    found = set(terms(part))
+                    held[kind, lang] |= found
+                    df.update(found)
+                    n += 1
+        held["filler", "la"] = set(LATIN)
+        df.update(LATIN)
+        self.groups = sorted(held)
+        self.any_order = self.groups.index(("filler", "la"))
+        self.top = math.log(1 + max(1, n))
         self.idf = {t: math.log(1 + n / k) for t, k in df.items()}
-        self.latin = len(sets) - 1
-        self.postings: dict[str, list[int]] = defaultdict(list)
-        for k, s in enumerate(sets):
-            for t in s:
-                self.postings[t].append(k)
-
-    def containment(self, text: str) -> tuple[float, str | None]:
-        """Best containment of a window in an exemplar, and the exemplar's kind. In filler of pseudo-Latin words
-        any order counts, so only its single words are weighed."""
-        got: dict[int, float] = defaultdict(float)
+        self.words: dict[str, tuple[float, list[int]]] = {t: (self.idf[t], []) for t in df if " " not in t}
+        self.pairs: dict[tuple[str, str], tuple[float, list[int]]] = {tuple(t.split(" ")): (self.idf[t], []) for t in df if " " in t}
+        for g, key in enumerate(self.groups):
+            for t in held[key]:
+                (self.pairs[tuple(t.split(" "))] if " " in t else self.words[t])[1].append(g)
+        self.cache: dict[str, tuple[float, str | None, int]] = {}
+
+    def containment(self, text: str) -> tuple[float, str | None, int]:
+        """Best containment of a window in a group of exemplars, its kind, and the window's words. In pseudo-Latin words any
+        order counts, so only the window's single words are weighed there; a number alone says nothing."""
+        hit = self.cache.get(text)
+        if hit is not None:
+            return hit
+        got = [0.0] * len(self.groups)
         whole = single = 0.0
-        for t, n in Counter(terms(text)).items():
-            if not t.strip("0 "):
-                continue  # numbers alone say nothing
-            w = self.idf.get(t, self.top) * n
-            whole += w
-            if " " not in t:
+        words, pairs, top = self.words, self.pairs, self.top
+        last, known = None, False
+        found = TERM.findall(text.lower())
+        for t in found:
+            t = "0" if t.isdigit() else t
+            e = words.get(t)
+            w = e[0] if e else top
+            if t != "0":
+                whole += w
                 single += w
-            for k in self.postings.get(t, ()):
-                if k != self.latin or " " not in t:
-                    got[k] += w
-        if not got:
-            return 0.0, None
-        best = max(got, key=lambda k: (got[k] / (single if k == self.latin else whole), -k))
-        return got[best] / (single if best == self.latin else whole), self.kinds[best]
+                if e:
+                    for k in e[1]:
+                        got[k] += w
+            if last is not None:  # numbers in a row are data
+                pair = pairs.get((last, t)) if e and known else None
+                whole += pair[0] if pair else top
+                if pair:
+                    for k in pair[1]:
+                        got[k] += pair[0]
+            last, known = t, e is not None
+        if whole:
+            got = [v / ((single or 1.0) if k == self.any_order else whole) for k, v in enumerate(got)]
+        best = max(range(len(got)), key=lambda k: (got[k], -k))
+        out = (got[best], self.groups[best][0] if got[best] else None, len(found))
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        self.cache[text] = out
+        return out
+
+    def placeholders(self, text: str, contain: float) -> int:
+        """Spans of ``text`` whose form an exemplar holds, or that are a bracketed sentence of residue."""
+        n = 0
+        for span in SPAN.findall(text) if "{" in text or "[" in text or "%" in text or "@@" in text or "__" in text else ():
+            f = form(span)
+            if f is not None:
+                n += f in self.forms
+            elif span[0] == "[" and span[-2] in ".!…" and len(span) > 13:
+                n += self.containment(span[1:-1])[0] >= contain
+        return n
 
 
 def windows(text: str, p: list[float | None]) -> tuple[list[tuple[bool, str]], str]:
@@ -265,52 +166,58 @@ def windows(text: str, p: list[float | None]) -> tuple[list[tuple[bool, str]], s
         if set(line.strip()) <= set("=-|: "):
             continue
         head = line.lstrip()[:1] == "#" or (k + 1 < len(lines) and lines[k + 1][:3] in ("===", "---"))
-        line = TICKS.sub(" ", line)
+        if "`" in line:
+            line = TICKS.sub(" ", line)
         plain.append(line)
-        out += [(head, s) for s in SENTENCE.split(MARK.sub("", line)) if TERM.search(s)]
+        for s in SENTENCE.split(MARK.sub("", line)):
+            size = len(TERM.findall(s)) if len(s) < 40 else SHORT + 1
+            if size > SHORT or (size and (head or not out or out[-1][0])):
+                out.append((head, s))
+            elif size:
+                out[-1] = (False, f"{out[-1][1]} {s}")
     return out, "\n".join(plain)
 
 
-def judge(index: ResidueIndex, text: str, p: list[float | None], contain: float, cover: float) -> tuple[float, str | None, int]:
+def judge(index: ResidueIndex, text: str, p: list[float | None], contain: float, title: str | None = None, status: int | None = None) -> tuple[float, str | None, int]:
     """(share of the main body's words in residue windows, kind, placeholders)."""
     parts, plain = windows(text, p)
-    marks = PLACEHOLDER.findall(plain)
-    n = len(marks)
-    for m in BRACKET.findall(plain):
-        n += index.containment(m)[0] >= contain
+    n = index.placeholders(plain, contain)
+    heads = [s for h, s in parts if h][:1] + (TITLE_CUT.split(title) if title else [])
+    named = any(index.containment(s)[0] >= 1.4 * contain for s in heads)
+    need = contain * (0.75 if named else 1.0) * (0.85 if status and status >= 400 else 1.0)
     words: Counter = Counter()
     total = 0
-    body = [x for x in parts if not x[0]] or parts
-    last: str | None = None
-    for _, s in body:
-        size = len(TERM.findall(s))
+    for _, s in [x for x in parts if not x[0]] or parts:
+        c, kind, size = index.containment(s)
         total += size
-        c, kind = index.containment(s)
-        if c >= contain:
+        if c >= need:
             words[kind] += size
-            last = kind
-        elif last and size <= 3:  # a short rest of a message: a reference number
-            words[last] += size
+    if not total and plain.strip():
+        return 0.0, None, n
     if not total:
         # Nothing counts as main body: a notice among the furniture is then all that the page says.
         for line in text.split("\n"):
             for s in SENTENCE.split(MARK.sub("", line)):
-                c, kind = index.containment(s)
-                if c >= contain and len(TERM.findall(s)) >= 3:
+                c, kind, size = index.containment(s)
+                if c >= 1.4 * contain and size > SHORT:
                     return 1.0, kind, n
         return 0.0, None, n
-    kind = max(words, key=lambda k: (words[k], k)) if words else None
+    kind = min(words, key=lambda k: (-words[k], k)) if words else None
     return sum(words.values()) / total, kind, n
 
 
-def residue(tagged: DataFrame, contain: float = 0.55, cover: float = 0.3) -> DataFrame:
-    """(id, share, kind, placeholders, found): every tagged page, judged."""
+def residue(tagged: DataFrame, contain: float = 0.35, cover: float = 0.3, exemplars: Iterable[tuple[str, str, str]] = EXEMPLARS) -> DataFrame:
+    """(id, share, kind, placeholders, found): every tagged page, judged. ``tagged`` has id, p, text, and may have title
+    and status_code. ``exemplars`` is a labelled table of bounded size."""
     shape = "id bigint, share double, kind string, placeholders int, found boolean"
+    table = tuple(exemplars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ResidueIndex()
+        index = ResidueIndex(table)
         for b in batches:
-            rows = [judge(index, t, p, contain, cover) for p, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            cols = [b.column(k).to_pylist() for k in range(1, b.num_columns)]
+            more = cols[2:] or [[None] * len(b)] * 2
+            rows = [judge(index, t, p, contain, ti, st) for p, t, ti, st in zip(cols[0], cols[1], *more)]
             share, kind, marks = zip(*rows) if rows else ((), (), ())
             found = [s >= cover or m > 0 for s, m in zip(share, marks)]
             yield pa.RecordBatch.from_arrays(
@@ -318,4 +225,5 @@ def residue(tagged: DataFrame, contain: float = 0.55, cover: float = 0.3) -> Dat
                 names=["id", "share", "kind", "placeholders", "found"],
             )
 
-    return tagged.select("id", "p", "text").mapInArrow(run, shape)
+    more = ["title", "status_code"] if {"title", "status_code"} <= set(tagged.columns) else []
+    return tagged.select("id", "p", "text", *more).mapInArrow(run, shape)

@@ -1,11 +1,12 @@
 """Problem 6: text quality statistics of each document, and pages that aren't prose.
 
 A text longer than ``chunk`` characters is cut into chunks at fixed places, so one huge document is many
-tasks' work. A chunk's result is a partial: sums over its whole lines, and the state of its first and last
-line, which may go on in the neighbours (``Piece``: counts of the part, whether it starts or ends inside a
-word). Partials merge associatively - the open end of the left with the open start of the right, a word cut
-in two counted once - first by groups of 64 neighbouring chunks and then by document (tree aggregation).
-Ratios and rule outcomes are derived from the merged sums alone.
+tasks' work. A chunk's result is a partial: sums over its whole lines, and the boundary state of its first and last
+line, which may go on in the neighbours (``Piece``: the tokens at either end as text, the distinct words of the line so
+far, and the counts of the tokens between, which no neighbour can change). Partials merge associatively - the tokens
+where two pieces meet are joined and counted then, with the pairs and gaps they form - first by groups of 64 neighbouring chunks and
+then by document (tree aggregation). Every count is therefore the same wherever a text is cut. Ratios and rule outcomes are
+derived from the merged sums alone.
 
 Each line has a kind: prose, list, table, junk or other (headings, rules, short lines of prose pages). A page
 isn't prose if lists, tables and junk hold more characters than prose; its kind is the largest of them.
@@ -35,11 +36,13 @@ COMMON = frozenset(
     "het een en van dat op te met voor zijn niet aan bij "
     "и в не на что с по как из у к за от для".split()
 )
-TOKEN = re.compile(r"\S+")
 WORD = re.compile(r"[^\W_]+")
-VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœаеёиоуыэюя]", re.I)
-SENTENCE_END = re.compile(r"[.!?…][\"'”»’)\]*_]*$")
-INNER_END = re.compile(r"[a-zà-ÿа-я0-9][.!?…][\"'”»’)\]]*\s+[\"'“«„(\[]*[A-ZÀ-ÞА-Я]")
+VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœаеёиоуыэюя]")
+SENTENCE_END = re.compile(r"[.!?…][\"'”»’)\]*_]{0,8}$")
+#: A sentence ends inside a line where one token ends and the next one starts like this.
+INNER_END = re.compile(r"[.!?…](?<=[a-zà-ÿа-я0-9].)[\"'”»’)\]]{0,8}\s+[\"'“«„(\[]{0,8}[A-ZÀ-ÞА-Я]")
+DIGIT = re.compile(r"\d")
+EDGE = re.compile(r"\s*\S+\s*\S*")
 ITEM = re.compile(r"(?:[-+*•]|\d{1,3}[.)])\s")
 GAP = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
@@ -47,68 +50,140 @@ KINDS = ("prose", "list", "table", "junk", "other")
 (CHARS, WORDS, LETTERS, DIGITS, SYMBOLS, COMMONS, PIPES, TABS, GAPS, COMMAS, ENDS, LONGS, BROKEN, VOWELLESS, TOKENS, WORD_CHARS, REPEATS) = range(WIDTH := 17)
 
 
+class _Flags(dict):
+    """Of a word: 1 if it's common, and ``_ODD`` if it's of letters but no vowel."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        v = self[word] = (word in COMMON) + _ODD * (len(word) > 3 and word.isalpha() and not VOWEL.search(word))
+        return v
+
+
+_ODD = 1 << 40
+_flags = _Flags()
+
+
+def count_tokens(n: list[int], tokens: list[str], seen: set[str]) -> None:
+    """Add what single tokens contribute; ``seen`` gathers the words."""
+    low = " ".join(tokens).lower()
+    n[TOKENS] += len(tokens)
+    sizes = list(map(len, tokens))
+    n[CHARS] += sum(sizes)
+    if sizes and max(sizes) > 28:
+        n[LONGS] += sum(x for x in sizes if x > 28)
+    words = WORD.findall(low)
+    n[WORDS] += len(words)
+    n[WORD_CHARS] += sum(map(len, words))
+    odd, common = divmod(sum(map(_flags.__getitem__, words)), _ODD)
+    n[COMMONS] += common
+    n[VOWELLESS] += odd
+    seen.update(words)
+
+
+def count_pairs(n: list[int], text: str) -> None:
+    """Add what successive tokens and the space between them contribute; ``text`` holds exactly the tokens."""
+    n[ENDS] += len(INNER_END.findall(text))
+    n[GAPS] += len(GAP.findall(text)) if "  " in text or "\t" in text else 0
+
+
 class Piece:
-    """A line or a part of one: counts, how it begins, how it ends, and whether a word is open at either side."""
+    """A line or a part of one. While it has few tokens it is its text (``left``). Else the first two tokens stand in
+    ``left``, the last two in ``right``; the tokens but the first and last are counted, and so are the pairs between
+    the second and the last but one."""
 
-    __slots__ = ("n", "start", "tail", "open_left", "open_right", "edge_left", "edge_right")
+    __slots__ = ("n", "seen", "left", "right")
 
     def __init__(self, text: str):
         n = self.n = [0] * WIDTH
-        self.start = text.lstrip()[:8]
-        self.tail = text.rstrip()[-4:]
-        self.open_left = bool(text) and text[0].isalnum()
-        self.open_right = bool(text) and text[-1].isalnum()
-        tokens = TOKEN.findall(text)
-        words = WORD.findall(text)
-        self.edge_left = words[0] if words and self.open_left else ""
-        self.edge_right = words[-1] if words and self.open_right else ""
-        n[TOKENS] = len(tokens)
-        n[CHARS] = sum(map(len, tokens))
-        n[WORDS] = len(words)
-        n[WORD_CHARS] = sum(map(len, words))
-        n[DIGITS] = sum(map(str.isdigit, text))
-        n[LETTERS] = n[WORD_CHARS] - n[DIGITS]
-        n[SYMBOLS] = n[CHARS] - n[WORD_CHARS]
-        low = WORD.findall(text.lower())
-        n[COMMONS] = sum(w in COMMON for w in low)
-        n[REPEATS] = len(low) - len(set(low))  # inside this part: repeats across a cut aren't seen
+        self.seen: set[str] = set()
+        self.left, self.right = text, None
+        # What single characters contribute is never changed by a neighbour.
+        n[DIGITS] = len(DIGIT.findall(text))
         n[PIPES], n[TABS] = text.count("|"), text.count("\t")
-        n[GAPS] = len(GAP.findall(text)) if "  " in text or "\t" in text else 0
         n[COMMAS] = text.count(",") + text.count(";")
-        n[ENDS] = len(INNER_END.findall(text))
-        n[LONGS] = sum(len(t) for t in tokens if len(t) > 28)
         n[BROKEN] = text.count("�")
-        n[VOWELLESS] = sum(1 for w in words if len(w) > 3 and w.isalpha() and not VOWEL.search(w))
+
+    def settle(self) -> Piece:
+        """Count what no neighbour can change any more."""
+        if self.right is None:
+            tokens = self.left.split()
+            if len(tokens) < 6:
+                return self
+            text, first = self.left, EDGE.match(self.left).end()
+            last = len(text) - EDGE.match(text[::-1]).end()
+            count_tokens(self.n, tokens[1:-1], self.seen)
+            count_pairs(self.n, text[text.index(tokens[1], first - len(tokens[1])) : last + len(tokens[-2])])
+            self.left, self.right = text[:first], text[last:]
+        return self
 
     def join(self, right: Piece) -> Piece:
         """The line that goes from this part into ``right``."""
         out = Piece("")
         out.n = [a + b for a, b in zip(self.n, right.n)]
-        if self.open_right and right.open_left:
-            # One word, counted twice; whether it's common is known only now.
-            whole, left, rest = (self.edge_right + right.edge_left).lower(), self.edge_right.lower(), right.edge_left.lower()
-            out.n[WORDS] -= 1
-            out.n[TOKENS] -= 1
-            out.n[COMMONS] += (whole in COMMON) - (left in COMMON) - (rest in COMMON)
-        elif self.tail and right.start and not self.tail[-1:].isspace() and self.n[TOKENS] and right.n[TOKENS]:
-            pass
-        out.start = self.start or right.start
-        out.tail = (self.tail + right.tail)[-4:] if len(right.tail) < 4 else right.tail
-        out.open_left = self.open_left if self.n[TOKENS] or self.open_left else right.open_left
-        out.open_right = right.open_right
-        one = right.n[WORDS] == 1 and right.open_left and right.open_right
-        out.edge_right = (self.edge_right + right.edge_right if one and self.open_right else right.edge_right)
-        one = self.n[WORDS] == 1 and self.open_left and self.open_right
-        out.edge_left = self.edge_left + right.edge_left if one and right.open_left else self.edge_left
+        out.seen = self.seen | right.seen
+        if self.right is None and right.right is None:
+            out.left = self.left + right.left
+            return out.settle()
+        if self.right is None:  # few tokens before many: those between the new first and the known second are counted
+            text = self.left + right.left
+            tokens = text.split()
+            first = EDGE.match(text).end() if len(tokens) > 1 else len(text)
+            if len(tokens) > 2:
+                count_tokens(out.n, tokens[1:-1], out.seen)
+                count_pairs(out.n, text[first - len(tokens[1]) :].rstrip())
+            out.left, out.right = text[:first], right.right
+            return out
+        if right.right is None:
+            text = self.right + right.left
+            tokens = text.split()
+            last = len(text) - EDGE.match(text[::-1]).end() if len(tokens) > 1 else 0
+            if len(tokens) > 2:
+                count_tokens(out.n, tokens[1:-1], out.seen)
+                count_pairs(out.n, text[: last + len(tokens[-2])].lstrip())
+            out.left, out.right = self.left, text[last:]
+            return out
+        text = self.right + right.left
+        tokens = text.split()
+        count_tokens(out.n, tokens[1:-1], out.seen)
+        count_pairs(out.n, text.strip())
+        out.left, out.right = self.left, right.right
         return out
 
+    def whole(self) -> Piece:
+        """The line, now that nothing follows: its open ends counted."""
+        n = self.n
+        if self.right is None:
+            tokens = self.left.split()
+            count_tokens(n, tokens, self.seen)
+            count_pairs(n, self.left.strip())
+        else:
+            a, b = self.left.split(), self.right.split()
+            count_tokens(n, [a[0], b[-1]], self.seen)
+            count_pairs(n, self.left.strip())
+            count_pairs(n, self.right.strip())
+        n[REPEATS] = n[WORDS] - len(self.seen)
+        n[LETTERS] = n[WORD_CHARS] - n[DIGITS]
+        n[SYMBOLS] = n[CHARS] - n[WORD_CHARS]
+        return self
+
+    @property
+    def start(self) -> str:
+        """How the line begins: its first two tokens, eight characters of them."""
+        m = EDGE.match(self.left)
+        return m[0].lstrip()[:8] if m else ""
+
+    @property
+    def tail(self) -> str:
+        return (self.left if self.right is None else self.right).rstrip()[-10:]
+
     def state(self) -> list:
-        return [self.n, self.start, self.tail, self.open_left, self.open_right, self.edge_left, self.edge_right]
+        return [self.n, sorted(self.seen), self.left, self.right]
 
     @staticmethod
     def of(state: list) -> Piece:
         out = Piece("")
-        out.n, out.start, out.tail, out.open_left, out.open_right, out.edge_left, out.edge_right = state
+        out.n, out.seen, out.left, out.right = state[0], set(state[1]), state[2], state[3]
         return out
 
 
@@ -165,14 +240,15 @@ class Partial:
         self.total = [0] * WIDTH
         self.lines = self.ended = 0
         self.kinds = {k: [0, 0] for k in KINDS}
-        self.first, self.last = Piece(lines[0]), None
+        self.first, self.last = Piece(lines[0]).settle(), None
         if len(lines) > 1:
             for x in lines[1:-1]:
                 self.close(Piece(x))
-            self.last = Piece(lines[-1])
+            self.last = Piece(lines[-1]).settle()
 
     def close(self, piece: Piece) -> None:
-        if piece.n[CHARS]:
+        if piece.right or not (piece.left == "" or piece.left.isspace()):
+            piece.whole()
             self.total = [a + b for a, b in zip(self.total, piece.n)]
             self.lines += 1
             self.ended += bool(SENTENCE_END.search(piece.tail))
@@ -234,25 +310,27 @@ def derive(p: Partial) -> tuple:
     )
 
 
-def statistics(df: DataFrame, id_col: str, text_col: str, chunk: int = 65_536) -> DataFrame:
-    """One row of statistics for each row of ``df`` with text; repeated and null ids keep a row each."""
+def statistics(df: DataFrame, id_col: str, text_col: str, chunk: int = 65_536, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row of statistics for each row of ``df`` with text, and the ``extra`` columns; repeated and null ids keep a row each. A text of one chunk
+    is finished where it is read; the result is the same."""
     import json
 
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *extra)
     kinds = dict(zip(NAMES[1:], [pa.int64()] * 3 + [pa.float64()] * 9 + [pa.string(), pa.bool_()]))
-
-    def batch(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*found)) if found else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, kinds.values()))], names=NAMES)
+    more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(b.column(0), [derive(Partial(t).finish()) for t in b.column(1).to_pylist()])
+            found = [derive(Partial(t).finish()) for t in b.column(1).to_pylist()]
+            cols = list(zip(*found)) if found else [()] * len(kinds)
+            cols = [b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds.values())), *(b.column(2 + k) for k in range(len(extra)))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*NAMES, *extra])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             states = [json.dumps(Partial(t).state()) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(states, pa.string())], names=["row", "id", "no", "state"])
+            cols = [*(b.column(k) for k in range(3)), pa.array(states, pa.string()), *(b.column(4 + k) for k in range(len(extra)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "no", "state", *extra])
 
     def merged(pdf) -> Partial:
         out = None
@@ -262,20 +340,24 @@ def statistics(df: DataFrame, id_col: str, text_col: str, chunk: int = 65_536) -
         return out
 
     def group(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"row": pdf["row"].iloc[:1], "id": pdf["id"].iloc[:1], "no": [int(pdf["no"].min())], "state": [json.dumps(merged(pdf).state())]})
+        out = pdf.sort_values("no").head(1)[["row", "id", "no", "state", *extra]].copy()
+        out["state"] = json.dumps(merged(pdf).state())
+        return out
 
     def last(pdf):
         import pandas as pd
 
-        return pd.DataFrame([(None if pdf["id"].isna().iloc[0] else pdf["id"].iloc[0], *derive(merged(pdf).finish()))], columns=NAMES)
+        one = pdf.iloc[:1]
+        out = pd.DataFrame([(None if one["id"].isna().iloc[0] else one["id"].iloc[0], *derive(merged(pdf).finish()))], columns=NAMES)
+        for c in extra:
+            out[c] = one[c].to_numpy()
+        return out
 
-    small = rows.where(F.length("text") <= chunk).mapInArrow(whole, SHAPE)
+    small = rows.where(F.length("text") <= chunk).mapInArrow(whole, SHAPE + more)
     cuts = F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))
-    parts = "row bigint, id bigint, no int, state string"
+    parts = "row bigint, id bigint, no int, state string" + more
     large = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())  # ids may repeat
-    large = large.select("row", "id", "text", F.explode(cuts).alias("no"))
-    large = large.select("row", "id", "no", F.expr(f"substring(text, no * {chunk} + 1, {chunk})").alias("piece")).mapInArrow(part, parts)
+    large = large.select("row", "id", "text", F.explode(cuts).alias("no"), *extra)
+    large = large.select("row", "id", "no", F.expr(f"substring(text, no * {chunk} + 1, {chunk})").alias("piece"), *extra).mapInArrow(part, parts)
     tree = large.withColumn("up", F.floor(F.col("no") / 64)).groupBy("row", "up").applyInPandas(group, parts)
-    return small.union(tree.groupBy("row").applyInPandas(last, SHAPE))
+    return small.union(tree.groupBy("row").applyInPandas(last, SHAPE + more))
