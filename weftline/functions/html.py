@@ -13,6 +13,7 @@ HREF = r'(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
 HEADING = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>"
 DROPPED = r"(?is)<(?:script|style|noscript)\b[^>]*>.*?</(?:script|style|noscript)\s*>"
 TAG = r"(?s)<[^>]+>"
+BODY = r"(?is)<body[^>]*>(.*?)</body>"
 
 
 def _c(x) -> Column:
@@ -27,7 +28,10 @@ def unescaped(x: Column) -> Column:
 
 
 def visible_text(html) -> Column:
-    x = F.regexp_replace(F.regexp_replace(_c(html), DROPPED, " "), TAG, " ")
+    """Text of the body (without one, of all) as a reader sees it."""
+    h = _c(html)
+    x = F.when(h.rlike(BODY), F.regexp_extract(h, BODY, 1)).otherwise(h)
+    x = F.regexp_replace(F.regexp_replace(x, DROPPED, " "), TAG, " ")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
@@ -59,20 +63,6 @@ def language(html) -> Column:
     return F.regexp_extract(_c(html), r'(?i)<html\b[^>]*\blang="([^"]*)"', 1)
 
 
-#: The short list that the SQL of ``page_block_class`` is written from; ``looks_blocked`` has its own.
-BLOCK_PHRASES = """
-access denied
-checking your browser
-verify you are human
-are you a robot
-enable javascript
-too many requests
-request blocked
-captcha
-unusual traffic
-""".strip().split("\n")
-
-
 #: Marks of a challenge in the source, whatever the length of the text.
 CHALLENGE_MARKS = ["px-captcha", "human-challenge"]
 
@@ -177,7 +167,6 @@ content not found
 """.strip().split("\n")
 
 
-BODY = r"(?is)<body[^>]*>(.*?)</body>"
 #: White space of any script, separators of the control characters included.
 BLANK = r"(?U)[\s\x1c-\x1f]+"
 
@@ -218,16 +207,66 @@ def looks_blocked(html) -> Column:
     return F.when(h.isNull() | (h == ""), True).otherwise(F.transform(F.array(parts), tiers)[0])
 
 
-def error_code(message) -> Column:
-    """Class of an error message; the order matters."""
-    m = F.lower(_c(message))
-    any_ = lambda *w: m.rlike("|".join(w))
-    return (
-        F.when(any_("timeout", "timed out"), "TIMEOUT")
-        .when(any_("connection", "network", "dns", "eof", "refused", "unreachable"), "NETWORK_ERROR")
-        .when(any_("captcha"), "CAPTCHA_REQUIRED")
-        .when(any_("waf", "firewall", "blocked"), "BLOCKED_BY_WAF")
-        .when(any_("403", "451", "forbidden"), "FORBIDDEN")
-        .when(any_("javascript", "noscript"), "JS_REQUIRED")
-        .when(m.contains("all") & m.contains("failed"), "BLOCKED")
-    )
+def _any(x: Column, phrases: list[str]) -> Column:
+    return functools.reduce(operator.or_, [x.contains(p) for p in phrases])
+
+
+#: What error messages and sources hold, by class; the classes are tried in this order.
+TIMEOUTS = ["timeout", "timed out", "timedout"]
+NETWORK = ["connection", "dns", "resolve", "refused", "unreachable", "network", "ssl", "certificate", "eof"]
+CAPTCHAS = ["captcha", "recaptcha", "hcaptcha", "verify you are human", "verify you're human"]
+FIREWALLS = ["access denied", "blocked", "403 forbidden", "cloudflare", "performance & security by", "sucuri", "incapsula", "datadome", "perimeterx"]
+SCRIPTS = ["javascript is disabled", "enable javascript", "requires javascript", "javascript is required"]
+ALL_FAILED = "all scraping strategies failed"
+
+
+def error_code(message, html=None, status=None) -> Column:
+    """Class of a failure by its message, source and status; null where none applies. A message alone can only be a
+    timeout, a network error, or that everything failed."""
+    m = F.coalesce(F.lower(_c(message)), F.lit(""))
+    h = F.coalesce(F.lower(_c(html)), F.lit("")) if html is not None else F.lit("")
+    code = F.coalesce(_c(status), F.lit(0)) if status is not None else F.lit(0)
+    known = (
+        F.when(_any(m, TIMEOUTS), "TIMEOUT").when(_any(m, NETWORK), "NETWORK_ERROR").when(_any(h, CAPTCHAS), "CAPTCHA_REQUIRED")
+        .when(_any(h, FIREWALLS) | code.isin(403, 451), "BLOCKED_BY_WAF").when(_any(h, SCRIPTS), "JS_REQUIRED").when(m.contains(ALL_FAILED), "BLOCKED_BY_WAF")
+    )
+    return F.when((m != "") | (h != ""), known)
+
+
+#: Reasons why a page was withheld, with what its source holds and its status codes, in the order of trial.
+REASONS = [
+    ("Rate limited (429) — the target site is throttling requests. Try again later or use a proxy.", [], [429]),
+    ("Blocked by Cloudflare WAF — the site is using Cloudflare bot protection.", ["cloudflare", "performance & security by", "ray id", "checking your browser"], []),
+    ("CAPTCHA detected — the site requires human verification. Try using a browser-based strategy or proxy.", CAPTCHAS, []),
+    ("Blocked by DataDome — the site uses DataDome bot detection.", ["datadome"], []),
+    ("Blocked by PerimeterX — the site uses PerimeterX bot detection.", ["perimeterx"], []),
+    ("Blocked by Sucuri WAF — the site uses Sucuri firewall protection.", ["sucuri"], []),
+    ("Blocked by Imperva/Incapsula — the site uses Imperva bot management.", ["incapsula"], []),
+    ("Blocked by Akamai Bot Manager — the site uses Akamai bot protection.", ["akamai", "your connection needs to be verified", "connection is being verified"], []),
+    ("Access denied (403) — the site explicitly blocked the request.", ["access denied", "403 forbidden"], [403]),
+    ("Unavailable for legal reasons (451) — content restricted in your region.", [], [451]),
+    ("JavaScript required — the site needs JavaScript execution. A browser-based strategy may work.", SCRIPTS[:3], []),
+]
+NO_REASON = "All scraping strategies failed — the site may be using advanced bot protection. Try enabling proxy rotation."
+
+
+def block_reason(html, status) -> Column:
+    """Why a page was withheld, in words."""
+    h, code = F.coalesce(F.lower(_c(html)), F.lit("")), F.coalesce(_c(status), F.lit(0))
+    out = F.lit(NO_REASON)
+    for text, phrases, codes in reversed(REASONS):
+        tests = ([_any(h, phrases)] if phrases else []) + ([code.isin(*codes)] if codes else [])
+        out = F.when(functools.reduce(operator.or_, tests), F.lit(text)).otherwise(out)
+    return out
+
+
+def noscript_block(html) -> Column:
+    """A page of less than 300 characters beside its notice for browsers without scripts."""
+    h = _c(html)
+    return F.lower(h).contains("<noscript") & (F.length(body_text(h)) < 300)
+
+
+def cache_banner_removed(html) -> Column:
+    """Without the banner of a cached copy: the first element of either form."""
+    x = F.regexp_replace(_c(html), r"(?is)^(.*?)<div[^>]*(?:id|class)=[\"']google-cache-hdr[\"'][^>]*>.*?</div>\s*(?:</div>)*", "$1")
+    return F.regexp_replace(x, r"(?is)^(.*?)<div[^>]*style=[\"'][^\"']*text-align:\s*center[^\"']*[\"'][^>]*>.*?This is Google's cache.*?</div>", "$1")

@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words without weight in relevance.
-STOP_WORDS = """
-a an and are as at be but by for from had has have he her his how i if in into is it its no not of on or our she so such that the
-their them then there these they this to was we what when which who will with you your
-""".split()
+STOP_WORDS = (
+    "a an the and or but in on at to for of with by from is are was were be been being have has had do does did will would "
+    "could should may might shall can this that these those it its not no so if as"
+).split()
 
 
 def _c(x) -> Column:
@@ -40,19 +40,22 @@ def chunks_fixed(text, size: int = 100) -> Column:
 
 
 def chunks_sliding(text, size: int = 100, step: int = 50) -> Column:
-    """Windows at every step; the last words once more where no window ends there; short texts whole, as they are."""
+    """Windows at every step; the last words once more where no window ends there; short texts whole, as they are; a blank one
+    has none."""
     w, t = words(text), _c(text)
     full = _windows(w, size, step, F.size(w) - size)
     rest = F.pmod(F.size(w) - size, F.lit(step)) != 0
     tail = F.array(F.array_join(F.slice(w, F.greatest(F.size(w) - size, F.lit(0)) + 1, size), " "))
-    return F.when(F.size(w) <= size, F.array(t)).otherwise(F.when(rest, F.concat(full, tail)).otherwise(full))
+    short = F.when(F.size(w) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(w) <= size, short).otherwise(F.when(rest, F.concat(full, tail)).otherwise(full))
 
 
 def chunks_overlapping(text, size: int = 1000, overlap: int = 100) -> Column:
-    """Windows that share ``overlap`` words; none begins once the end is reached."""
+    """Windows that share ``overlap`` words; none begins once the end is reached; a blank text has none."""
     w, step, t = words(text), max(1, size - overlap), _c(text)
     count = F.ceil((F.size(w) - size) / step).cast("int")
-    return F.when(F.size(w) <= size, F.array(t)).otherwise(_windows(w, size, step, count * step))
+    short = F.when(F.size(w) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(w) <= size, short).otherwise(_windows(w, size, step, count * step))
 
 
 def chunks_split(text, pattern: str = r"\n\n") -> Column:
@@ -87,36 +90,57 @@ def unique_paragraphs(text, least: int = 80) -> Column:
     return F.array_join(keep, "\n\n")
 
 
-LINK = r"!?\[([^\]]*)\]\(([^)\s]+)[^)]*\)"
+LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 
 
 def link_targets(markdown) -> Column:
     return F.regexp_extract_all(_c(markdown), F.lit(LINK), 2)
 
 
+def link_texts(markdown) -> Column:
+    return F.regexp_extract_all(_c(markdown), F.lit(LINK), 1)
+
+
 def references(markdown) -> Column:
-    """``[n] target`` of each distinct link target in order of appearance."""
-    return F.transform(F.array_distinct(link_targets(markdown)), lambda u, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), u))
+    """``⟨n⟩ target — text`` of each distinct link target in order of appearance, with its first text."""
+    urls, texts = link_targets(markdown), link_texts(markdown)
+    first = lambda u: F.element_at(texts, F.array_position(urls, u).cast("int"))
+    return F.transform(F.array_distinct(urls), lambda u, i: F.concat(F.lit("⟨"), (i + 1).cast("string"), F.lit("⟩ "), u, F.lit(" — "), first(u)))
 
 
 def cited(markdown) -> Column:
     """Links replaced by their text and the number of their target."""
-    urls = F.array_distinct(link_targets(markdown))
-    numbered = F.transform(urls, lambda u, i: F.struct(u.alias("u"), (i + 1).cast("string").alias("n")))
-    quoted = lambda u: F.regexp_replace(u, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    start = _c(markdown)
-    return F.aggregate(
-        numbered, start, lambda acc, p: F.regexp_replace(acc, F.concat(F.lit(r"!?\[([^\]]*)\]\("), quoted(p["u"]), F.lit(r"(?:\s[^)]*)?\)")), F.concat(F.lit("$1⟨"), p["n"], F.lit("⟩")))
-    )
+    urls, texts = link_targets(markdown), link_texts(markdown)
+    number = lambda i: F.array_position(F.array_distinct(urls), F.get(urls, i)).cast("string")
+    parts = F.split(_c(markdown), LINK, -1)
+    return F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.concat(F.get(texts, i), F.lit("⟨"), number(i), F.lit("⟩")), F.lit("")))), "")
 
 
 def slug(text, mark: str = "-") -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_c(text)), r"[^a-z0-9]+", mark), f"^{mark}+|{mark}+$", "")
 
 
+#: Currency by the first of these signs that a price holds, in this order.
+CURRENCIES = [
+    ("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"), ("₩", "KRW"), ("R$", "BRL"),
+    ("A$", "AUD"), ("C$", "CAD"), ("₺", "TRY"), ("zł", "PLN"), ("kr", "SEK"), ("Fr", "CHF"),
+]
+
+
 def price(text) -> Column:
-    """The first number of a price, thousands separated by commas."""
-    return F.try_to_number(F.replace(F.regexp_extract(_c(text), r"[0-9][0-9,]*\.?[0-9]*", 0), F.lit(","), F.lit("")), F.lit("999999999999.99")).cast("double")
+    """The first number of a price, thousands separated by commas; where it holds none, one with a decimal comma."""
+    t = F.replace(F.trim(_c(text)), F.lit(" "), F.lit(""))
+    plain = F.replace(F.regexp_extract(t, r"[0-9,]+\.?[0-9]*", 0), F.lit(","), F.lit(""))
+    other = F.replace(F.replace(F.regexp_extract(t, r"[0-9.]+,[0-9]{2}", 0), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.coalesce(plain.try_cast("double"), other.try_cast("double"))
+
+
+def currency(text) -> Column:
+    """Code of the currency; a sign that is part of a longer one counts as itself, as it stands first in the list."""
+    t, out = _c(text), F.lit(None).cast("string")
+    for sign, code in reversed(CURRENCIES):
+        out = F.when(t.contains(sign), F.lit(code)).otherwise(out)
+    return out
 
 
 def duration(minutes) -> Column:

@@ -173,11 +173,14 @@ def glob_pattern(glob: str) -> str:
     return f"^(?s:{out})$"
 
 
+#: Path segments of pages that a crawl leaves out, compared whole.
+CRAWL_JUNK = "wp-admin wp-login wp-json admin login logout signup register cart checkout account password feed rss xmlrpc cgi-bin".split()
+
+
 def should_crawl(url, depth, site: str, max_depth: int = 3, include: tuple = (), exclude: tuple = ()) -> Column:
     p = path(url)
     ok = (_c(depth) <= max_depth) & (domain(url) == F.lit(site)) & scheme(url).isin("http", "https")
-    parts = F.transform(segments(url), lambda x: F.concat(F.lit("/"), F.lower(x)))
-    ok &= ~F.arrays_overlap(parts, F.array(*[F.lit(j) for j in MAP_JUNK if not j.endswith("/")]))
+    ok &= ~F.arrays_overlap(F.transform(segments(url), F.lower), F.array(*[F.lit(j) for j in CRAWL_JUNK]))
     ok &= ~F.lower(p).rlike("(" + "|".join(x.replace(".", "\\.") for x in SKIPPED) + ")$")
     if include:
         ok &= reduce(lambda x, y: x | y, [p.rlike(glob_pattern(g)) for g in include])
@@ -224,16 +227,125 @@ def masked(url) -> Column:
     return F.regexp_replace(_c(url), r"://[^/@:]+(?::[^/@]*)?@", "://***:***@")
 
 
+def without_dots(p: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments worked out."""
+    parts = F.split(p, "/", -1)
+    made = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), F.lit(""),
+        lambda acc, x: F.when(x == "..", F.regexp_replace(acc, "/[^/]*$", "")).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x)),
+    )
+    made = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(made, F.lit("/"))).otherwise(made)
+    return F.when(p.contains("/."), made).otherwise(p)
+
+
 def resolved(href, base) -> Column:
-    """Absolute form of the usual kinds of reference; null for anchors and for schemes that lead nowhere."""
+    """Absolute form of a reference; null for anchors and for schemes that lead nowhere."""
     h, b = F.trim(_c(href)), _c(base)
     root = F.concat(scheme(b), F.lit("://"), netloc(b))
     folder = F.regexp_replace(F.when(path(b) == "", F.lit("/")).otherwise(path(b)), r"[^/]*$", "")
+    rest = F.regexp_extract(h, r"[?#].*$", 0)
+    own = F.regexp_replace(h, r"[?#].*$", "")
     return (
         F.when((h == "") | h.rlike(r"(?i)^(#|javascript:|mailto:|tel:|data:)"), F.lit(None))
         .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(scheme(b), F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(root, h))
         .when(h.startswith("?"), F.concat(root, path(b), h))
-        .otherwise(F.concat(root, folder, h))
+        .otherwise(F.concat(root, without_dots(F.when(h.startswith("/"), own).otherwise(F.concat(folder, own))), rest))
     )
+
+
+#: Query parameters that don't tell pages of a site map apart.
+MAP_TRACKING = (
+    "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_source_platform utm_creative_format utm_marketing_tactic "
+    "_ga _gl _gid gclid gclsrc dclid gbraid wbraid fbclid fb_action_ids fb_action_types fb_source fb_ref msclkid li_fat_id twclid "
+    "_hsenc _hsmi hsa_cam hsa_grp hsa_mt hsa_src hsa_ad hsa_acc hsa_net hsa_ver hsa_la hsa_ol hsa_kw hsa_tgt mc_cid mc_eid "
+    "sc_campaign sc_channel sc_content sc_medium sc_outcome sc_geo sc_country ref referer referrer source medium trk trkInfo trackingId "
+    "intcmp icid int_cmp transaction_id sid sessionid jsessionid phpsessid aspsessionid mkt_tok oly_anon_id oly_enc_id otc vero_id "
+    "wickedid browser_id yclid ymclid"
+).split()
+
+
+def map_normalized(url) -> Column:
+    """Normal form for site maps: only addresses with a query change; they lose their fragment and the parameters above
+    (names are compared in lower case, so the two spelled with capitals never match). Values of one name go together where it first
+    stands."""
+    ps = pairs(url)
+    kept = F.filter(ps, lambda p: ~F.lower(p["k"]).isin(*MAP_TRACKING))
+    names = F.array_distinct(F.transform(kept, lambda p: p["k"]))
+    together = F.flatten(F.transform(names, lambda n: F.filter(kept, lambda p: p["k"] == n)))
+    stem = F.concat(F.when(scheme(url) == "", F.lit("")).otherwise(F.concat(scheme(url), F.lit("://"))), netloc(url), path(url))
+    return F.when(query(url) == "", _c(url)).otherwise(_with_query(stem, _written(together)))
+
+
+def pythonic(flag: Column) -> Column:
+    return F.when(flag, F.lit("True")).otherwise(F.lit("False"))
+
+
+def map_key(url, limit, subdomains, sitemap, search) -> Column:
+    """Cache key of a site map's request."""
+    return F.sha2(F.concat_ws(":", _c(url), _c(limit).cast("string"), pythonic(_c(subdomains)), pythonic(_c(sitemap)), F.coalesce(_c(search), F.lit(""))), 256)
+
+
+def search_key(query_, results, engine, formats: Column) -> Column:
+    return F.sha2(F.concat_ws(":", _c(query_), _c(results).cast("string"), _c(engine), F.array_join(F.array_sort(formats), ",")), 256)
+
+
+def crawl_request_key(url, pages, depth) -> Column:
+    return F.sha2(F.concat_ws(":", _c(url), _c(pages).cast("string"), _c(depth).cast("string")), 256)
+
+
+#: Endings of addresses that lead to pages.
+PAGE_ENDINGS = ["", ".html", ".htm", ".php", ".asp", ".aspx", ".jsp", ".shtml", ".xhtml"]
+#: Hosts of videos.
+VIDEO_HOSTS = ["youtube.com", "www.youtube.com", "m.youtube.com", "youtu.be"]
+#: Hosts, with their subdomains, and first labels of hosts that are hard to fetch from.
+HARD_HOSTS = (
+    "google.com youtube.com facebook.com instagram.com twitter.com x.com linkedin.com reddit.com tiktok.com pinterest.com zillow.com indeed.com "
+    "glassdoor.com walmart.com target.com bestbuy.com cloudflare.com netflix.com spotify.com ticketmaster.com stubhub.com craigslist.org yelp.com"
+).split()
+HARD_LABELS = "amazon nike adidas ebay booking airbnb expedia flipkart myntra ajio zara hm".split()
+#: Languages asked for by the end of the host.
+LOCALES = {
+    ".in": "en-IN,en;q=0.9,hi;q=0.8", ".co.uk": "en-GB,en;q=0.9", ".de": "de-DE,de;q=0.9,en;q=0.8", ".fr": "fr-FR,fr;q=0.9,en;q=0.8",
+    ".co.jp": "ja-JP,ja;q=0.9,en;q=0.8", ".es": "es-ES,es;q=0.9,en;q=0.8", ".it": "it-IT,it;q=0.9,en;q=0.8", ".com.au": "en-AU,en;q=0.9", ".ca": "en-CA,en;q=0.9",
+}
+
+
+def page_ending(url) -> Column:
+    """From the last dot of the path on, where that isn't its first character."""
+    return F.lower(F.regexp_extract(path(url), r"(?s)^.+(\.[^.]*)$", 1))
+
+
+def is_page(url) -> Column:
+    return page_ending(url).isin(*PAGE_ENDINGS)
+
+
+def is_video(url) -> Column:
+    return F.lower(netloc(url)).isin(*VIDEO_HOSTS)
+
+
+def is_hard(url) -> Column:
+    d = domain(url)
+    return d.rlike(r"(^|\.)(" + "|".join(h.replace(".", r"\.") for h in HARD_HOSTS) + ")$") | F.substring_index(d, ".", 1).isin(*HARD_LABELS)
+
+
+def locale(url) -> Column:
+    """Language header by the longest ending of the host that is listed."""
+    out, host = F.lit("en-US,en;q=0.9"), F.lower(netloc(url))
+    for end in sorted(LOCALES, key=len):
+        out = F.when(host.endswith(end), F.lit(LOCALES[end])).otherwise(out)
+    return out
+
+
+def pattern_filter(url, globs: tuple = (), patterns: tuple = (), negate: bool = False) -> Column:
+    """Any of the globs on the path, or of the patterns anywhere in the address; all pass where there are none."""
+    tests = [path(url).rlike(glob_pattern(g)) for g in globs] + [_c(url).rlike(p) for p in patterns]
+    ok = reduce(lambda x, y: x | y, tests) if tests else F.lit(True)
+    return ~ok if negate else ok
+
+
+def domain_filter(url, allowed: tuple = (), blocked: tuple = ()) -> Column:
+    """Blocked hosts never pass; where some are allowed only those do."""
+    d = domain(url)
+    ok = d.isin(*allowed) if allowed else F.lit(True)
+    return ok & ~d.isin(*blocked) if blocked else ok

@@ -212,7 +212,7 @@ def _cells(tr: Node) -> list[str]:
     for c in tr.children:
         if not isinstance(c, str) and c.tag in ("td", "th"):
             span = c.attrs.get("colspan", "1")
-            out += [c.text()] * max(1, min(50, int(span) if span.isdigit() else 1))
+            out += [c.text()] * max(1, min(1000, int(span)) if span.isdigit() else 1)  # the HTML standard's own limit
     return out
 
 
@@ -310,21 +310,21 @@ def to_markdown(root: Node) -> str:
     return "\n\n".join(out)
 
 
-_GAPS, _TAIL = re.compile(r"\n{3,}"), re.compile(r"[ \t]+$", re.M)
+_GAPS, _TAIL, _WIDE = re.compile(r"\n{3,}"), re.compile(r"[ \t]+\n"), re.compile(r"([^\n]) {3,}")
 
 
 def postprocess(md: str) -> str:
-    """Blank runs and trailing blanks outside code fences, empty headings, repeated long paragraphs."""
-    parts = re.split(r"(```.*?```)", md, flags=re.S)
-    parts[::2] = [re.sub(r"(?m)^#{1,6}\s*$\n?", "", _GAPS.sub("\n\n", _TAIL.sub("", p))) for p in parts[::2]]
+    """Blank runs, trailing and repeated blanks outside code fences; long paragraphs that repeat; empty headings."""
+    parts = re.split(r"(```[^\n]*\n.*?```)", md, flags=re.S)
+    parts[::2] = [_WIDE.sub(r"\1 ", _TAIL.sub("\n", _GAPS.sub("\n\n", p))) for p in parts[::2]]
     seen: set[str] = set()
     keep = []
     for p in re.split(r"\n{2,}", "".join(parts)):
         key = " ".join(p.lower().split())
-        if len(p.strip()) < 80 or key not in seen:
+        if len(key) < 80 or key not in seen:
             keep.append(p)
         seen.add(key)
-    return "\n\n".join(keep).strip()
+    return _GAPS.sub("\n\n", re.sub(r"(?m)^#{1,6}\s*$", "", "\n\n".join(keep))).strip()
 
 
 def structured_data(root: Node) -> dict:
@@ -491,28 +491,13 @@ def images(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return apply(df, id_col, html_col, "images", "array<struct<src:string,alt:string,srcset:array<struct<url:string,descriptor:string>>>>", found, arrow)
 
 
-#: Weights of elements in the pruning of blocks.
-BLOCK_WEIGHTS = {"article": 1.5, "main": 1.5, "section": 1.2, "p": 1.0, "h1": 1.2, "h2": 1.1, "h3": 1.0, "blockquote": 1.0, "pre": 1.0, "li": 0.8, "td": 0.7, "div": 0.6}
-
-
 def pruned_blocks(df: DataFrame, id_col: str, html_col: str, least: float = 0.48) -> DataFrame:
     """(id, blocks): text blocks by density of text, share of links, element and length, those of a high score."""
-    import math
+    from weftline.operators.cleaning import joined, pruning_score, text_blocks
 
     def found(root: Node) -> list[dict]:
-        out = []
-        for pos, n in enumerate(root.walk()):
-            if n.tag not in BLOCK_WEIGHTS or n.tag in ("article", "main", "section", "div"):
-                continue
-            t = n.text()
-            if len(t.split()) < 5:
-                continue
-            link = sum(len(a.text()) for a in n.walk() if a.tag == "a")
-            size = len(t) + sum(2 * len(x.tag) + 5 for x in n.walk())
-            score = 0.4 * len(t) / size + 0.2 * (1 - link / len(t)) + 0.2 * BLOCK_WEIGHTS[n.tag] + 0.2 * min(1.0, math.log(len(t)) / 10)
-            if score >= least:
-                out.append({"pos": pos, "tag": n.tag, "text": t, "score": round(score, 4)})
-        return out
+        scored = [(pos, n, pruning_score(n)) for pos, n in enumerate(text_blocks(root, 2))]
+        return [{"pos": pos, "tag": n.tag, "text": joined(n), "score": round(v, 4)} for pos, n, v in scored if v >= least]
 
     arrow = pa.list_(pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("score", pa.float64())]))
     return apply(df, id_col, html_col, "blocks", "array<struct<pos:int,tag:string,text:string,score:double>>", found, arrow)

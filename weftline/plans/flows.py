@@ -44,7 +44,7 @@ def graph_dfs(s, d):
 
 
 def graph_frontier(s, d):
-    """What the links of the first half of the crawl add to the frontier."""
+    """What the links of the crawled pages add to the frontier."""
     j = table(s, d, "job_results").select("id", "url", "links")
     found = j.select((F.col("id") * 1000).alias("base"), F.posexplode("links").alias("p", "url")).select("url", (F.col("base") + F.col("p")).alias("pos"))
     seen = j.select(U.crawl_key("url").alias("key")).distinct()
@@ -99,5 +99,5 @@ SQL = {
     "robots_rules": r"""select page_id, not (starts_with(p, '/archive/') and not starts_with(p, '/archive/the-')) as allowed
         from (select page_id, regexp_extract(url, '^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)', 3) as p from pages)""",
     "archive_names": """select page_id, lpad(page_id::varchar, 8, '0') || '_' ||
-        substr(regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) as name from pages""",
+        coalesce(nullif(substr(trim(regexp_replace(regexp_replace(url, 'https?://', '', 'g'), '[^a-zA-Z0-9._-]', '_', 'g'), '_'), 1, 120), ''), 'page') as name from pages""",
 }

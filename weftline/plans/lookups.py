@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from weftline.functions import html as H
 from weftline.functions import text as T
 from weftline.functions import urls as U
+from weftline.plans.texts import _VIS
+from weftline.plans.urls import URL_CTE
 from weftline.session import table
 
-#: Locale by the end of the host.
-LOCALES = {"de": "de-DE", "fr": "fr-FR", "es": "es-ES", "example": "en-US", "test": "en-GB"}
-
-
 def config_join(s, d):
     """Pages under the address that their job was configured with (join on a JSON path)."""
     j = table(s, d, "jobs").select(F.col("id").alias("job_id"), U.domain(F.get_json_object("config", "$.url")).alias("site"))
@@ -24,20 +22,19 @@ def config_join(s, d):
 
 
 def lookup_first(s, d):
-    """For each crawled page the first single page of the same host."""
-    p = table(s, d, "pages").groupBy(U.domain("url").alias("host")).agg(F.min("page_id").alias("page_id"))
-    return table(s, d, "job_results").select("id", U.domain("url").alias("host")).join(p, "host").select("id", "page_id")
+    """For each crawled page the first single page of the same normalised address."""
+    p = table(s, d, "pages").groupBy(U.normalized("url").alias("page")).agg(F.min("page_id").alias("page_id")).where("page is not null")
+    return table(s, d, "job_results").select("id", U.normalized("url").alias("page")).join(p, "page").select("id", "page_id")
 
 
 def locale_lookup(s, d):
-    end = F.element_at(F.split(U.domain("url"), r"\."), -1)
-    locales = F.create_map(*[F.lit(x) for kv in LOCALES.items() for x in kv])
-    return table(s, d, "pages").groupBy(F.coalesce(F.element_at(locales, end), F.lit("en-US")).alias("locale")).agg(F.count("*").alias("pages"))
+    """Pages by the languages that their host's ending asks for."""
+    return table(s, d, "pages").groupBy(U.locale("url").alias("locale")).agg(F.count("*").alias("pages"))
 
 
 def thin_pages(s, d):
-    """Pages of fewer than 400 words."""
-    return table(s, d, "job_results").where("markdown is not null").select("id", T.word_count("markdown").alias("words")).where("words < 400")
+    """Pages of fewer than 15 words."""
+    return table(s, d, "job_results").where("markdown is not null").select("id", T.word_count("markdown").alias("words")).where("words < 15")
 
 
 def enriched_results(s, d):
@@ -87,10 +84,12 @@ def link_directions(s, d):
 
 
 def overdue_monitors(s, d):
-    """Monitors not checked in the last day of the table."""
-    c = table(s, d, "monitor_checks").groupBy("monitor_id").agg(F.max("checked_at").alias("last"))
+    """The fifty monitors that are due first: active ones (their last check wasn't an error) whose next check, two hours
+    after the last, isn't later than the table's end."""
+    c = table(s, d, "monitor_checks").groupBy("monitor_id").agg(F.max("checked_at").alias("last"), F.max_by("status_code", F.struct("checked_at", "id")).alias("status"))
     now = c.agg(F.max("last").alias("now"))
-    return c.crossJoin(F.broadcast(now)).where(F.expr("last < now - interval 1 day")).select("monitor_id")  # one row
+    due = c.crossJoin(F.broadcast(now)).where(F.expr("coalesce(status, 0) < 500 and last + interval 2 hours <= now"))  # one row
+    return due.orderBy("last", "monitor_id").limit(50).select("monitor_id", F.expr("last + interval 2 hours").alias("next_check"))
 
 
 def search_grid(s, d):
@@ -135,19 +134,20 @@ _NET = "regexp_extract({}, '^(?:([^:/?#]+):)?(?://([^/?#]*))?', 2)"
 _DOM = r"regexp_replace(lower(" + _NET + r"), '^www\.', '')"
 _TWO = lambda c: f"list_element(string_split({_DOM.format(c)}, '.'), -2) || '.' || list_element(string_split({_DOM.format(c)}, '.'), -1)"
 _WORDS = r"len(list_filter(regexp_split_to_array(trim(markdown), '\s+'), lambda x: x <> ''))"
-_VIS = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|noscript)\b[^>]*>.*?</(?:script|style|noscript)\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+_BOTH = URL_CTE.replace("select page_id, url from pages", "select page_id, url from pages union all select -id, url from job_results")
 _MADE = f"""case when markdown is null then '# ' || t || chr(10) || chr(10) || de when {_WORDS} < 50
   then '# ' || t || chr(10) || chr(10) || de || chr(10) || chr(10) || '---' || chr(10) || chr(10) || markdown else markdown end"""
 SQL = {
     "config_join": f"""select page_id, job_id, {_DOM.format("json_extract_string(config, '$.url')")} as site from pages p join jobs j on p.job_id = j.id
         where {_DOM.format('p.url')} = {_DOM.format("json_extract_string(config, '$.url')")}""",
-    "lookup_first": f"""select r.id, p.page_id from job_results r join (select {_DOM.format('url')} as host, min(page_id) as page_id from pages group by 1) p
-        on {_DOM.format('r.url')} = p.host""",
-    "locale_lookup": f"""select case list_element(string_split({_DOM.format('url')}, '.'), -1) when 'de' then 'de-DE' when 'fr' then 'fr-FR' when 'es' then 'es-ES' when 'test' then 'en-GB'
-        else 'en-US' end as locale, count(*) as pages from pages group by 1""",
-    "thin_pages": f"select id, {_WORDS}::int as words from job_results where markdown is not null and {_WORDS} < 400",
+    "lookup_first": f"""with {_BOTH}, p1 as (select norm, min(page_id) as first from n where page_id > 0 and norm is not null group by norm)
+        select -n.page_id as id, p1.first as page_id from n join p1 using (norm) where n.page_id < 0""",
+    "locale_lookup": f"""with x as (select lower({_NET.format('url')}) as h from pages) select case when h like '%.com.au' then 'en-AU,en;q=0.9' when h like '%.co.uk' then 'en-GB,en;q=0.9'
+        when h like '%.co.jp' then 'ja-JP,ja;q=0.9,en;q=0.8' when h like '%.in' then 'en-IN,en;q=0.9,hi;q=0.8' when h like '%.de' then 'de-DE,de;q=0.9,en;q=0.8' when h like '%.fr' then 'fr-FR,fr;q=0.9,en;q=0.8'
+        when h like '%.es' then 'es-ES,es;q=0.9,en;q=0.8' when h like '%.it' then 'it-IT,it;q=0.9,en;q=0.8' when h like '%.ca' then 'en-CA,en;q=0.9' else 'en-US,en;q=0.9' end as locale, count(*) as pages from x group by 1""",
+    "thin_pages": f"select id, {_WORDS}::int as words from job_results where markdown is not null and {_WORDS} < 15",
     "enriched_results": f"select page_id, md5({_MADE}) as hash, length({_MADE})::int as size from (select page_id, coalesce(title, '') as t, coalesce(description, '') as de, markdown from pages)",
     "source_fallback": "select job_id, min(rank)::int as source, count(*) as pages from (select job_id, 0 as rank from job_results union all select job_id, 1 from pages where job_id is not null) group by 1",
     "ranked_pages": """select status_code, position::int as position, page_id from (select status_code, page_id, row_number() over (partition by status_code
@@ -161,7 +161,8 @@ SQL = {
     "link_directions": f"""with x as (select id, url, unnest(links) as link from job_results), y as (select id, case when {_NET.format('link')} = {_NET.format('url')} then 'internal'
         when {_TWO('link')} = {_TWO('url')} then 'related' else 'external' end as k from x)
         select id, count(*) filter (k = 'internal') as internal, count(*) filter (k = 'related') as related, count(*) filter (k = 'external') as external from y group by id""",
-    "overdue_monitors": "with c as (select monitor_id, max(checked_at) as last from monitor_checks group by 1) select monitor_id from c where last < (select max(last) from c) - interval 1 day",
+    "overdue_monitors": """with c as (select monitor_id, max(checked_at) as last, arg_max(status_code, (checked_at, id)) as status from (select * from monitor_checks where checked_at is not null) group by 1)
+        select monitor_id, last + interval 2 hours as next_check from c where coalesce(status, 0) < 500 and last + interval 2 hours <= (select max(last) from c) order by last, monitor_id limit 50""",
     "search_grid": """select ring::int as ring, (x * ring)::int as dx, (y * ring)::int as dy, least(21, greatest(1, round_even(14 - log2(ring * 2.5), 0)::int))::int as zoom
         from generate_series(1, 4) r(ring), (values (-1), (0), (1)) a(x), (values (-1), (0), (1)) b(y) where not (x = 0 and y = 0)""",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import analytics, dom, flows, lookups, texts, urls
+from weftline.plans import analytics, dom, flows, lookups, more, pages, texts, urls
 
-MODULES = [urls, analytics, texts, dom, flows, lookups]
+MODULES = [urls, analytics, texts, dom, pages, flows, lookups, more]
 FLAGSHIP = urls.url_dedup_first
 
 

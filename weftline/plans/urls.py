@@ -78,10 +78,38 @@ def url_scores(spark, d):
 
 def url_filter_chain(spark, d):
     """Pattern, domain, ending and junk filters together."""
-    ok = U.path("url").rlike(U.glob_pattern("/*/*")) & ~U.map_junk("url") & (U.ending_weight("url") >= 0.5) & ~U.domain("url").isin("docs.morlumixotas.example")
+    ok = U.pattern_filter("url", ("/*/*",)) & ~U.map_junk("url") & U.is_page("url") & U.domain_filter("url", blocked=("docs.morlumixotas.example",))
     return pages(spark, d).where(ok).select("page_id", "url")
 
 
+def url_pattern_filters(spark, d):
+    """Globs or patterns, one of them negated, and a list of allowed hosts from the table itself."""
+    some = U.pattern_filter("url", ("/news/*", "/blog/*"), (r"-[0-9]{5}$",)) & U.pattern_filter("url", ("*storm*",), negate=True)
+    p = pages(spark, d)
+    hosts = p.where("page_id % 2 = 0").select(U.domain("url").alias("domain")).distinct()
+    return p.where(some & U.domain("url").endswith(".example")).withColumn("domain", U.domain("url")).join(hosts, "domain", "left_semi").select("page_id")
+
+
+def url_flags(spark, d):
+    """Addresses of videos, of hosts that are hard to fetch from, and of pages by their ending."""
+    return pages(spark, d).select("page_id", U.is_video("url").alias("video"), U.is_hard("url").alias("hard"), U.is_page("url").alias("page"))
+
+
+def url_map_normalize(spark, d):
+    return pages(spark, d).select("page_id", U.map_normalized("url").alias("normalized"))
+
+
+def url_request_keys(spark, d):
+    """Cache keys of site map, search and crawl requests made from the jobs' configurations."""
+    j = table(spark, d, "jobs").withColumn("url", F.get_json_object("config", "$.url"))
+    formats = F.coalesce(F.from_json(F.get_json_object("config", "$.formats"), "array<string>"), F.array().cast("array<string>"))
+    number = lambda k: F.coalesce(F.get_json_object("config", f"$.{k}"), F.lit("0"))
+    return j.select(
+        "id", U.map_key("url", F.col("id") % 50, F.col("id") % 2 == 0, F.col("id") % 3 == 0, F.when(F.col("status") == "failed", F.col("error"))).alias("map_key"),
+        U.search_key("url", F.lit(10), "type", formats).alias("search_key"), U.crawl_request_key("url", number("max_pages"), number("max_depth")).alias("crawl_key"),
+    )
+
+
 def url_should_crawl(spark, d):
     ok = U.should_crawl("url", F.size(U.segments("url")), "docs.morlumixotas.example", 2, include=("/*",), exclude=("/archive/*",))
     return pages(spark, d).where(ok).select("page_id", "url")
@@ -112,7 +140,7 @@ def url_map_search(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    url_normalize, url_normalize_crawl, url_dedup_first, url_facet_groups, url_parts, url_scores, url_filter_chain, url_should_crawl,
+    url_normalize, url_normalize_crawl, url_dedup_first, url_facet_groups, url_parts, url_scores, url_filter_chain, url_should_crawl, url_pattern_filters, url_flags, url_map_normalize, url_request_keys,
     url_cache_keys, url_resolve, url_mask, url_map_search,
 )}
 
@@ -137,16 +165,31 @@ SQL = {
               when 2026 - regexp_extract(url, '(20[12][0-9])', 1)::int <= 5 then 0.4 else 0.2 end)::double as fresh from p)
         select *, (keyword * 2.0 + depth + ending + fresh * 0.5) / 4.5 as score from s""",
     "url_filter_chain": f"""with {URL_CTE} select page_id, url from p where regexp_matches(path, '^(?s:/.*/.*)$') and not ({_JUNK})
-        and (case {_END} else 1.0 end) >= 0.5 and {_DOM} <> 'docs.morlumixotas.example'""",
+        and lower(regexp_extract(path, '(?s)^.+(\\.[^.]*)$', 1)) in ('', '.html', '.htm', '.php', '.asp', '.aspx', '.jsp', '.shtml', '.xhtml') and {_DOM} <> 'docs.morlumixotas.example'""",
+    "url_pattern_filters": f"""with {URL_CTE} select page_id from p where (path like '/news/%' or path like '/blog/%' or regexp_matches(url, '-[0-9]{{5}}$')) and not regexp_matches(path, '^.*storm.*$')
+        and ({_DOM} like '%.example') and {_DOM} in (select distinct {_DOM} from p where page_id % 2 = 0)""",
+    "url_flags": f"""with {URL_CTE} select page_id, lower(netloc) in ('youtube.com', 'www.youtube.com', 'm.youtube.com', 'youtu.be') as video,
+        regexp_matches({_DOM}, '(^|[.])({"|".join(h.replace(".", "[.]") for h in U.HARD_HOSTS)})$') or string_split({_DOM}, '.')[1] in ({_IN(U.HARD_LABELS)}) as hard,
+        lower(regexp_extract(path, '(?s)^.+(\\.[^.]*)$', 1)) in ('', '.html', '.htm', '.php', '.asp', '.aspx', '.jsp', '.shtml', '.xhtml') as page from p""",
+    "url_map_normalize": f"""with {URL_CTE}, f as (select *, min(i) over (partition by page_id, k) as first from kd where lower(k) not in ({_IN(U.MAP_TRACKING)})),
+        e as (select page_id, string_agg(replace(url_encode(k), '%20', '+') || '=' || replace(url_encode(v), '%20', '+'), '&' order by first, i) as q from f group by page_id)
+        select p.page_id, case when p.query = '' then p.url else case when p.scheme = '' then '' else p.scheme || '://' end || p.netloc || regexp_extract(p.url, '{_P}', 3) || case when e.q is null then '' else '?' || e.q end end as normalized
+        from p left join e using (page_id)""",
+    "url_request_keys": """select id, sha256(concat_ws(':', url, (id % 50)::varchar, case when id % 2 = 0 then 'True' else 'False' end, case when id % 3 = 0 then 'True' else 'False' end, coalesce(s, ''))) as map_key,
+        sha256(concat_ws(':', url, '10', type, array_to_string(list_sort(json_extract_string(config, '$.formats[*]')), ','))) as search_key,
+        sha256(concat_ws(':', url, coalesce(json_extract_string(config, '$.max_pages'), '0'), coalesce(json_extract_string(config, '$.max_depth'), '0'))) as crawl_key
+        from (select *, json_extract_string(config, '$.url') as url, case when status = 'failed' then error end as s from jobs)""",
     "url_should_crawl": f"""with {URL_CTE} select page_id, url from p where len({_SEG}) <= 2 and {_DOM} = 'docs.morlumixotas.example'
-        and scheme in ('http', 'https') and not list_has_any(list_transform({_SEG}, lambda x: '/' || lower(x)), [{_IN([j for j in U.MAP_JUNK if j[-1] != '/'])}])
+        and scheme in ('http', 'https') and not list_has_any(list_transform({_SEG}, lambda x: lower(x)), ['wp-admin', 'wp-login', 'wp-json', 'admin', 'login', 'logout', 'signup', 'register', 'cart', 'checkout', 'account', 'password', 'feed', 'rss', 'xmlrpc', 'cgi-bin'])
         and not regexp_matches(lower(path), '({"|".join(x.replace('.', chr(92) + '.') for x in U.SKIPPED)})$') and path like '/%' and path not like '/archive/%'""",
     "url_cache_keys": "select page_id, sha256(url || ':' || array_to_string(list_sort(['markdown', 'html', coalesce(language, '')]), ',')) as cache_key from pages",
     "url_resolve": rf"""with {URL_CTE}, h as (select page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1)) as href from pages),
         j as (select h.page_id, trim(h.href) as h, h.href, p.scheme || '://' || p.netloc as root, p.scheme, p.path from h join p using (page_id))
         select distinct page_id, href, case when h = '' or regexp_matches(h, '(?i)^(#|javascript:|mailto:|tel:|data:)') then null
-            when regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then h when h like '//%' then scheme || ':' || h when h like '/%' then root || h
-            when h like '?%' then root || path || h else root || regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || h end as target from j""",
+            when regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then h when h like '//%' then scheme || ':' || h when h like '?%' then root || path || h
+            else root || case when contains(q, '/.') then list_reduce(string_split(q, '/'), lambda acc, x: case when x = '..' then regexp_replace(acc, '/[^/]*$', '') when x = '.' then acc else acc || '/' || x end)
+                || case when string_split(q, '/')[-1] in ('.', '..') then '/' else '' end else q end || regexp_extract(h, '[?#].*$') end as target
+        from (select *, case when h like '/%' then regexp_replace(h, '[?#].*$', '') else regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || regexp_replace(h, '[?#].*$', '') end as q from j)""",
     "url_mask": "select page_id, regexp_replace(url, '://', '://***:***@') as masked from pages",
     "url_map_search": """select page_id, (contains(lower(url), 'server')::int * 2 + contains(lower(coalesce(title, '')), 'server')::int * 3
         + contains(lower(coalesce(description, '')), 'server')::int) as score from pages

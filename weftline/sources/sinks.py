@@ -21,10 +21,21 @@ def json_lines(df: DataFrame, path: str, status: str = "completed") -> None:
     df.sparkSession.createDataFrame([(status,)], "status string").coalesce(1).write.mode("overwrite").json(f"{path}/status")
 
 
+def only(df: DataFrame, fields: list[str]) -> DataFrame:
+    """The columns on a list that there are, in the list's order."""
+    return df.select(*[c for c in fields if c in df.columns])
+
+
+def safe_name(url: Column) -> Column:
+    """What of an address may stand in a file name: every other character an underscore, 120 at most."""
+    x = F.regexp_replace(F.regexp_replace(url, r"https?://", ""), r"[^a-zA-Z0-9._-]", "_")
+    x = F.substring(F.regexp_replace(x, r"^_+|_+$", ""), 1, 120)
+    return F.when(x == "", F.lit("page")).otherwise(x)
+
+
 def file_name(url: Column, n: Column) -> Column:
-    """Folder of a page in an archive: its number and what of its address may stand in a file name."""
-    safe = F.substring(F.regexp_replace(F.regexp_replace(url, r"^https?://", ""), r"[^A-Za-z0-9._-]+", "_"), 1, 80)
-    return F.concat(F.lpad(n.cast("string"), 8, "0"), F.lit("_"), safe)
+    """Folder of a page in an archive: its number and its address."""
+    return F.concat(F.lpad(n.cast("string"), 8, "0"), F.lit("_"), safe_name(url))
 
 
 def archives(df: DataFrame, name: str = "name", text: str = "text") -> DataFrame:

@@ -98,6 +98,83 @@ def circuit_breaker_stream(events: DataFrame, key: str = "user_id", forget_ms: i
     return events.groupBy(key).applyInPandasWithState(run, shape, "name string, fails array<double>, opened double", "append", timeout)
 
 
+def ttl_cache(events: DataFrame, key: str, what: str, ts: str, tie: str, keep_s: float = 3600.0) -> DataFrame:
+    """(key, event, hit): whether what an event asks for was in its key's cache; an entry lasts ``keep_s`` seconds from when
+    it was made, and a hit doesn't prolong it. State: the entries that haven't run out."""
+
+    def step(state: dict, r):
+        now, name = getattr(r, ts), getattr(r, what)
+        hit = name in state and now - state[name] < keep_s
+        if not hit:
+            state = {k: v for k, v in state.items() if now - v < keep_s} | {name: now}
+        return state, (getattr(r, tie), hit)
+
+    kind = events.schema[key].dataType.simpleString()
+    return fold(events, key, [ts, tie], [what], dict, step, f"{key} {kind}, {tie} bigint, hit boolean")
+
+
+def slots_step(slots: int, load: float, most: int) -> int:
+    """Tasks that a load in percent allows: one fewer above 75, one alone above 90, one more below 50."""
+    return 1 if load >= 90 else max(1, slots - 1) if load >= 75 else min(most, slots + 1) if load < 50 else slots
+
+
+def adaptive_slots(events: DataFrame, key: str, load: str, ts: str, tie: str, most: int = 8) -> DataFrame:
+    """(key, event, slots) by ``slots_step`` from ``most`` on."""
+
+    def step(state: int, r):
+        state = slots_step(state, getattr(r, load), most)
+        return state, (getattr(r, tie), state)
+
+    kind = events.schema[key].dataType.simpleString()
+    return fold(events, key, [ts, tie], [load], lambda: most, step, f"{key} {kind}, {tie} bigint, slots int")
+
+
+def cron_after(cron: str, after):
+    """The first minute later than ``after`` that a cron line of five fields allows; None for a line that none does. As
+    usual, where both day fields are restricted either may match."""
+    from datetime import timedelta
+
+    fields = cron.split()
+    if len(fields) != 5:
+        return None
+    sets = []
+    for text, low, high in zip(fields, (0, 0, 1, 1, 0), (59, 23, 31, 12, 7)):
+        got: set[int] = set()
+        for part in text.split(","):
+            span, _, step = part.partition("/")
+            a, _, b = span.partition("-")
+            try:
+                first, last = (low, high) if a == "*" else (int(a), int(b) if b else high if step else int(a))
+                got |= set(range(first, last + 1, int(step) if step else 1))
+            except ValueError:
+                return None
+        sets.append({x for x in got if low <= x <= high})
+    minutes, hours, days, months, weekdays = sets
+    weekdays = {x % 7 for x in weekdays}
+    at = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    either = fields[2] != "*" and fields[4] != "*"
+    for _ in range(366 * 8 + 1):  # days to look at: a 29th of February comes within eight years
+        dom, dow = at.day in days, (at.weekday() + 1) % 7 in weekdays
+        if at.month in months and ((dom or dow) if either else (dom and dow)):
+            for h in sorted(x for x in hours if x >= at.hour):
+                for m in sorted(x for x in minutes if h > at.hour or x >= at.minute):
+                    return at.replace(hour=h, minute=m)
+        at = (at + timedelta(days=1)).replace(hour=0, minute=0)
+    return None
+
+
+def cron_next(df: DataFrame, id_col: str, cron: str, after: str) -> DataFrame:
+    """(id, next_run) of schedules given as cron lines; null for a line that can't be read."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [cron_after(c, t.to_pydatetime()) if c and t is not pd.NaT else None for c, t in zip(b[cron], b[after])]
+            yield pd.DataFrame({id_col: b[id_col], "next_run": pd.Series(found, dtype="datetime64[us]")})
+
+    return df.select(id_col, cron, after).mapInPandas(run, f"{id_col} {kind}, next_run timestamp_ntz")
+
+
 def seen_stream(urls: DataFrame, key: str = "url", ts: str = "ts", keep: str = "2 hours") -> DataFrame:
     """First sight of each key; keys are forgotten after ``keep``."""
     return urls.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
