@@ -54,6 +54,7 @@ LONG = 260
 CACHE = 100_000
 
 
+LETTERS = re.compile(r"[\W\d_]+")
 _NO_LETTERS = bytes(k for k in range(128) if not 97 <= k <= 122)
 
 
@@ -64,7 +65,7 @@ def letters(text: str) -> bytes:
 
 def key_of(text: str) -> int:
     """Hash of a line's letters, as Spark's ``xxhash64`` gives it."""
-    h = xxhash.xxh64_intdigest(letters(text), seed=42)
+    h = xxhash.xxh64_intdigest(letters(text) if text.isascii() else LETTERS.sub("", text.lower()).encode("utf-8", "replace"), seed=42)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -85,7 +86,7 @@ def _bucket(n: int) -> int:
     return n if n < 4 else 4 + min(5, (n - 4).bit_length())
 
 
-def features(line: str) -> list[int]:
+def features(line: str, words_too: bool = True) -> list[int]:
     """Hashed feature numbers of a line, code and position left out."""
     s = line.strip()
     out: list[str] = []
@@ -122,6 +123,8 @@ def features(line: str) -> list[int]:
         out.append("columns")
     if size > LONG:
         out.append("long")
+        if not words_too:
+            return list(map(_buckets.__getitem__, out))
         words = text.lower().split()
         out += {w.rstrip(".,;:!?") for w in words}
         words = [TOKEN.search(w)[0] if TOKEN.search(w) else w for w in words[:2]]  # a short line's tokens
@@ -137,6 +140,8 @@ def features(line: str) -> list[int]:
                 out.append(f"{c}{min(k, 4)}")
         if NUMBER.search(text):
             out.append("digit")
+        if not words_too:
+            return list(map(_buckets.__getitem__, out))
         words = ["0" if w.isdigit() else w for w in words]
         out += words
         out += [a + " " + b for a, b in zip(words, words[1:])]
@@ -656,6 +661,9 @@ def fit(examples: Iterable[tuple[Page, np.ndarray, frozenset]], epochs: int = 6,
             if y[n] >= 0:
                 rows.append(features(line) + more.get(n, []))
                 labels.append(int(y[n]))
+                if len(line) > 20:  # once more without its words: what it looks like and the host's repeating it must tell too
+                    rows.append(features(line, False) + more.get(n, []))
+                    labels.append(int(y[n]))
         if page.tree:
             states = element_labels(page, y)
             younger: dict[int, int] = {}
@@ -700,7 +708,7 @@ def notices(rows: DataFrame, least: int = 3, share: float = 0.03) -> DataFrame:
     at least ``least`` headlines and ``share`` of its headlines; so a host has at most lines per page / share of them.
     Only hashes are shuffled, with map-side combining."""
     lines = F.filter(F.split("text", "\n", -1), lambda x: (F.length(x) > 20) & ~x.contains("]("))
-    letters_ = F.filter(F.transform(lines, lambda x: F.regexp_replace(F.lower(x), r"[\x00-\x60\x7b-\x7f]+", "")), lambda x: x != "")
+    letters_ = F.filter(F.transform(lines, lambda x: F.regexp_replace(F.lower(x), r"\P{L}+", "")), lambda x: x != "")
     base = rows.select("host", headline_key().alias("headline"), F.array_distinct(F.transform(letters_, lambda x: F.xxhash64(x))).alias("keys"))
     total = base.groupBy("host").agg(F.approx_count_distinct("headline", 0.02).alias("headlines"))
     few = base.select("host", "headline", F.explode("keys").alias("h")).distinct()
