@@ -6,7 +6,7 @@ normaliser is the identity. A text is cut into pre-tokens by the vocabulary's pa
 encoded by the model, and ids are decoded by the inverse of the byte mapping.
 
 Defined results: null and empty text give an empty list; strings that look like special tokens are
-ordinary text; lone surrogates (which UTF-8 can't hold) become U+FFFD; a repeated row gives a repeated row.
+ordinary text; lone surrogates (which UTF-8 can't hold) become a question mark; a repeated row gives a repeated row.
 """
 
 from __future__ import annotations
