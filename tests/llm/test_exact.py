@@ -98,6 +98,37 @@ def test_prob_min_hash_estimates_likeness():
     assert abs((s[0] == s[1]).mean() - 0.5) < 0.05
 
 
+def test_near_duplicates_in_hot_groups(spark):
+    """Recall against brute force where groups of near copies hold half a percent to five percent of all rows, and all pairs
+    of a class of copies that is spread over salts."""
+    rng = random.Random(4)
+    word = lambda: "w" + str(rng.randrange(4000))
+    texts = [" ".join(word() for _ in range(90)) for _ in range(1100)]
+    for share in (0.005, 0.01, 0.03, 0.05):
+        base = [word() for _ in range(90)]
+        for _ in range(int(2000 * share)):
+            copy = list(base)
+            for k in rng.sample(range(90), rng.choice([2, 4, 6, 9])):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    texts += [texts[0]] * 70
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    near = neardup.NearDuplicates(df, "id", "text", n=3, threshold=0.5, bucket=16)
+    got = {(r.id_a, r.id_b) for r in near.pairs().collect()}
+    sets = [set(neardup.shingles(t, 3).tolist()) for t in texts]
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            both = len(sets[i] & sets[j])
+            if both and both / (len(sets[i]) + len(sets[j]) - both) >= 0.5:
+                want.add((i, j))
+    assert not got - want and len(got & want) >= 0.995 * len(want) > 3000
+    members = {r.id: (r.rep, r.copies) for r in near.members.collect()}
+    assert members[0] == (0, 71) and members[len(texts) - 1] == (0, 71) and members[1] == (1, 1)
+    exact = neardup.NearDuplicates(df.where("id < 60 or id > 1250"), "id", "text", n=3, threshold=0.5, bucket=16, sigmas=None)
+    assert {(r.a, r.b) for r in exact.links.collect()} >= {(a, b) for a, b in got if a > 1250 and b < len(texts) - 70}
+
+
 def test_site_lines(spark):
     rows = [(i, "https://WWW.a.example:80/p", f"Legal notice {i}!\n\nbody {chr(97 + i)}{chr(98 + i)}q\n{i}{i}\n**LEGAL** notice") for i in range(6)]
     rows += [(9, "http://a.example/x", "other"), (10, None, "Legal notice"), (11, "https://b.example", None), (12, "https://b.example", "")]
@@ -132,12 +163,23 @@ def test_leakage(spark):
     items = spark.createDataFrame([(1, ITEM), (2, "An entirely different passage of text that nobody ever copied into any of these documents at all."), (3, None)], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in leakage.leaks(d, "doc_id", "text", items, "item_id", "text").collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (7, 1), (10, 1)]
+    assert sorted((r.doc_id, r.item_id) for r in leakage.leaks(d, "doc_id", "text", items, "item_id", "text", cover=0.0).collect()) == got
     small = leakage.leaks(d, "doc_id", "text", items, "item_id", "text", block_words=10)
     assert sorted((r.doc_id, r.item_id) for r in small.collect()) == got
     assert leakage.leaks(d, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert leakage.leaks(d.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 
 
+def test_leakage_across_a_long_text():
+    """Only words around common seeds are aligned; what lies between them changes neither share nor order."""
+    item = leakage.word_hashes(ITEM.split())
+    far = leakage.word_hashes([f"x{k}" for k in range(50_000)])
+    one = np.concatenate([item[:15], far, item[15:]])
+    assert len(leakage.around(np.array([0, 50_015]), one, 16)) < 200
+    assert leakage.share_held(item, one, 8) == 1.0
+    assert leakage.share_held(item, np.concatenate([item[15:], far, item[:15]]), 8) < 1.0
+
+
 def test_leakage_of_a_widely_leaked_part(spark):
     """Half an item in a third of many documents, and an item known only with every sixth word changed."""
     one, two = ([f"{p}{k}" for k in range(40)] for p in "pq")

@@ -10,10 +10,14 @@
    the latest register (early termination). Two signatures agree in a register with the probability
    Jaccard of the weighted sets; with equal weights that's the plain likeness.
 4. Bands of registers give candidates. Small buckets are paired directly; members of a bucket above
-   ``bucket`` are cut into blocks, and pairs of blocks are compared in tasks of bounded size that emit
-   only pairs whose signatures agree. Nothing is dropped in either way.
+   ``bucket`` are cut into blocks of ``block`` members, and pairs of blocks are compared in tasks of bounded size, whole
+   matrices of signatures at once, that emit only pairs whose signatures agree. Nothing is dropped in either way.
 5. Candidates whose signatures agree in too few registers to reach the threshold are left (the bound is
-   about five standard deviations below it), the rest are verified exactly on the shingle sets.
+   ``sigmas`` standard deviations below it; at five a pair at the threshold is lost with a probability of 3e-7, and
+   ``sigmas=None`` leaves none), the rest are verified exactly on the shingle sets.
+
+The bounded result is ``links`` between class representatives with ``members``; ``pairs`` expands it to all pairs of rows,
+with the rows of large classes spread over salts.
 
 Defined results: null texts and texts of fewer than ``n`` words have no shingles and so no partners; equal
 likeness needs no tie rule as every pair at or above the threshold is kept; repeated rows with an id of
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut, semi, written
+from weftline.session import cut, salted, semi, written
 
 WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -163,11 +167,24 @@ def signed(texts: DataFrame, n: int, bands: int, width: int) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, key binary, sig binary, bands array<bigint>")
 
 
-def candidates(sigs: DataFrame, bucket: int, least: int) -> DataFrame:
+def agreements(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two matrices of signature bytes that agree in ``least`` registers."""
+    i, j = [], []
+    for at in range(0, len(x), 64):
+        same = np.zeros((len(x[at : at + 64]), len(y)), np.uint16)
+        for r in range(x.shape[1]):
+            same += x[at : at + 64, r, None] == y[None, :, r]
+        p, q = np.nonzero(same >= least)
+        i.append(p + at)
+        j.append(q)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def candidates(sigs: DataFrame, bucket: int, least: int, block: int = 2048) -> DataFrame:
     """(a, b), a < b: distinct pairs that share a band and agree in at least ``least`` registers."""
     flat = sigs.select("id", F.explode("bands").alias("h"))
     sizes = flat.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    flat = cut(flat.join(sizes, "h"))
+    flat = cut(flat.join(sizes, "h"))  # a hot bucket's rows: split by AQE's skew join
     small = flat.where(F.col("size") <= bucket).groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pairs = small.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b").distinct()
     s = sigs.select("id", "sig")
@@ -182,8 +199,8 @@ def candidates(sigs: DataFrame, bucket: int, least: int) -> DataFrame:
 
     near = both.select("a", "b", "sa", "sb").mapInArrow(agree, "a bigint, b bigint")
 
-    # Large buckets: blocks of members, pairs of blocks.
-    blocks = F.ceil(F.col("size") / bucket).cast("int")
+    # Large buckets: blocks of members, pairs of blocks. A member goes to size / block tasks, which compare block x block.
+    blocks = F.ceil(F.col("size") / block).cast("int")
     large = flat.where(F.col("size") > bucket).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id").join(s, "id")
@@ -191,18 +208,14 @@ def candidates(sigs: DataFrame, bucket: int, least: int) -> DataFrame:
     def blockwise(key, pdf):
         import pandas as pd
 
-        i, j = key[1], key[2]
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
-        if not len(ia) or not len(ib):
+        left, right = pdf[pdf["own"] == key[1]], pdf[pdf["own"] == key[2]]
+        if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sa, sb = list(left["sig"]), list(right["sig"])
-        a, b = [], []
-        for k in range(len(ia)):
-            hit = ib[agreeing([sa[k]] * len(sb), sb, least) & (ib != ia[k])]
-            a.append(np.minimum(hit, ia[k]))
-            b.append(np.maximum(hit, ia[k]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+        x, y = (np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1) for part in (left, right))
+        i, j = agreements(x, y, least)
+        p, q = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        out = pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+        return out[out["a"] < out["b"]].drop_duplicates()
 
     hot = large.groupBy("h", "i", "j").applyInPandas(blockwise, "a bigint, b bigint")
     return near.union(hot).distinct()
@@ -235,15 +248,16 @@ class NearDuplicates:
     Texts are read twice, for the signatures and the sets of the few candidates, as their shingles take more room
     than they do; nothing of their size is written or shuffled."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, bands: int = 100, width: int = 4, bucket: int = 64):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, bands: int = 100, width: int = 4, bucket: int = 64, sigmas: float | None = 5.0):
         texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
         sigs = written(signed(texts, n, bands, width), "signatures")
         keys = sigs.select("id", "key")
-        reps = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-        self.members = cut(keys.join(reps, "key").drop("key"))
+        reps = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+        shared = salted(keys, reps, "key", "id", "left")  # only keys with copies are spread, and a hot one isn't one task's
+        self.members = cut(shared.select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies")))
         firsts = semi(sigs, self.members.where("id = rep").select("id"), "id")
         m = min(FILTER_BYTES, bands * width)
-        least = int(max(1, m * (threshold - 5 * (threshold * (1 - threshold) / m) ** 0.5)))
+        least = 0 if sigmas is None else int(max(1, m * (threshold - sigmas * (threshold * (1 - threshold) / m) ** 0.5)))
         pairs = cut(candidates(firsts, bucket, least))
         ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         sets = written(shingled(semi(texts, ids, "id"), "id", "text", n), "sets")
@@ -255,9 +269,11 @@ class NearDuplicates:
         a, b = m.toDF("id_a", "a"), m.toDF("id_b", "b")
         across = self.links.join(a, "a").join(b, "b")
         across = across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "likeness")
-        many = self.members.where("copies > 1")
-        x, y = many.select(F.col("id").alias("id_a"), "rep"), many.select(F.col("id").alias("id_b"), "rep")
-        inside = x.join(y, "rep").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("likeness"))
+        # Copies: the rows of a class against each other, those of the right side once for each salt of the left.
+        many = self.members.where("copies > 1").select("id", "rep", F.when(F.col("copies") > 64, 16).otherwise(1).alias("salts"))
+        x = many.select(F.col("id").alias("id_a"), "rep", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+        y = many.select(F.col("id").alias("id_b"), "rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        inside = x.join(y, ["rep", "salt"]).where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("likeness"))
         return across.union(inside)
 
     def groups(self, rounds: int = 30) -> DataFrame:

@@ -64,8 +64,21 @@ def p3_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = neardup.NearDuplicates(table(spark, sf_dir, "job_results"), "id", "markdown", n=3, threshold=0.5)
-    return near.pairs().select("id_a", "id_b")
+    return _near(spark, sf_dir).pairs().select("id_a", "id_b")
+
+
+def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, sf_dir, "job_results"), "id", "markdown", n=3, threshold=0.5)
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded form of ``p4_found``: links between representatives of classes of equal texts."""
+    return _near(spark, sf_dir).links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), F.round("likeness", 6).alias("likeness"))
+
+
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To ``p4_links``: each row's representative and the number of rows of its class."""
+    return _near(spark, sf_dir).members
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.hosts import host
-from weftline.session import cut
+from weftline.session import cut, salted
 
 SALTS = 16
 
@@ -60,7 +60,7 @@ def excess(rows: DataFrame, min_rows: int = 3, min_share: float = 0.15, decide:
     total = counts.where("key = 0").agg(F.sum("n").alias("all_rows"))
     outside = counts.where("key <> 0").groupBy("key").agg(F.sum("n").alias("n_all"))
     seen = counts.where((F.col("key") != 0) & (F.col("n") >= min_rows))
-    c = seen.join(hosts, "host").join(outside, "key").crossJoin(F.broadcast(total))  # one row
+    c = salted(seen, hosts, "host", "key").join(outside, "key").crossJoin(F.broadcast(total))  # one row
     a, m, t = F.col("n").cast("double"), F.col("host_rows").cast("double"), F.col("n_all").cast("double")
     b, big = t - a, F.col("all_rows") - m
     g = 2 * (
@@ -96,8 +96,7 @@ def excess(rows: DataFrame, min_rows: int = 3, min_share: float = 0.15, decide:
 def _with_excess(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     """``rows`` with the array of its host's excessive keys; salted, so a hot host is spread."""
     bad = flagged.where("excessive").groupBy("host").agg(F.collect_list("key").alias("bad"))
-    bad = bad.select("host", "bad", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(bad, ["host", "salt"])
+    return salted(rows, bad, "host", "id", "inner", SALTS)
 
 
 def repeated_lines(df: DataFrame, id_col: str, url_col: str, text_col: str, **rule) -> DataFrame:
