@@ -221,6 +221,25 @@ def test_subjects_held_out(spark):
     got = subjects.mixtures(d, "doc_id", "text", model).where("share >= 0.25").select("doc_id", "subject")
     n = want.join(d.where("text is not null"), "doc_id", "left_semi")
     assert n.join(got, ["doc_id", "subject"]).count() / n.count() > 0.7
+    once = subjects.mixtures(d, "doc_id", "text", model, passes=0).where("share >= 0.25").select("doc_id", "subject")
+    both = once.join(got, ["doc_id", "subject"]).count()
+    assert both >= 0.98 * max(once.count(), got.count())  # an update over the corpus keeps what the sample has learned
     odd = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "qq7/+x 0xff", 0.5)], "doc_id long, text string, share double")
     assert subjects.mixtures(odd, "doc_id", "text", model).count() == 0
     assert subjects.mixtures(odd, "doc_id", "text", subjects.train(d, "doc_id", "text", y.limit(0), names)).count() == 0
+
+
+def test_subject_shares_come_from_the_mixtures():
+    import numpy as np
+
+    h = np.array([[0.9, 0.0], [0.0, 0.9], [0.1, 0.1]])
+    m = subjects.SubjectModel(["a", "b"], {"cell": 0, "court": 1, "the": 2}, h / h.sum(axis=0))
+    terms, counts, sizes, totals = m.code(["The cell the cell. The court. Nothing known here at all.", ""])
+    assert counts == [[4, 2], []] and sizes == [[4, 2], []] and totals == [11, 0]
+    flat = [np.array([y for x in part for y in x]) for part in (terms, counts, sizes)]
+    s = m.shares(*flat, np.array([0, 0]), np.array(totals))
+    assert s[0, 0] > 0.3 and 0.1 < s[0, 1] < 0.2 and not s[1].any()
+    w = m.mixtures(flat[0], flat[1])
+    assert w[0].argmax() == 0 and w[1].argmax() == 1
+    total = m.counts(flat[0], flat[1])
+    assert np.allclose(total.sum(axis=1), [2, 1, 3])  # every term is divided among the subjects, none is lost
