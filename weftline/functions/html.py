@@ -270,3 +270,50 @@ def cache_banner_removed(html) -> Column:
     """Without the banner of a cached copy: the first element of either form."""
     x = F.regexp_replace(_c(html), r"(?is)^(.*?)<div[^>]*(?:id|class)=[\"']google-cache-hdr[\"'][^>]*>.*?</div>\s*(?:</div>)*", "$1")
     return F.regexp_replace(x, r"(?is)^(.*?)<div[^>]*style=[\"'][^\"']*text-align:\s*center[^\"']*[\"'][^>]*>.*?This is Google's cache.*?</div>", "$1")
+
+
+def embedded_blocks(html) -> Column:
+    """map<key, raw JSON> of the data that a page hands to its script in ``AF_initDataCallback`` calls; the last of a key counts."""
+    call = r"(?s)AF_initDataCallback\(\{key:\s*'([^']+)'.*?data:(.*?)(?:,\s*sideChannel:.*?)?\}\);"
+    keys, data = (F.regexp_extract_all(_c(html), F.lit(call), k) for k in (1, 2))
+    pairs = F.arrays_zip(keys.alias("k"), data.alias("d"))
+    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), x["k"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["d"])))
+
+
+def embedded_data(raw) -> Column:
+    """The JSON of a block without what follows it; null if it isn't JSON."""
+    return F.try_parse_json(F.regexp_replace(_c(raw), r"(?s),\s*sideChannel:.*$", ""))
+
+
+def stripped(html) -> Column:
+    """Text between tags, one blank between its parts."""
+    return F.trim(F.regexp_replace(F.regexp_replace(_c(html), TAG, " "), r"\s+", " "))
+
+
+def is_api_response(kind, content_type, url, pattern: str | None = None) -> Column:
+    """Captured requests of scripts that were answered with data, perhaps only those whose address holds a text."""
+    t = F.lower(F.coalesce(_c(content_type), F.lit("")))
+    ok = _c(kind).isin("xhr", "fetch") & (t.contains("json") | t.contains("javascript"))
+    return ok & _c(url).contains(pattern) if pattern else ok
+
+
+def is_console_error(kind) -> Column:
+    return _c(kind) == "error"
+
+
+def is_picture_search_blocked(html) -> Column:
+    h = F.lower(_c(html))
+    return h.contains("unusual traffic") | h.contains("captcha")
+
+
+#: What a shop's search page holds instead of results, and what it holds with them.
+SHOP_CHALLENGES = [
+    "Type the characters you see in this image", "Sorry, we just need to make sure you're not a robot", "api-services-support@amazon", "Enter the characters you see below",
+]
+SHOP_RESULTS = ["s-search-results", "s-result-item"]
+
+
+def is_shop_search(html) -> Column:
+    h = F.coalesce(_c(html), F.lit(""))
+    return ~_any(h, SHOP_CHALLENGES) & _any(h, SHOP_RESULTS)

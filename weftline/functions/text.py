@@ -71,6 +71,20 @@ def topics(text) -> Column:
     return chunks_split(text, r"(?m)^(?=#{1,6}\s)")
 
 
+def chunks_merged(text, most: int = 7500) -> Column:
+    """Paragraphs put together as long as a chunk stays within ``most`` words; a longer paragraph is a chunk of its own,
+    and a text within the limit is whole."""
+    size = lambda x: F.size(words(x))
+    none = F.array().cast("array<string>")
+    step = lambda a, x: F.when(
+        size(F.concat(a["now"], F.lit("\n\n"), x)) > most,
+        F.struct(F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"), x.alias("now")),
+    ).otherwise(F.struct(a["done"].alias("done"), F.when(a["now"] == "", x).otherwise(F.concat(a["now"], F.lit("\n\n"), x)).alias("now")))
+    start = F.struct(none.alias("done"), F.lit("").alias("now"))
+    made = F.aggregate(chunks_split(text), start, step, lambda a: F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+    return F.when(size(text) > most, made).otherwise(F.array(_c(text)))
+
+
 def content_hash(text) -> Column:
     return F.md5(F.lower(F.trim(F.regexp_replace(_c(text), r"[ \t\n\x0B\f\r]+", " "))))
 

@@ -203,6 +203,11 @@ def _inline(n) -> str:
         t = inside.strip()
         title = f' "{n.attrs["title"]}"' if n.attrs.get("title") else ""
         return inside if not t or not href or href == "#" else f"[{t}]({href}{title})"
+    if n.tag == "time":
+        stamp = n.attrs.get("datetime", "")
+        return f"{inside} ({stamp})" if stamp and inside.strip() and stamp != inside.strip() else inside
+    if n.tag == "summary":
+        return f"**{inside.strip()}**" if inside.strip() else ""
     mark = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~", "code": "`"}.get(n.tag)
     return f"{mark}{inside.strip()}{mark}" if mark and inside.strip() else inside
 
@@ -302,6 +307,8 @@ def to_markdown(root: Node) -> str:
                 block("---")
             elif c.tag == "dt":
                 block("**" + "".join(map(_inline, c.children)).strip() + "**")
+            elif c.tag == "dd":
+                block(": " + "".join(map(_inline, c.children)).strip())
             else:
                 visit(c)
         flush()

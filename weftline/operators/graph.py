@@ -68,9 +68,38 @@ def depth_first(edges: DataFrame, seed_of: DataFrame, max_depth: int, max_pages:
     return edges.groupBy("site").cogroup(seed_of.groupBy("site")).applyInPandas(visit, "site string, n int, url string, depth int")
 
 
-def admitted(found: DataFrame, visited: DataFrame, key: Column, allowed: Column, cap: int) -> DataFrame:
-    """(url, key): what enters the frontier of ``found`` (url, pos): allowed, not visited, first of its key, at most
-    ``cap`` (the frontier's own limit) in order of discovery."""
-    x = found.where(allowed).withColumn("key", key).join(visited.select("key"), "key", "left_anti")
+def admitted(found: DataFrame, visited: DataFrame, key: Column, allowed: Column, cap: int, score: Column | None = None, least: float = 0.0) -> DataFrame:
+    """(url, key): what enters the frontier of ``found`` (url, pos): allowed, of a score of at least ``least``, not visited,
+    first of its key, at most ``cap`` (the frontier's own limit) in order of discovery."""
+    x = found.where(allowed if score is None else allowed & (score >= least)).withColumn("key", key).join(visited.select("key"), "key", "left_anti")
     x = x.groupBy("key").agg(F.min_by("url", "pos").alias("url"), F.min("pos").alias("pos"))
     return x.orderBy("pos", "key").limit(cap).select("url", "key")
+
+
+def frontier_room(visited: DataFrame, queued: DataFrame, max_pages: int) -> int:
+    """How many addresses a frontier still takes: twenty for each page of the crawl, less what was seen or waits."""
+    return max(0, max_pages * 20 - visited.count() - queued.count())
+
+
+def save_state(visited: DataFrame, frontier: DataFrame, path: str) -> None:
+    """Write what a crawl has visited and what waits, so that it can go on after its end."""
+    visited.write.mode("overwrite").parquet(f"{path}/visited")
+    frontier.write.mode("overwrite").parquet(f"{path}/frontier")
+
+
+def load_state(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/visited"), spark.read.parquet(f"{path}/frontier")
+
+
+def resumed(edges: DataFrame, visited: DataFrame, frontier: DataFrame, max_depth: int) -> DataFrame:
+    """(url, depth) of a breadth-first crawl that goes on from its state: (url, depth) visited, and waiting."""
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    wait = frontier.groupBy("url").agg(F.min("depth").alias("depth")).join(visited.select("url"), "url", "left_anti")
+    seen = visited.select("url", "depth")
+    level = cut(wait)
+    while level.limit(1).count():
+        seen = cut(seen.unionByName(level.select("url", "depth")))
+        near = level.where(F.col("depth") < max_depth).select(F.col("url").alias("src"), "depth")
+        found = edges.join(near, "src").groupBy(F.col("dst").alias("url")).agg((F.min("depth") + 1).alias("depth"))
+        level = cut(found.join(seen.select("url"), "url", "left_anti"))
+    return seen

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import urls as U
+from weftline.streaming.state import ema_step, fold
 from weftline.session import table
 
 
@@ -129,12 +130,20 @@ def monitor_counters(s, d):
 
 
 def monitor_ema(s, d):
-    """Smoothed response time, 0.7 old and 0.3 new, seeded by the first; and failures since the last success."""
-    x = _checks(s, d).where("checked_at is not null").groupBy("monitor_id").agg(F.array_sort(F.collect_list(F.struct("checked_at", "id", "response_time_ms", "status_code"))).alias("h"))
-    times = F.filter(F.transform("h", lambda v: v["response_time_ms"].cast("double")), lambda v: v.isNotNull())
-    ema = F.aggregate(times, F.lit(None).cast("double"), lambda a, v: F.coalesce(a * 0.7 + v * 0.3, v))
-    fails = F.aggregate("h", F.lit(0), lambda a, v: F.when(F.coalesce(v["status_code"], F.lit(599)) < 400, F.lit(0)).otherwise(a + 1))
-    return x.select("monitor_id", F.round(ema, 6).alias("ema_ms"), fails.alias("failures"))
+    """Smoothed response time, 0.7 old and 0.3 new, seeded by the first; and failures since the last success. A monitor's
+    checks stream through in order, only the two numbers are held."""
+
+    def step(state, r):
+        n, ema, fails = state
+        ms = getattr(r, "response_time_ms")
+        ema = ema_step(ema, float(ms)) if ms == ms and ms is not None else ema
+        fails = 0 if r.status_code == r.status_code and r.status_code is not None and r.status_code < 400 else fails + 1
+        return (n + 1, ema, fails), (n, ema, fails)
+
+    x = _checks(s, d).where("checked_at is not null")
+    y = fold(x, "monitor_id", ["checked_at", "id", "response_time_ms", "status_code"], [], lambda: (0, None, 0), step, "monitor_id bigint, n bigint, ema double, failures int")
+    last = y.groupBy("monitor_id").agg(F.max_by(F.struct("ema", "failures"), "n").alias("v"))
+    return last.select("monitor_id", F.round("v.ema", 6).alias("ema_ms"), "v.failures")
 
 
 def monitor_history(s, d):

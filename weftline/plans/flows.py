@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import urls as U
 from weftline.operators import graph as G
+from weftline.plans.urls import URL_CTE
 from weftline.session import table
 from weftline.sources import documents as D
 from weftline.sources import sinks
@@ -90,8 +91,30 @@ def archive_names(s, d):
     return table(s, d, "pages").select("page_id", sinks.file_name(F.col("url"), F.col("page_id")).alias("name"))
 
 
+def _pad(x: int) -> str:
+    return bytes(k ^ x for k in b"secret".ljust(64, b"\0")).hex()
+
+
+_FOUND = URL_CTE.replace("select page_id, url from pages", "select -id as page_id, url from job_results union all select id * 1000 + p, url from (select id, unnest(links) as url, generate_subscripts(links, 1) - 1 as p from job_results)")
+_BREAKER = """with recursive e as (select user_id % 7 as user_id, event_id, epoch_us(ts) / 1e6::double / 60 as s, event_type <> 'error' as ok from events where user_id is not null),
+    o as (select *, row_number() over (partition by user_id order by s, event_id) as n from e),
+    w as (select user_id, n, event_id, case when ok then 'closed' else 'closed' end as state, case when ok then [] else [s] end as fails, 0.0::double as opened, true as passed from o where n = 1
+      union all select x.user_id, x.n, x.event_id,
+        case when x.was = 'open' then 'open' when x.ok then 'closed' when x.was = 'half_open' or len(x.f) >= 5 then 'open' else 'closed' end,
+        case when x.was = 'open' then x.fails when x.ok or x.was = 'half_open' or len(x.f) >= 5 then [] else x.f end,
+        case when x.was = 'open' then x.opened when x.ok then 0 when x.was = 'half_open' or len(x.f) >= 5 then x.s else 0 end, x.was <> 'open'
+      from (select o.user_id, o.n, o.event_id, o.s, o.ok, w.fails, w.opened, case when w.state = 'open' and o.s - w.opened >= 30 then 'half_open' else w.state end as was,
+              list_append(list_filter(w.fails, lambda t: o.s - t < 60), o.s) as f from w join o on o.user_id = w.user_id and o.n = w.n + 1) x)
+    select user_id, event_id, state, passed from w"""
 QUERIES = {f.__name__: f for f in (graph_bfs, graph_best_first, graph_dfs, graph_frontier, circuit_breaker, document_types, sitemap_rows, robots_rules, signed_bodies, archive_names)}
 SQL = {
+    "signed_bodies": f"""with x as (select id, '{{{{"id":' || id || ',"status":"' || status || '"}}}}' as body from jobs)
+        select id, body, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(body)))) as signature from x""".replace("{{", "{").replace("}}", "}"),
+    "graph_frontier": f"""with {_FOUND}, seen as (select distinct ckey from n where page_id < 0),
+        f as (select ckey as key, arg_min(url, page_id) as url, min(page_id) as pos from n where page_id > 0 and ckey not in (select ckey from seen where ckey is not null)
+          and not ({" or ".join(f"contains(lower(regexp_replace(regexp_extract(url, '{U.PARTS}', 3), ';[^/]*$', '')), '{j}')" for j in U.MAP_JUNK)}) group by ckey)
+        select url, key from f order by pos, key limit 500""",
+    "circuit_breaker": _BREAKER,
     "graph_bfs": """with recursive e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem),
         w(url, depth) as (select 's1', 0 union select dst, depth + 1 from w join e on src = url where depth < 3) select url, min(depth)::int as depth from w group by url""",
     "document_types": """select page_id, case when page_id % 5 = 0 then 'pdf' when page_id % 5 = 1 then 'csv' when page_id % 3 = 0 then 'epub' else 'html' end as kind from pages where html is not null""",

@@ -214,6 +214,62 @@ def memory_levels(s, d):
     return S.adaptive_slots(e, "user_id", "load", "s", "event_id")
 
 
+def monitor_states(s, d):
+    """Each page's versions as the checks of a monitor with two keywords."""
+    r = table(s, d, "job_results").select("id", "created_at", U.normalized("url").alias("page"), "markdown", _meta("status_code").cast("int").alias("status_code")).where("page is not null")
+    return S.monitored(r, "page", "markdown", "status_code", ["created_at", "id"], keywords=("server", "hotel"))
+
+
+def quota_summary(s, d):
+    """Each user's month with limit, use and rest of every operation; -1 is no limit."""
+    limits = {"scrape": 10, "crawl": 5, "extract": 0, "search": -1, "map": 3, "monitor": 2}
+    used = table(s, d, "jobs").groupBy("user_id", F.date_format("created_at", "yyyy-MM").alias("period")).agg(*[F.count_if(F.col("type") == k).alias(k) for k in limits])
+    pairs = ", ".join(f"'{k}', {v}L, {k}" for k, v in limits.items())
+    x = used.select("user_id", "period", F.expr(f"stack({len(limits)}, {pairs}) as (operation, most, used)"))
+    return x.select("user_id", "period", "operation", "most", "used", F.expr("case when most = -1 then -1L else greatest(0L, most - used) end").alias("remaining"), (F.col("most") == -1).alias("unlimited"))
+
+
+def paged_history(s, d):
+    """The second page of the jobs, with the numbers of jobs and of pages."""
+    j = table(s, d, "jobs")
+    total = j.agg(F.count("*").alias("total"))
+    page = j.orderBy(F.desc("created_at"), "id").offset(20).limit(20).select("id", "status")
+    return page.crossJoin(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / 20))  # one row
+
+
+def merged_sources(s, d):
+    """Addresses of three sources one after the other, the first of equal ones kept, until two hundred are found."""
+    j, p = table(s, d, "job_results"), table(s, d, "pages")
+    parts = [p.select(F.lit(0).alias("source"), F.col("page_id").alias("n"), "url"), j.select(F.lit(1), "id", "url"), j.select(F.lit(2), "id", F.explode("links"))]
+    x = parts[0].union(parts[1]).union(parts[2]).groupBy(F.regexp_replace("url", "/+$", "").alias("page")).agg(F.min(F.struct("source", "n")).alias("at"))
+    return x.orderBy("at.source", "at.n", "page").limit(200).select("page", "at.source")
+
+
+def first_extras(s, d):
+    """Every page of a job with the title of the job's first page."""
+    w = Window.partitionBy("job_id").orderBy("created_at", "id")
+    return table(s, d, "job_results").select("id", F.first_value(_meta("title")).over(w).alias("first_title"))
+
+
+def llm_chunks(s, d):
+    """Documents put into chunks of at most three hundred words by whole paragraphs."""
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.chunks_merged("text", 300)).alias("n", "chunk")).select("doc_id", "n", F.md5("chunk").alias("hash"), T.word_count("chunk").alias("words"))
+
+
+def stripped_texts(s, d):
+    return table(s, d, "pages").where("html is not null").select("page_id", F.md5(H.stripped("html")).alias("hash"))
+
+
+def banner_free(s, d):
+    """Sources without the banner of a cached copy."""
+    return table(s, d, "pages").where("html is not null").select("page_id", F.md5(H.cache_banner_removed("html")).alias("hash"))
+
+
+def page_checks(s, d):
+    """Whether pages look like refused picture searches, and like results of a shop."""
+    return table(s, d, "pages").where("html is not null").select("page_id", H.is_picture_search_blocked("html").alias("blocked"), H.is_shop_search("html").alias("shop"))
+
+
 def cron_next(s, d):
     """When each job's schedule, made of its id, runs next after its creation."""
     cron = F.concat_ws(" ", (F.col("id") % 60).cast("string"), (F.col("id") % 24).cast("string"), F.lit("*"), F.lit("*"), F.when(F.col("id") % 3 == 0, "1-5").otherwise("*"))
@@ -223,7 +279,8 @@ def cron_next(s, d):
 QUERIES = {f.__name__: f for f in (
     export_crawl, export_search, export_map, export_json, progress_events, live_tail, ndjson_rows, selected_fields, shown_money, shown_times, shown_day_offsets, shown_queries,
     attribute_groups, job_config_paths, query_summaries, schedule_runs, content_digests, first_by_key, best_copies, starting_tiers, link_clusters, frontier_orders, sitemap_seeds,
-    crawl_flags, merged_settings, ttl_cache, memory_levels, cron_next,
+    crawl_flags, merged_settings, ttl_cache, memory_levels, monitor_states, quota_summary, paged_history, merged_sources, first_extras, llm_chunks, stripped_texts, banner_free,
+    page_checks, cron_next,
 )}
 
 _WORDS = r"len(list_filter(regexp_split_to_array(trim({}), '\s+'), lambda x: x <> ''))"
@@ -290,4 +347,18 @@ SQL = {
         w as (select *, s as made, false as hit from e where n = 1 union all
               select e.*, case when e.s - w.made < 3600 then w.made else e.s end, e.s - w.made < 3600 from w join e on e.user_id = w.user_id and e.event_type = w.event_type and e.n = w.n + 1)
         select user_id, event_id, hit from w""",
+    "quota_summary": """with u as (select user_id, strftime(created_at, '%Y-%m') as period, type, count(*) as n from jobs group by all), k as (select distinct user_id, period from u),
+        l(operation, most) as (values ('scrape', 10), ('crawl', 5), ('extract', 0), ('search', -1), ('map', 3), ('monitor', 2))
+        select k.user_id, k.period, operation, most::bigint as most, coalesce(n, 0) as used, case when most = -1 then -1 else greatest(0, most - coalesce(n, 0)) end::bigint as remaining, most = -1 as unlimited
+        from k cross join l left join u on u.user_id = k.user_id and u.period = k.period and u.type = operation""",
+    "paged_history": "select id, status, total, ceil(total / 20.0)::bigint as pages from (select id, status, created_at from jobs order by created_at desc, id limit 20 offset 20), (select count(*) as total from jobs)",
+    "merged_sources": """with x as (select 0 as source, page_id as n, url from pages union all select 1, id, url from job_results union all select 2, id, unnest(links) from job_results),
+        y as (select rtrim(url, '/') as page, min((source, n)) as a from x group by 1) select page, a[1]::int as source from (select page, [struct_extract(a, 1), struct_extract(a, 2)] as a from y) order by a[1], a[2], page limit 200""",
+    "first_extras": "select id, first_value(json_extract_string(metadata, '$.title')) over (partition by job_id order by created_at, id) as first_title from job_results",
+    "stripped_texts": r"select page_id, md5(trim(regexp_replace(regexp_replace(html, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) as hash from pages where html is not null",
+    "banner_free": """select page_id, md5(regexp_replace(regexp_replace(html, '(?is)<div[^>]*(?:id|class)=["'']google-cache-hdr["''][^>]*>.*?</div>\\s*(?:</div>)*', ''), '(?is)<div[^>]*style=["''][^"'']*text-align:\\s*center[^"'']*["''][^>]*>.*?This is Google''s cache.*?</div>', '')) as hash
+        from pages where html is not null""",
+    "page_checks": """select page_id, contains(lower(html), 'unusual traffic') or contains(lower(html), 'captcha') as blocked, (contains(html, 's-search-results') or contains(html, 's-result-item'))
+        and not (contains(html, 'Type the characters you see in this image') or contains(html, 'Sorry, we just need to make sure you''re not a robot') or contains(html, 'api-services-support@amazon') or contains(html, 'Enter the characters you see below')) as shop
+        from pages where html is not null""",
 }

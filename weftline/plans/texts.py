@@ -144,10 +144,11 @@ def delivery_error_codes(s, d):
 
 
 def price_parse(s, d):
-    """Numbers and currencies of the prices that pages' lines show."""
-    lines = _md(s, d).select("page_id", F.explode(F.split("markdown", "\n")).alias("line"))
-    p = lines.where(F.col("line").rlike(r"[$€£]\s?[0-9]|[0-9]\s?€|USD|EUR")).distinct()
-    return p.select("page_id", "line", T.price("line").alias("price"), T.currency("line").alias("currency"))
+    """Prices as shops write them (the tables' texts show none), read again."""
+    p = table(s, d, "part")
+    sign = F.element_at(F.array(*[F.lit(x) for x in ("$", "€ ", "£", "R$", "kr ", "")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    shown = F.concat(F.lit(" "), sign, F.format_number("p_retailprice", 2))
+    return p.select("p_partkey", T.price(shown).alias("price"), T.currency(shown).alias("currency"))
 
 
 def text_formats(s, d):
@@ -157,7 +158,7 @@ def text_formats(s, d):
 
 def hex_ids(s, d):
     """Hexadecimal ids as unsigned decimals."""
-    x = table(s, d, "pages").select("page_id", F.substring(F.md5("url"), 1, 15).alias("hex"))
+    x = table(s, d, "pages").select("page_id", F.substring(F.md5("url"), 1, 16).alias("hex"))
     return x.select("page_id", F.conv("hex", 16, 10).alias("decimal"))
 
 
@@ -277,16 +278,12 @@ SQL = {
             when n < 500 then contains(title, 'google') or {' + '.join(f"contains(t, '{p}')::int" for p in H.STORE_PHRASES)} >= 2 or {_has('t', H.GONE_PHRASES)} else false end as blocked from y""",
     "error_codes": f"select {_ERR} as code, count(*) as jobs from jobs where error is not null group by 1",
     "delivery_error_codes": f"select {_ERR} as code, count(*) as n from webhook_deliveries where error is not null group by 1",
-    "price_parse": r"""with x as (select distinct page_id, unnest(string_split(markdown, chr(10))) as line from pages where markdown is not null),
-        y as (select page_id, line, replace(trim(line), ' ', '') as t from x where regexp_matches(line, '[$€£]\s?[0-9]|[0-9]\s?€|USD|EUR'))
-        select page_id, line, coalesce(try_cast(replace(regexp_extract(t, '[0-9,]+\.?[0-9]*'), ',', '') as double), try_cast(replace(replace(regexp_extract(t, '[0-9.]+,[0-9]{2}'), '.', ''), ',', '.') as double)) as price,
-        case when contains(line, '$') then 'USD' when contains(line, '€') then 'EUR' when contains(line, '£') then 'GBP' when contains(line, '¥') then 'JPY' when contains(line, '₹') then 'INR' when contains(line, '₩') then 'KRW'
-            when contains(line, '₺') then 'TRY' when contains(line, 'zł') then 'PLN' when contains(line, 'kr') then 'SEK' when contains(line, 'Fr') then 'CHF' end as currency from y""",
+    "price_parse": """select p_partkey, round(p_retailprice, 2) as price, case p_partkey % 6 when 0 then 'USD' when 1 then 'EUR' when 2 then 'GBP' when 3 then 'USD' when 4 then 'SEK' end as currency from part""",
     "text_formats": r"""select p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug,
         regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as type_id,
         case when p_size * 7 < 60 then (p_size * 7) || ' min' when (p_size * 7) % 60 = 0 then (p_size * 7) // 60 || ' hr' else (p_size * 7) // 60 || ' hr ' || (p_size * 7) % 60 || ' min' end as duration,
         case when p_size > 25 then '+' else '' end || printf('%.2f%%', (p_size - 25) / 3.0::double) as change from part""",
-    "hex_ids": "select page_id, ('0x' || substr(md5(url), 1, 15))::ubigint::varchar as decimal from pages",
+    "hex_ids": "select page_id, ('0x' || substr(md5(url), 1, 16))::ubigint::varchar as decimal from pages",
     "pipe_tables": "select n_nationkey, '| ' || n_nationkey || ' | ' || n_name || ' | ' || r_name || ' |' as row from nation join region on n_regionkey = r_regionkey",
     "keyword_changes": """with x as (select id, lower(markdown) as new, lag(lower(markdown)) over (partition by url order by created_at, id) as old from job_results where markdown is not null),
         k as (select ['server', 'cookies', 'patient', '2010', 'hotel', 'advertisement'] as keys)

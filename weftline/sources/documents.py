@@ -230,6 +230,77 @@ def sitemap(df: DataFrame, xml: str = "xml") -> DataFrame:
     return df.select(entry).select(get("loc"), get("lastmod"), get("priority"), get("changefreq")).where("loc is not null")
 
 
+#: Where site maps usually are when robots.txt names none.
+SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml", "/sitemap.xml.gz", "/sitemap/sitemap.xml", "/sitemaps/sitemap.xml"]
+
+
+def sitemap_candidates(sites: DataFrame, site: str = "site", robots: str = "robots", home: str = "home") -> DataFrame:
+    """(site, sitemap): those that a site's robots.txt names, without any the usual paths, and those its home page links."""
+    named = F.filter(F.regexp_extract_all(F.coalesce(robots, F.lit("")), F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), 1), lambda x: x.startswith("http"))
+    usual = F.transform(F.array(*[F.lit(p) for p in SITEMAP_PATHS]), lambda p: F.concat(F.col(site), p))
+    tags = F.filter(F.regexp_extract_all(F.coalesce(home, F.lit("")), F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?(?:[^\"'>]*\s)?sitemap\b"))
+    linked = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    linked = F.filter(F.transform(linked, lambda h: F.when(h.rlike("^https?://"), h).when(h.startswith("/"), F.concat(F.col(site), h)).otherwise(F.concat(F.col(site), F.lit("/"), h))), lambda h: h != "")
+    return sites.select(F.col(site), F.explode(F.array_distinct(F.concat(F.when(F.size(named) > 0, named).otherwise(usual), linked))).alias("sitemap"))
+
+
+def sitemap_walk(candidates: DataFrame, fetched: DataFrame, depth: int = 3, children: int = 500) -> DataFrame:
+    """(loc, lastmod, priority, changefreq), each address once: the entries of the site maps ``candidates`` (sitemap) in the
+    table ``fetched`` (url, xml), and of those that index maps name, ``depth`` levels down, ``children`` of each index."""
+    from pyspark.sql import Window
+
+    level, out = candidates.select("sitemap").distinct(), None
+    for _ in range(depth + 1):
+        got = level.join(fetched, F.col("sitemap") == F.col("url")).select("sitemap", "xml")
+        entries = sitemap(got.where(~F.col("xml").rlike(r"(?i)<sitemapindex\b")))
+        out = entries if out is None else out.union(entries)
+        named = F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<sitemap\b[^>]*>.*?<loc\b[^>]*>\s*(.*?)\s*</loc>"), 1)).alias("n", "child")
+        level = got.where(F.col("xml").rlike(r"(?i)<sitemapindex\b")).select(named).where(F.col("n") < children).select(F.col("child").alias("sitemap")).distinct()
+    first = Window.partitionBy("loc").orderBy(F.desc_nulls_last("lastmod"))
+    return out.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+
+
+def robots_rules_of(text: str | None, agent: str = "*") -> tuple[list[tuple[bool, str]], float | None]:
+    """(rules (allow, prefix), delay) that a robots.txt gives an agent: of its own group, else of the one for all. A delay is
+    at most thirty seconds."""
+    groups: dict[str, tuple[list, list]] = {}
+    agents: list[str] = []
+    open_ = False
+    for raw in (text or "").splitlines():
+        key, colon, value = raw.split("#")[0].partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if not colon:
+            continue
+        if key == "user-agent":
+            agents = [*agents, value.lower()] if open_ else [value.lower()]
+            open_ = True
+            groups.setdefault(value.lower(), ([], []))
+        else:
+            open_ = False
+            for a in agents:
+                if key in ("allow", "disallow") and (value or key == "allow"):
+                    groups[a][0].append((key == "allow", value))
+                elif key == "crawl-delay":
+                    try:
+                        groups[a][1].append(min(30.0, float(value)))
+                    except ValueError:
+                        pass
+    rules, delays = groups.get(agent.lower()) or groups.get("*") or ([], [])
+    return rules, delays[0] if delays else None
+
+
+def robots_table(df: DataFrame, host: str = "host", text: str = "robots", agent: str = "*") -> DataFrame:
+    """(host, allow, prefix, delay) of each rule; a host without rules or text has no row and may be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(h, a, p, d) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for rules, d in [robots_rules_of(t, agent)] for a, p in rules]
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.string(), pa.float64()))], names=["host", "allow", "prefix", "delay"])
+
+    return df.select(host, text).mapInArrow(run, "host string, allow boolean, prefix string, delay double")
+
+
 def robots_sitemaps(df: DataFrame, text: str = "robots") -> DataFrame:
     return df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), 1)).alias("sitemap")).distinct()
 

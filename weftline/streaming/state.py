@@ -113,6 +113,40 @@ def ttl_cache(events: DataFrame, key: str, what: str, ts: str, tie: str, keep_s:
     return fold(events, key, [ts, tie], [what], dict, step, f"{key} {kind}, {tie} bigint, hit boolean")
 
 
+def monitor_step(state: tuple, text: str, status: int | None, least: float, keywords: tuple[str, ...], notify: str) -> tuple[tuple, tuple]:
+    """(state, (change, ratio, found, lost)): a check of a page against its last. Another text is a change of content if at
+    least ``least`` of its lines differ and, where that is asked for, a keyword came or went; the same text with another
+    status is a change of status. State: digest, text (100,000 characters of it), status."""
+    import hashlib
+    from difflib import SequenceMatcher
+
+    digest, old, before = state
+    new = hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+    change, ratio, found, lost = None, None, [], []
+    if digest and new != digest:
+        ratio = round(SequenceMatcher(None, old.splitlines(), text.splitlines()).ratio(), 4)
+        if 1.0 - ratio >= least:
+            a, b = old.lower(), text.lower()
+            found, lost = ([k for k in keywords if (k.lower() in b) is up and (k.lower() in a) is not up] for up in (True, False))
+            if not (keywords and ((notify == "keyword_added" and not found) or (notify == "keyword_removed" and not lost))):
+                change = "content_changed"
+    elif before and status is not None and status != before and notify in ("status_change", "any_change"):
+        change = "status_changed"
+    return (new, text[:100_000], status), (change, ratio, ",".join(found), ",".join(lost))
+
+
+def monitored(checks: DataFrame, key: str, text: str, status: str, order: list[str], least: float = 0.05, keywords: tuple[str, ...] = (), notify: str = "any_change") -> DataFrame:
+    """(key, event, change, ratio, found, lost) of each check; the last of ``order`` is the event's number."""
+
+    def step(state, r):
+        code = getattr(r, status)
+        state, values = monitor_step(state, getattr(r, text) or "", None if code is None or code != code else int(code), least, keywords, notify)
+        return state, (getattr(r, order[-1]), *values)
+
+    kind = checks.schema[key].dataType.simpleString()
+    return fold(checks, key, order, [text, status], lambda: ("", "", None), step, f"{key} {kind}, {order[-1]} bigint, change string, ratio double, found string, lost string")
+
+
 def slots_step(slots: int, load: float, most: int) -> int:
     """Tasks that a load in percent allows: one fewer above 75, one alone above 90, one more below 50."""
     return 1 if load >= 90 else max(1, slots - 1) if load >= 75 else min(most, slots + 1) if load < 50 else slots
