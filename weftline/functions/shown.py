@@ -124,6 +124,7 @@ def hex_pair_id(pair) -> Column:
 
 
 def inside(data, *steps: str | int) -> Column:
-    """What stands in JSON text at the end of a path of names and positions; null where the path breaks."""
+    """What stands in JSON text at the end of a path of names and positions; null where the path breaks or a null stands
+    (which can't be told from the text ``null``)."""
     path = "$" + "".join(f"[{s}]" if isinstance(s, int) else f".{s}" for s in steps)
-    return F.get_json_object(_c(data), path)
+    return F.nullif(F.get_json_object(_c(data), path), F.lit("null"))
