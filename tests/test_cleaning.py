@@ -99,6 +99,8 @@ def test_pages(spark):
     assert r.metadata.title == "T" and r.metadata.language == "en" and r.headings[0].id == "i" and r.images[0].src == "https://a.example/p.png" and r.images[0].srcset[1].descriptor == "2x"
     assert r.tables[0].headers == ["A"] and "## Head" in r.markdown and r.content_hash
     assert all(v is None for k, v in next(r for r in rows if r.page_id == 3).asDict().items() if k != "page_id")
+    deep = spark.createDataFrame([(1, "u", "<div>" * 30_000 + "<b>" * 2_000 + "deep words here" + "</div>" * 5, 0)], "page_id long, url string, html string, links int")
+    assert "deep words here" in C.pages(deep, "page_id", "url", "html", tuple(C.PAGE_T)).first().markdown
     assert C.pages(df.limit(0), "page_id", "url", "html", ("markdown", "links")).count() == 0
 
 

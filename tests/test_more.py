@@ -95,3 +95,59 @@ def test_safe_name(spark, url, name):
 def test_only(spark):
     df = spark.createDataFrame([(1, 2)], "b int, a int")
     assert sinks.only(df, ["a", "c", "b"]).columns == ["a", "b"]
+
+
+def packed(files):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, v in files.items():
+            z.writestr(k, v)
+    return out.getvalue()
+
+
+W, R, O = 'xmlns:w="urn:w"', 'xmlns:r="urn:r"', "http://x/officeDocument/2006/relationships"
+
+
+def test_docx_parts():
+    text, md, about = D.read_docx(packed({
+        "docProps/core.xml": '<c xmlns:dc="urn:dc"><dc:title>Report</dc:title><dc:creator>Ann</dc:creator></c>',
+        "word/_rels/document.xml.rels": f'<r><x Id="r1" Type="{O}/hyperlink" Target="https://a.example/" TargetMode="External"/><x Id="r2" Type="{O}/image" Target="media/i.png"/></r>', "word/media/i.png": b"1234",
+        "word/document.xml": f'<w:d {W} {R}><w:body><w:p><w:r><w:rPr><w:b w:val="0"/><w:i/></w:rPr><w:t>it</w:t></w:r><w:hyperlink r:id="r1"><w:r><w:t>here</w:t></w:r></w:hyperlink></w:p></w:body></w:d>',
+        "word/footnotes.xml": f'<w:f {W}><w:footnote w:id="0"><w:p><w:r><w:t>sep</w:t></w:r></w:p></w:footnote><w:footnote w:id="2"><w:p><w:r><w:t>said</w:t></w:r></w:p></w:footnote></w:f>',
+    }))
+    assert md == "# Report\n\n**Author:** Ann\n\n---\n\n*it*[here](https://a.example/)\n\n![Image 1](embedded)\n\n## Notes\n\n[^2]: said" and text == "ithere" and about["images"] == "1"
+
+
+def test_xlsx_sheets_by_relation():
+    rels = f'<r><x Id="a" Type="{O}/worksheet" Target="worksheets/sheet2.xml"/><x Id="b" Type="{O}/worksheet" Target="/xl/worksheets/sheet1.xml"/></r>'
+    cell = "<worksheet><row><c r='A1'><v>{}</v></c></row></worksheet>"
+    _, md, about = D.read_xlsx(packed({
+        "xl/workbook.xml": f'<w {R}><sheets><sheet name="First" r:id="a"/><sheet name="Second" r:id="b"/></sheets></w>', "xl/_rels/workbook.xml.rels": rels,
+        "xl/worksheets/sheet1.xml": cell.format(1), "xl/worksheets/sheet2.xml": cell.format(2),
+    }))
+    assert md == "## First\n\n| 2 |\n|---|\n\n## Second\n\n| 1 |\n|---|" and about["sheets"] == "2"
+
+
+def test_pptx_order_tables_and_notes():
+    p = lambda t: f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>"
+    slide = lambda title, rest: f'<p:s xmlns:p="urn:p" xmlns:a="urn:a"><p:sp><p:nvPr><p:ph type="title"/></p:nvPr>{p(title)}</p:sp>{rest}</p:s>'
+    rel = lambda *x: "<r>" + "".join(f'<x Id="{i}" Type="{O}/{k}" Target="{t}"/>' for i, k, t in x) + "</r>"
+    text, md, about = D.read_pptx(packed({
+        "ppt/presentation.xml": f'<p:d xmlns:p="urn:p" {R}><p:l><p:sldId id="256" r:id="b"/><p:sldId id="257" r:id="a"/></p:l></p:d>',
+        "ppt/_rels/presentation.xml.rels": rel(("a", "slide", "slides/slide1.xml"), ("b", "slide", "slides/slide2.xml")),
+        "ppt/slides/slide1.xml": slide("One", p("body")), "ppt/slides/slide2.xml": slide("Two", f"<a:tbl><a:tr><a:tc>{p('H')}</a:tc></a:tr><a:tr><a:tc>{p('c')}</a:tc></a:tr></a:tbl>"),
+        "ppt/slides/_rels/slide1.xml.rels": rel(("n", "notesSlide", "../notesSlides/notesSlide7.xml")), "ppt/notesSlides/notesSlide7.xml": f'<n xmlns:a="urn:a">{p("mind this")}</n>',
+    }))
+    assert md == "## Slide 1: Two\n\nTwo\n\n| H |\n|---|\n| c |\n\n## Slide 2: One\n\nOne\n\nbody\n\n> Note: mind this"
+    assert text.endswith("[Speaker Note] mind this") and about["slides"] == "2"
+
+
+def test_epub_says_of_itself():
+    _, md, about = D.read_epub(packed({
+        "META-INF/container.xml": '<c><rootfile full-path="c.opf"/></c>', "a.xhtml": "<html><body><p>text</p></body></html>", "b.xhtml": "<html><body></body></html>",
+        "c.opf": '<p><title>Book</title><creator>Bo</creator><language>en</language><item id="Cover-img" href="c.png" media-type="image/png"/><item id="b" href="b.xhtml" media-type="application/xhtml+xml"/><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><itemref idref="b"/><itemref idref="a"/></p>',
+    }))
+    assert md == "# Book\n\n**Author:** Bo\n\n## Chapter 1\n\ntext" and about == {"title": "Book", "author": "Bo", "language": "en", "cover": "c.png", "chapters": "1"}

@@ -22,10 +22,11 @@ JUNK = frozenset("script style noscript template svg iframe object embed canvas
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "depth")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
+        self.depth = parent.depth + 1 if parent is not None else 0
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -51,6 +52,10 @@ class Node:
         return self.attrs.get("class", "").split()
 
 
+#: Elements nested deeper than this stand beside what they hold, as in browsers, so that no source is too deep to be read.
+DEEPEST = 300
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -63,7 +68,7 @@ class _Builder(HTMLParser):
             self._close_sibling(tag)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and node.depth < DEEPEST:
             self.at = node
 
     def handle_startendtag(self, tag, attrs):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -85,15 +86,53 @@ def _texts(e, tag: str = "t") -> str:
     return "".join(x.text or "" for x in e.iter() if _tag(x) == tag)
 
 
-def read_xlsx(data: bytes) -> tuple[str, str]:
+def _attr(e, name: str) -> str:
+    """An attribute whatever its namespace."""
+    return next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == name), "")
+
+
+def _relations(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """(kind, target) of a part's relations by their id; targets inside the file from its root."""
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    out = {}
+    for r in _xml(z, rels) if rels in z.namelist() else ():
+        target = r.get("Target", "")
+        if r.get("TargetMode") != "External":
+            target = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+        out[r.get("Id", "")] = (r.get("Type", "").rsplit("/", 1)[-1], target)
+    return out
+
+
+def _properties(z: zipfile.ZipFile) -> dict[str, str]:
+    """What an office file says of itself."""
+    if "docProps/core.xml" not in z.namelist():
+        return {}
+    said = {_tag(x): (x.text or "").strip() for x in _xml(z, "docProps/core.xml")}
+    return {k: said.get(v, "") for k, v in (("title", "title"), ("author", "creator"), ("subject", "subject"), ("created", "created"), ("modified", "modified"))}
+
+
+PICTURE_BYTES = 2 << 20
+
+
+def _pictures(z: zipfile.ZipFile, relations: dict[str, tuple[str, str]]) -> int:
+    """Embedded pictures of at most two megabytes."""
+    sizes = {i.filename: i.file_size for i in z.infolist()}
+    return sum(1 for kind, target in relations.values() if kind == "image" and 0 < sizes.get(target, 0) <= PICTURE_BYTES)
+
+
+def read_xlsx(data: bytes) -> tuple[str, str, dict]:
+    """Each sheet of the workbook in its order, its part found by its relation; the first row is the header."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = [_texts(si) for si in _xml(z, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
-    names = [x.get("name") for x in _xml(z, "xl/workbook.xml").iter() if _tag(x) == "sheet"]
-    sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    relations = _relations(z, "xl/workbook.xml")
+    numbered = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
     text, md = [], []
-    for name, sheet in zip(names, sheets):
+    for k, x in enumerate(x for x in _xml(z, "xl/workbook.xml").iter() if _tag(x) == "sheet"):
+        own = relations.get(next((v for n, v in x.attrib.items() if n.endswith("}id")), ""), ("", ""))[1]
+        sheet = own if own in z.namelist() else numbered[k] if k < len(numbered) else None
         rows = []
-        for r in (x for x in _xml(z, sheet).iter() if _tag(x) == "row"):
+        for r in (y for y in _xml(z, sheet).iter() if _tag(y) == "row") if sheet else ():
             cells: list[str] = []
             for c in r:
                 ref = re.sub(r"\d", "", c.get("r", ""))
@@ -101,30 +140,42 @@ def read_xlsx(data: bytes) -> tuple[str, str]:
                 for ch in ref:
                     col = col * 26 + ord(ch) - 64
                 cells += [""] * (col - 1 - len(cells))
-                v = next((x.text or "" for x in c if _tag(x) == "v"), "")
+                v = next((y.text or "" for y in c if _tag(y) == "v"), "")
                 cells.append(shared[int(v)] if c.get("t") == "s" and v else _texts(c) if c.get("t") == "inlineStr" else v)
             rows.append(cells)
-        md.append(f"## {name}\n\n{_pipe(rows)}")
+        md.append(f"## {x.get('name')}\n\n{_pipe(rows)}")
         text += ["\t".join(r) for r in rows]
-    return "\n".join(text), "\n\n".join(md)
+    return "\n".join(text), "\n\n".join(md), _properties(z) | {"sheets": str(len(md))}
 
 
-def read_docx(data: bytes) -> tuple[str, str]:
-    """Paragraphs by style, then tables, then notes."""
+def read_docx(data: bytes) -> tuple[str, str, dict]:
+    """Title and author where the file states them, paragraphs by style with their links, then tables, pictures and notes."""
     z = zipfile.ZipFile(io.BytesIO(data))
     body = next(x for x in _xml(z, "word/document.xml") if _tag(x) == "body")
+    relations = _relations(z, "word/document.xml")
+    about = _properties(z)
     val = lambda e, tag: next((v for x in e.iter() if _tag(x) == tag for k, v in x.attrib.items() if k.endswith("}val")), None)
 
+    def run(r) -> str:
+        t = _texts(r)
+        on = {_tag(x) for pr in r if _tag(pr) == "rPr" for x in pr if _attr(x, "val") != "0"}
+        mark = "*" * (2 * ("b" in on) + ("i" in on))
+        return f"{mark}{t}{mark}" if t.strip() and mark else t
+
     def runs(p) -> str:
         out = ""
-        for r in (x for x in p.iter() if _tag(x) == "r"):
-            t = _texts(r)
-            on = {_tag(x) for pr in r if _tag(pr) == "rPr" for x in pr}
-            mark = "*" * (2 * ("b" in on) + ("i" in on))
-            out += f"{mark}{t}{mark}" if t.strip() and mark else t
+        for x in p:
+            if _tag(x) == "r":
+                out += run(x)
+            elif _tag(x) == "hyperlink":
+                t, url = _texts(x), relations.get(_attr(x, "id"), ("", ""))[1]
+                out += f"[{t}]({url})" if t and url else t
+            elif _tag(x) != "pPr":
+                out += "".join(run(r) for r in x.iter() if _tag(r) == "r")
         return out
 
-    text, md, tables = [], [], []
+    text, tables = [], []
+    md = [f"# {about.get('title') or 'Document'}", *([f"**Author:** {about['author']}"] if about.get("author") else []), "---"] if about else []
     for p in body:
         if _tag(p) == "tbl":
             rows = [[" ".join(_texts(q) for q in tc.iter() if _tag(q) == "p").strip() for tc in tr if _tag(tc) == "tc"] for tr in p if _tag(tr) == "tr"]
@@ -137,38 +188,57 @@ def read_docx(data: bytes) -> tuple[str, str]:
             lead = "#" * int(h[1]) + " " if h else "  " * depth + ("1. " if "Number" in style else "- ") if style.startswith("List") else ""
             md.append(lead + runs(p))
             text.append(_texts(p))
+    n = _pictures(z, relations)
+    tables += [f"![Image {k}](embedded)" for k in range(1, n + 1)]
     notes = []
     for name in ("word/footnotes.xml", "word/endnotes.xml"):
         if name in z.namelist():
-            for n in _xml(z, name):
-                i = next((v for k, v in n.attrib.items() if k.endswith("}id")), "0")
-                if i not in ("0", "-1") and _texts(n).strip():
-                    notes.append(f"[^{i}]: {_texts(n).strip()}")
+            for x in _xml(z, name):
+                i = _attr(x, "id") or "0"
+                if i not in ("0", "-1") and _texts(x).strip():
+                    notes.append(f"[^{i}]: {_texts(x).strip()}")
     if notes:
         tables.append("## Notes\n\n" + "\n".join(notes))
-    return "\n".join(text), "\n\n".join([*md, *tables])
+    return "\n".join(text), "\n\n".join([*md, *tables]), about | {"images": str(n)}
 
 
-def read_pptx(data: bytes) -> tuple[str, str]:
+def read_pptx(data: bytes) -> tuple[str, str, dict]:
+    """Slides in the order of the presentation: title, paragraphs, tables, pictures, and the notes that belong to the slide."""
     z = zipfile.ZipFile(io.BytesIO(data))
-    slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-    text, md = [], []
+    deck = "ppt/presentation.xml"
+    relations = _relations(z, deck)
+    order = [relations.get(_attr(x, "id") if not x.get("id") else next((v for k, v in x.attrib.items() if k.endswith("}id")), ""), ("", ""))[1] for x in _xml(z, deck).iter() if _tag(x) == "sldId"] if deck in z.namelist() else []
+    slides = [n for n in order if n in z.namelist()] or sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    text, md, noted = [], [], 0
     for k, name in enumerate(slides, 1):
-        lines = [t for p in _xml(z, name).iter() if _tag(p) == "p" and (t := _texts(p).strip())]
-        md.append(f"## Slide {k}: {lines[0] if lines else ''}\n\n" + "\n\n".join(lines))
+        root, own = _xml(z, name), _relations(z, name)
+        in_tables = {id(p) for t in root.iter() if _tag(t) == "tbl" for p in t.iter()}
+        lines = [t for p in root.iter() if _tag(p) == "p" and id(p) not in in_tables and (t := _texts(p).strip())]
+        shapes = [x for x in root.iter() if _tag(x) == "sp"]
+        head = next((x for x in shapes if any(_tag(y) == "ph" and y.get("type") in ("title", "ctrTitle") for y in x.iter())), None)
+        title = _texts(head).strip() if head is not None else lines[0] if lines and not shapes else ""
+        parts = [f"## Slide {k}: {title}" if title else f"## Slide {k}", *lines]
+        for t in (x for x in root.iter() if _tag(x) == "tbl"):
+            parts.append(_pipe([[_texts(c).strip() for c in r if _tag(c) == "tc"] for r in t if _tag(r) == "tr"]))
+        parts += [f"![Image from slide {k}](embedded)"] * _pictures(z, own)
         text += lines
-        note = f"ppt/notesSlides/notesSlide{k}.xml"
+        note = next((t for kind, t in own.values() if kind == "notesSlide"), f"ppt/notesSlides/notesSlide{k}.xml" if not own else None)
         if note in z.namelist() and (t := " ".join(_texts(p) for p in _xml(z, note).iter() if _tag(p) == "p").strip()):
-            md.append(f"> Note: {t}")
+            parts.append(f"> Note: {t}")
             text.append(f"[Speaker Note] {t}")
-    return "\n".join(text), "\n\n".join(md)
+            noted += 1
+        md.append("\n\n".join(parts))
+    return "\n".join(text), "\n\n".join(md), _properties(z) | {"slides": str(len(slides)), "notes": str(noted)}
 
 
-def read_epub(data: bytes) -> tuple[str, str]:
+def read_epub(data: bytes) -> tuple[str, str, dict]:
+    """Title, author and chapters in reading order; of what the book says of itself the cover's file too."""
     z = zipfile.ZipFile(io.BytesIO(data))
     opf = next(x.get("full-path") for x in _xml(z, "META-INF/container.xml").iter() if _tag(x) == "rootfile")
     root, base = _xml(z, opf), opf.rsplit("/", 1)[0] + "/" if "/" in opf else ""
     items = {x.get("id"): (x.get("href"), x.get("media-type", "")) for x in root.iter() if _tag(x) == "item"}
+    said = {k: next((x.text.strip() for x in root.iter() if _tag(x) == t and x.text), "") for k, t in (("title", "title"), ("author", "creator"), ("language", "language"), ("publisher", "publisher"), ("date", "date"), ("description", "description"))}
+    cover = next((base + href for i, (href, kind) in items.items() if "cover" in (i or "").lower() and kind.startswith("image/") and href), "")
     text, md = [], []
     for ref in (x.get("idref") for x in root.iter() if _tag(x) == "itemref"):
         href, kind = items.get(ref, (None, ""))
@@ -178,8 +248,8 @@ def read_epub(data: bytes) -> tuple[str, str]:
         if t := tree.text():
             text.append(t)
             md.append(f"## Chapter {len(md) + 1}\n\n{to_markdown(tree)}")
-    title = next((x.text for x in root.iter() if _tag(x) == "title"), None)
-    return "\n\n".join(text), "\n\n".join(([f"# {title}"] if title else []) + md)
+    lead = ([f"# {said['title']}"] if said["title"] else []) + ([f"**Author:** {said['author']}"] if said["author"] else [])
+    return "\n\n".join(text), "\n\n".join(lead + md), {k: v for k, v in (said | {"cover": cover, "chapters": str(len(md))}).items() if v}
 
 
 def read_rtf(data: bytes) -> tuple[str, str]:
@@ -197,7 +267,7 @@ READERS = {"csv": read_csv, "xlsx": read_xlsx, "docx": read_docx, "pptx": read_p
 
 
 def documents(df: DataFrame, path: str = "path", content: str = "content", content_type: str | None = None) -> DataFrame:
-    """(path, kind, text, markdown, words, error) of each file."""
+    """(path, kind, text, markdown, words, error, metadata) of each file."""
     ct = F.col(content_type) if content_type else F.lit(None).cast("string")
     rows = df.select(F.col(path).alias("path"), document_type(F.col(path), ct, F.col(content)).alias("kind"), F.col(content).alias("content"))
 
@@ -210,17 +280,18 @@ def documents(df: DataFrame, path: str = "path", content: str = "content", conte
                         k = zip_type(c)
                     if k == "html":
                         tree = parse(c.decode("utf-8", "replace"))
-                        text, md = tree.text(), to_markdown(tree)
+                        text, md, about = tree.text(), to_markdown(tree), {}
                     else:
-                        text, md = READERS[k](c)
-                    out.append((p, k, text, md, len(text.split()), None))
+                        text, md, *rest = READERS[k](c)
+                        about = rest[0] if rest else {}
+                    out.append((p, k, text, md, len(text.split()), None, list(about.items())))
                 except Exception as e:  # a broken file is a row, not a failed job
-                    out.append((p, k, None, None, 0, f"{type(e).__name__}: {e}"[:200]))
-            cols = list(zip(*out)) if out else [()] * 6
-            kinds = [pa.string()] * 4 + [pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "kind", "text", "markdown", "words", "error"])
+                    out.append((p, k, None, None, 0, f"{type(e).__name__}: {e}"[:200], None))
+            cols = list(zip(*out)) if out else [()] * 7
+            kinds = [pa.string()] * 4 + [pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "kind", "text", "markdown", "words", "error", "metadata"])
 
-    return rows.mapInArrow(run, "path string, kind string, text string, markdown string, words int, error string")
+    return rows.mapInArrow(run, "path string, kind string, text string, markdown string, words int, error string, metadata map<string,string>")
 
 
 def sitemap(df: DataFrame, xml: str = "xml") -> DataFrame:
