@@ -178,6 +178,11 @@ def test_leakage_across_a_long_text():
     assert len(leakage.around(np.array([0, 50_015]), one, 16)) < 200
     assert leakage.share_held(item, one, 8) == 1.0
     assert leakage.share_held(item, np.concatenate([item[15:], far, item[:15]]), 8) < 1.0
+    rng = np.random.default_rng(3)
+    for _ in range(200):  # what is left without alignment never reaches the share
+        doc = np.where(rng.random(len(item)) < rng.random() * 0.4, far[: len(item)], item)[: rng.integers(4, len(item) + 1)]
+        full = leakage.share_held(item, doc, 8)
+        assert leakage.share_held(item, doc, 8, 0.5) == full or full < 0.5
 
 
 def test_leakage_of_a_widely_leaked_part(spark):

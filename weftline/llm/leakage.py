@@ -43,7 +43,9 @@ def words_of(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
+        text = _HIDDEN.sub("", text)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
     return WORD.findall(text.lower())
 
 
@@ -133,6 +135,9 @@ class Index:
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owner, self.pos = seeds[order], owner[order], pos[order]
         self.keys, self.first, self.count = np.unique(self.seeds, return_index=True, return_counts=True)
+        self.mask = np.uint64((1 << max(16, 4 + len(self.keys).bit_length())) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)  # by the last bits: most runs are no seed's
+        self.maybe[self.keys & self.mask] = True
 
     def lookup(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """For each document the indices into ``keys`` of its distinct runs that are seeds."""
@@ -141,16 +146,19 @@ class Index:
         if not len(self.keys) or not len(g):
             return [np.empty(0, np.int64)] * len(docs)
         ends = np.cumsum([len(d) for d in docs])
-        at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == g)
+        hit = np.flatnonzero(self.maybe[g & self.mask])
+        at = np.minimum(np.searchsorted(self.keys, g[hit]), len(self.keys) - 1)
+        same = self.keys[at] == g[hit]
+        hit, at = hit[same], at[same]
         owner = np.searchsorted(ends, hit, side="right")
-        hit, owner = hit[hit + SEED <= ends[owner]], owner[hit + SEED <= ends[owner]]  # not across documents
+        inside = hit + SEED <= ends[owner]  # not across documents
+        at, owner = at[inside], owner[inside]
         cuts = np.searchsorted(owner, np.arange(1, len(docs)))
-        return [np.unique(x) for x in np.split(at[hit], cuts)]
+        return [np.unique(x) for x in np.split(at, cuts)]
 
     def candidates(self, keys: np.ndarray, share: float) -> list[int]:
         """The items of which seeds cover words enough."""
-        if not len(keys):
+        if not len(keys) or len(keys) * SEED < self.cover * share * self.sizes.min():  # too few for the shortest item
             return []
         size = self.count[keys]
         flat = np.repeat(self.first[keys] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
@@ -180,12 +188,26 @@ def around(at: np.ndarray, doc: np.ndarray, margin: int) -> np.ndarray:
     return np.concatenate(out[1:])
 
 
-def share_held(item: np.ndarray, doc: np.ndarray, stretch: int) -> float:
-    """The part of the item's words that the document holds in stretches."""
+def reachable(item: np.ndarray, doc: np.ndarray, least: int) -> int:
+    """Most item words that stretches can cover: of a run of words that the document holds, single ones between two of
+    them missing, no shorter than a stretch. Where a word stands in the document doesn't count here."""
+    there = np.isin(item, doc)
+    ok = there.copy()
+    ok[1:-1] |= there[:-2] & there[2:]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(np.int8), [0]])))
+    size = edges[1::2] - edges[::2]
+    return int(size[size >= least].sum())
+
+
+def share_held(item: np.ndarray, doc: np.ndarray, stretch: int, share: float = 0.0) -> float:
+    """The part of the item's words that the document holds in stretches; 0 without alignment where it can't be ``share``."""
     at = np.flatnonzero(np.isin(runs(doc), runs(item)))
     if not len(at):
         return 0.0
-    return covered(stretches(item, around(at, doc, 2 * stretch), min(stretch, len(item)))) / len(item)
+    least, near = min(stretch, len(item)), around(at, doc, 2 * stretch)
+    if reachable(item, near, least) < share * len(item):
+        return 0.0
+    return covered(stretches(item, near, least)) / len(item)
 
 
 def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
@@ -219,7 +241,7 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                 rows: list[tuple[int, int, float]] = []
                 for i, words, keys in zip(b.column(0).to_pylist(), h, ix.lookup(h)):
                     for c in ix.candidates(keys, share):
-                        got = share_held(ix.words[c], words, stretch)
+                        got = share_held(ix.words[c], words, stretch, share)
                         if got >= share:
                             rows.append((i, ix.ids[c], got))
                 d, it, s = zip(*rows) if rows else ((), (), ())
