@@ -92,6 +92,19 @@ def test_safe_name(spark, url, name):
     assert one(spark, sinks.safe_name(F.col("u")), u=url) == name
 
 
+def test_archives(spark):
+    import io
+    import json
+    import zipfile
+
+    df = spark.createDataFrame([(f"{k}_p", None if k == 1 else f"t{k}", "<p>" if k else None, '{"a":1}') for k in range(5)], "name string, text string, html string, meta string").coalesce(1)
+    rows = sinks.archives(df, html="html", metadata="meta", per=2).collect()
+    assert [r["rows"] for r in rows] == [2, 2, 1]
+    z = zipfile.ZipFile(io.BytesIO(rows[0]["archive"]))
+    assert set(z.namelist()) == {"index.json", "0_p/content.md", "0_p/metadata.json", "1_p/content.md", "1_p/content.html", "1_p/metadata.json"}
+    assert z.read("0_p/content.md") == b"t0" and json.loads(z.read("index.json"))[1] == {"folder": "1_p", "length": 0}
+
+
 def test_only(spark):
     df = spark.createDataFrame([(1, 2)], "b int, a int")
     assert sinks.only(df, ["a", "c", "b"]).columns == ["a", "b"]

@@ -53,8 +53,9 @@ def graph_frontier(s, d):
 
 
 def _requests(s, d):
+    """Requests of each user, an hour of the table's time as a second."""
     e = table(s, d, "events")
-    return e.select(F.pmod("user_id", F.lit(7)).alias("user_id"), "event_id", F.expr("unix_micros(cast(ts as timestamp)) / 1e6D / 60").alias("s"), (F.col("event_type") != "error").alias("ok"))
+    return e.select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp)) / 1e6D / 3600").alias("s"), (F.col("event_type") != "error").alias("ok"))
 
 
 def circuit_breaker(s, d):
@@ -69,10 +70,10 @@ def document_types(s, d):
 
 
 def sitemap_rows(s, d):
-    """A site map per host, written and read again."""
+    """Site maps of at most five hundred pages, written and read again."""
     p = table(s, d, "pages")
     one = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod>"), F.date_format("scraped_at", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
-    return D.sitemap(p.groupBy(F.pmod("page_id", F.lit(16))).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(one), ""), F.lit("</urlset>")).alias("xml"))).select("loc", "lastmod")
+    return D.sitemap(p.groupBy(U.domain("url"), F.floor(F.col("page_id") / 500)).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(one), ""), F.lit("</urlset>")).alias("xml"))).select("loc", "lastmod")
 
 
 def robots_rules(s, d):
@@ -96,7 +97,7 @@ def _pad(x: int) -> str:
 
 
 _FOUND = URL_CTE.replace("select page_id, url from pages", "select -id as page_id, url from job_results union all select id * 1000 + p, url from (select id, unnest(links) as url, generate_subscripts(links, 1) - 1 as p from job_results)")
-_BREAKER = """with recursive e as (select user_id % 7 as user_id, event_id, epoch_us(ts) / 1e6::double / 60 as s, event_type <> 'error' as ok from events where user_id is not null),
+_BREAKER = """with recursive e as (select user_id, event_id, epoch_us(ts) / 1e6::double / 3600 as s, event_type <> 'error' as ok from events where user_id is not null),
     o as (select *, row_number() over (partition by user_id order by s, event_id) as n from e),
     w as (select user_id, n, event_id, case when ok then 'closed' else 'closed' end as state, case when ok then [] else [s] end as fails, 0.0::double as opened, true as passed from o where n = 1
       union all select x.user_id, x.n, x.event_id,

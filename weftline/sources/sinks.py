@@ -38,22 +38,30 @@ def file_name(url: Column, n: Column) -> Column:
     return F.concat(F.lpad(n.cast("string"), 8, "0"), F.lit("_"), safe_name(url))
 
 
-def archives(df: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
-    """(rows, archive binary): each partition's pages as one ZIP, made on the executors."""
+def archives(df: DataFrame, name: str = "name", text: str = "text", html: str | None = None, metadata: str | None = None, per: int = 1000) -> DataFrame:
+    """(rows, archive binary): ZIP files of at most ``per`` pages each, made on the executors. A page is a folder of its
+    content, its source and its metadata (JSON text) where there are any; an index lists the folders."""
     import io
+    import json
     import zipfile
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n = io.BytesIO(), 0
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for b in batches:
-                for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4))))
+        while part := [r for _, r in zip(range(per), rows)]:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("index.json", json.dumps([{"folder": k, "length": len(v or "")} for k, v, _, _ in part], ensure_ascii=False))
+                for k, v, source, about in part:
                     z.writestr(f"{k}/content.md", v or "")
-                    n += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["rows", "archive"])
-
-    return df.select(name, text).mapInArrow(run, "rows bigint, archive binary")
+                    if source is not None:
+                        z.writestr(f"{k}/content.html", source)
+                    if about is not None:
+                        z.writestr(f"{k}/metadata.json", about)
+            yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["rows", "archive"])
+
+    none = F.lit(None).cast("string")
+    cols = [F.col(name).alias("name"), F.col(text).alias("text"), (F.col(html) if html else none).alias("html"), (F.col(metadata) if metadata else none).alias("metadata")]
+    return df.select(*cols).mapInArrow(run, "rows bigint, archive binary")
 
 
 def signed(df: DataFrame, body: str, secret: str) -> DataFrame:
