@@ -118,4 +118,4 @@ def test_sinks(spark, tmp_path):
     s = sinks.signed(df.where("id = 1").select(F.col("t").alias("body")), "body", "k" * 70).first()
     assert s.signature == hmac.new(b"k" * 70, s.body.encode(), hashlib.sha256).hexdigest()
     z = sinks.archives(df.select(F.col("id").cast("string").alias("name"), F.col("t").alias("text")).coalesce(1)).first()
-    assert zipfile.ZipFile(io.BytesIO(bytes(z.archive))).namelist() == ["1/content.md", "2/content.md"]
+    assert zipfile.ZipFile(io.BytesIO(bytes(z.archive))).namelist() == ["index.json", "1/content.md", "2/content.md"]
