@@ -174,12 +174,13 @@ def _sgd(x: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, seed: int
     return e, w, bias
 
 
-def fit(pages: list[tuple[str, list[str]]], precision: float = 0.995, epochs: int = 5, rate: float = 0.1, seed: int = 5) -> LanguageModel:
-    """``pages``: (code, sentences) of labelled pages; a code may be wrong."""
+def fit(pages: list[tuple[str, list[str]]], precision: float = 0.995, epochs: int = 5, rate: float = 0.1, seed: int = 5, noise_pages: int = 200, noise_sentences: int = 6) -> LanguageModel:
+    """``pages``: (code, sentences) of labelled pages; a code may be wrong. The noise of the class of no language is made of
+    words of the first ``noise_sentences`` sentences of ``noise_pages`` of them."""
     rng = np.random.default_rng(seed)
 
     def junk(n: int) -> list[list[str]]:
-        own = [w for _, s in pages for t in s for w in WORD.findall(t.lower())] or LATIN
+        own = [w for _, s in pages[:noise_pages] for t in s[:noise_sentences] for w in WORD.findall(t.lower())] or LATIN
         made = []
         for k in range(n):
             size = int(rng.integers(4, 24))
@@ -213,13 +214,14 @@ def fit(pages: list[tuple[str, list[str]]], precision: float = 0.995, epochs: in
     held = [k % 6 == 5 and len(pages) >= 60 for k in range(len(pages))]
     first = learn([r for r, h in zip(pages, held) if not h])
 
-    def cleaned(rows: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
-        """Pages that speak for their label, without the sentences that don't."""
+    def cleaned(rows: list[tuple[str, list[str]]], strict: bool = False) -> list[tuple[str, list[str]]]:
+        """Pages that speak for their label, without the sentences that don't. A few pages to calibrate by are cleaned
+        strictly, as one with a wrong label would hold the temperature up."""
         out = []
         for code in CODES:
             scored = [(s, first.scores([WORD.findall(t.lower()) for t in s])[:, CODES.index(code)]) for c, s in rows if c == code]
             fits = [x for x in scored if x[1].mean() >= 0.5]
-            if 2 * len(fits) < len(scored):  # a language that the first fit hasn't learned keeps its pages
+            if not strict and 2 * len(fits) < len(scored):  # a language that the first fit hasn't learned keeps its pages
                 out += [(code, s) for s, _ in scored]
             else:
                 out += [(code, [t for t, v in zip(s, p) if v >= 0.3]) for s, p in fits]
@@ -227,7 +229,7 @@ def fit(pages: list[tuple[str, list[str]]], precision: float = 0.995, epochs: in
 
     kept = cleaned([r for r, h in zip(pages, held) if not h]) or pages
     model = learn(kept)
-    texts, y = build(cleaned([r for r, h in zip(pages, held) if h]) or kept)
+    texts, y = build(cleaned([r for r, h in zip(pages, held) if h], True) or kept)
     best = (np.inf, 1.0)
     for t in (0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0):
         model.temperature = t
