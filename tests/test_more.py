@@ -164,3 +164,19 @@ def test_epub_says_of_itself():
         "c.opf": '<p><title>Book</title><creator>Bo</creator><language>en</language><item id="Cover-img" href="c.png" media-type="image/png"/><item id="b" href="b.xhtml" media-type="application/xhtml+xml"/><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><itemref idref="b"/><itemref idref="a"/></p>',
     }))
     assert md == "# Book\n\n**Author:** Bo\n\n## Chapter 1\n\ntext" and about == {"title": "Book", "author": "Bo", "language": "en", "cover": "c.png", "chapters": "1"}
+
+
+def test_shown_times_of_parts_of_seconds(spark, tmp_path):
+    """Equal to SQL where a part of a second decides on the unit, for halves, a null time, the epoch and the time before it."""
+    import duckdb
+
+    from weftline.plans import registry
+
+    at = ["2024-01-11 19:06:39.6", "2024-01-11 19:06:39.4", "2024-01-11 19:06:40.5", "2024-01-11 19:06:41.5", "2024-01-11 19:07:39.7", "2024-01-12 03:06:39.9", "1970-01-01 00:00:00", "1970-01-01 00:00:00.5", "1969-12-31 23:59:59.5", None]
+    con = duckdb.connect()
+    con.execute("create table events (event_id bigint, ts timestamp)")
+    con.executemany("insert into events values (?, ?)", list(enumerate(at)))
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    want = con.execute(registry.oracle_sql()["shown_times"]).fetchall()
+    got = registry.queries()["shown_times"](spark, str(tmp_path)).select("event_id", "clock", "iso", "due").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -94,8 +94,12 @@ def shown_money(s, d):
 
 
 def shown_times(s, d):
-    e = table(s, d, "events")
-    return e.select("event_id", V.clock(F.hour("ts"), F.minute("ts")).alias("clock"), V.epoch_iso(F.expr("unix_seconds(cast(ts as timestamp))")).alias("iso"), V.next_run(F.expr("unix_seconds(cast(ts as timestamp)) - 1705000000")).alias("due"))
+    """Times of events as clock, ISO time and how long it is until a run at them, by whole seconds: the ISO time's are cut, the
+    run's rounded half to even as in SQL. A null time gives nulls, and the epoch's own second is a time like others."""
+    e = table(s, d, "events").withColumn("at", F.expr("unix_micros(cast(ts as timestamp))"))
+    iso = F.coalesce(V.epoch_iso(F.expr("unix_seconds(cast(ts as timestamp))")), F.when(F.col("at").isNotNull(), "1970-01-01T00:00:00+00:00"))
+    clock = F.when(F.col("at").isNotNull(), V.clock(F.hour("ts"), F.minute("ts")))
+    return e.select("event_id", clock.alias("clock"), iso.alias("iso"), V.next_run(F.rint(F.col("at") / 1e6).cast("bigint") - 1705000000).alias("due"))
 
 
 def shown_day_offsets(s, d):
