@@ -243,3 +243,47 @@ def test_subject_shares_come_from_the_mixtures():
     assert w[0].argmax() == 0 and w[1].argmax() == 1
     total = m.counts(flat[0], flat[1])
     assert np.allclose(total.sum(axis=1), [2, 1, 3])  # every term is divided among the subjects, none is lost
+
+
+def test_subjects_learn_from_every_document(spark):
+    """More labelled and other documents than a fit once took (2,500 of each): every term and label counts, however the rows are cut."""
+    word = lambda n: "q" + "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    rows = [(n, f"{word(n // 4)} {word(n // 4)} {word(n // 4)} the the. The {word(n // 4)}.") for n in range(5600)]
+    rows += [(n + 10_000, f"{word(n // 4)} with the {'a' if n // 4 % 2 else 'b'}mark of the {word(1400 + n // 4)} {word(1400 + n // 4)}.") for n in range(5600)] + [(20_000, None), (20_001, " "), (1, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, [" Law", "cells "][n // 4 % 2]) for n in range(5600)] + [(1, "none such"), (2, None), (None, "law")], "doc_id long, subject string")
+    names = spark.createDataFrame([("law",), ("cells",)], "subject string")
+    model = subjects.train(docs, "doc_id", "text", labels, names)
+    assert set(map(word, range(2800))) <= set(model.vocabulary)
+    found = sorted(map(tuple, subjects.mixtures(docs, "doc_id", "text", model).where("share >= 0.25").select("doc_id", "subject").collect()))
+    assert found == sorted([(n, ["law", "cells"][n // 4 % 2]) for n in [*range(5600), 1]] + [(n + 10_000, ["law", "cells"][n // 4 % 2]) for n in range(5600)])
+    again = subjects.factored(docs.repartition(7), "doc_id", "text", labels, names).where("share >= 0.25").select("doc_id", "subject")
+    assert sorted(map(tuple, again.collect())) == found
+
+
+def test_subject_updates_equal_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    counts = np.array([1, 40, 3, 3, 2, 9, 1])
+    terms, h, v = rng.integers(0, 12, counts.sum()), rng.random((12, 3)) + 0.01, rng.integers(1, 5, counts.sum()).astype(float)
+    mask = np.where(rng.random((7, 3)) < 0.5, 0.1, 1.0)
+    m = subjects.SubjectModel(list("abc"), {}, h, rng.random(12))
+    want, at = np.zeros((12, 3)), 0
+    for n, c in enumerate(counts):
+        t, x = range(at, at + c), mask[n]
+        for _ in range(3):
+            x = x * sum(v[i] * m.weight[terms[i]] * h[terms[i]] / (h[terms[i]] @ x) for i in t) * mask[n]
+        for i in t:
+            want[terms[i]] += v[i] * h[terms[i]] * x / (h[terms[i]] @ x)
+        at += c
+    assert np.allclose(m.document_counts(terms, v, counts, mask, 3), want)
+
+
+def test_words_equal_their_expressions():
+    import random
+
+    r = random.Random(4)
+    odd = ["".join(r.choices("ab É-_/+=1²½Ⅷİßª.,!’“…—\t\x85\u0307#<%(x)'\"", k=r.randint(1, 14))) for _ in range(20_000)]
+    for s in [*odd, "", "The key-rate of 2004-05 rose 3.5 % (a-1, x--y, -z).", "qq7/+x 0xff a_b"]:
+        assert subjects.words_of(s) == (subjects.WORD.findall(s.lower()), len(subjects.ALL.findall(s))), s

@@ -1,20 +1,24 @@
-"""Problem 9: the subject areas of each document by seeded, anchored non-negative factorisation.
-
-The rows of the matrix are passages (sentences), the columns terms, the factors mixtures W of the rows and components H.
-Component k is a subject. A first fit takes the documents of a bounded sample as rows (``labelled`` documents with usable
-labels and ``unlabelled`` others, the lowest by hash of their id; both bound the fit only, and with it the vocabulary):
-alternating non-negative updates for the Kullback-Leibler distance, H seeded with the counts of the documents that carry
-the label, and W anchored: at every update a labelled document's weights for other subjects are scaled down, not
-forbidden, as labels may be wrong or name one subject of several; after ``free`` updates all weights are free. There a term
-counts at most ``most`` times in a document. Terms that all subjects use alike weigh little in W, by their spread over the
-components.
-
-Then the updates alternate over the whole corpus, ``passes`` times: with H fixed every passage of every document gets its
-mixture, and the mixtures' weighted counts, summed over the corpus, are the new H. At the end every document's subjects
+"""Problem 9: the subject areas of each document by seeded, anchored non-negative factorisation of the whole corpus.
+
+The rows of the matrix are documents first and then passages (sentences), the columns terms, the factors mixtures W of the
+rows and components H. Component k is a subject. Texts are read and cut into words once and written as blocks of documents
+(``coded``); everything after works on these. The vocabulary is every term of ``least`` documents of the corpus or more
+(three; two up to 300 documents). H starts from the counts of all documents that carry the label. Then non-negative updates
+for the Kullback-Leibler distance alternate over all documents: with H fixed every document's mixture is found by ``inner``
+updates, and the mixtures' counts, summed over the corpus, are the new H. W is anchored: at every update a labelled
+document's weights for other subjects are scaled down, not forbidden, as labels may be wrong or name one subject of several.
+This goes on until no component moves by more than ``still`` of its mass, ``rounds`` times at most; in ``free`` further ones
+all weights are free. There a term counts at most ``most`` times in a document. Terms that all subjects use alike weigh
+little in W, by their spread over the components.
+
+Then the same is done ``passes`` times with every passage of every document as a row. At the end every document's subjects
 are read from W: a subject's share is the mean of its passages' mixtures, by their words; a passage whose terms hold less
 evidence than one term that belongs to one subject alone counts in proportion. A document has the subjects that hold at least
 ``share`` of its words.
 
+To the driver and to every task goes what the vocabulary bounds: terms and terms x subjects. It grows with the corpus's
+different words, not with its rows.
+
 Defined results: null, empty, blank and machine-made texts give no row; a label in another spelling (case, space) is the same, others are ignored;
 repeated rows give repeated rows; without labels there is no row.
 """
@@ -23,15 +27,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import written
+from weftline.session import broadcastable, cut, written
 
 WORD = re.compile(r"(?<![\w/+=])[^\W\d_]+(?:-[^\W\d_]+)*(?![\w/+=])")
 ALL = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -39,13 +44,58 @@ CUT = re.compile(r"(?<=[.!?…;])[\"'”»’)\]]*\s+|\n")
 TARGET = re.compile(r"\]\([^)]*\)|https?://\S+|<[^>\n]{1,200}>")
 
 
+#: Characters that only part words, but for those that make a word part of an address or formula (``WORD``), hyphens and underscores.
+PARTING = {ord(c): " " for c in "\t\r\f\v!\"#$%&'()*,.:;<>?@[\\]^`{|}~"}
+PARTING_TOO = "’“”‘…—–«».,!?:;'\"()#*[]%"
+
+
+def words_of(sentence: str) -> tuple[list[str], int]:
+    """``WORD``'s words of a sentence and how many ``ALL`` finds. In a sentence of letters, digits, single hyphens inside words or
+    numbers, and parting characters alone both are read off its parts, which takes a fraction of the expressions' time."""
+    s = sentence.lower()
+    if s.isascii():
+        x = s.translate(PARTING)
+    else:
+        x = s
+        for c in PARTING_TOO:
+            x = x.replace(c, " ")
+    parts = x.split()
+    flat = "".join(parts)
+    if flat.isalpha():
+        return parts, len(parts)
+    if "-" not in flat or "--" not in x:
+        words = []
+        for w in parts:
+            if w.isalpha():
+                words.append(w)
+            elif "-" in w:
+                if w[0] == "-" or w[-1] == "-":
+                    break
+                both = w.replace("-", "")
+                if both.isalpha():
+                    words.append(w)
+                elif not both.isdecimal():
+                    break
+            elif not (w.isdecimal() or w.isascii() and w.isalnum()):
+                break
+        else:
+            return words, len(parts)
+    return WORD.findall(s), len(ALL.findall(sentence))
+
+
 def sentences_of(text: str) -> tuple[list[list[str]], int]:
     """Words of each sentence and the number of words of the text."""
     if "&" in text:
         text = html.unescape(text)
-    text = TARGET.sub(" ", text)
-    out = [w for s in CUT.split(text) if s and (w := WORD.findall(s.lower()))]
-    return out, len(ALL.findall(text))
+    if "](" in text or "://" in text or "<" in text:
+        text = TARGET.sub(" ", text)
+    out, total = [], 0
+    for s in CUT.split(text):
+        words, n = words_of(s)
+        total += n
+        if words:
+            out.append(words)
+    return out, total
 
 
 def informative(h: np.ndarray) -> np.ndarray:
@@ -57,50 +107,71 @@ def informative(h: np.ndarray) -> np.ndarray:
     return np.clip((rel - 1 / k) / (1 - 1 / k), 0.02, 1.0) ** 1.5
 
 
+def solved(h: np.ndarray, much: np.ndarray, terms: np.ndarray, counts: np.ndarray, w: np.ndarray, rounds: int, mask: np.ndarray | None = None) -> np.ndarray:
+    """W of rows, H fixed. ``terms`` and their evidence ``much`` stand one after the other, ``counts`` are the rows' terms. Rows of
+    about the same length are taken together, filled up with terms without evidence."""
+    starts, order = np.cumsum(counts) - counts, np.argsort(counts, kind="stable")
+    ranked, out, a = counts[order], np.empty_like(w), 0
+    while a < len(order):
+        b = np.searchsorted(ranked, ranked[a] + 2 + ranked[a] // 4, "right")
+        rows, width = order[a:b], np.arange(ranked[b - 1])
+        at = np.minimum(starts[rows][:, None] + width, len(terms) - 1)
+        e = np.where(width < ranked[a:b, None], much.take(at), np.float32(0))
+        g, x = h.take(terms.take(at), axis=0), w[rows]
+        for _ in range(rounds):
+            r = e / np.maximum(np.matmul(g, x[:, :, None])[:, :, 0], 1e-30)
+            x = x * np.matmul(r[:, None, :], g)[:, 0, :]
+            if mask is not None:
+                x *= mask[rows]
+        out[rows] = x
+        a = b
+    return out
+
+
+def divided(terms: np.ndarray, v: np.ndarray | float, h: np.ndarray, counts: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(terms, subjects): the terms' counts ``v``, divided among the subjects by the rows' mixtures."""
+    q, w = h.take(terms, axis=0), np.repeat(w, counts, axis=0)
+    w *= np.repeat(v / np.maximum(np.einsum("ij,ij->i", q, w), 1e-30), w.shape[1]).reshape(w.shape)
+    return h * summed(terms, w, len(h))
+
+
+def summed(terms: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([np.bincount(terms, q[:, k], minlength=size) for k in range(q.shape[1])], axis=1)
+
+
 class SubjectModel:
-    def __init__(self, subjects: list[str], vocabulary: dict[str, int], h: np.ndarray):
+    def __init__(self, subjects: list[str], vocabulary: dict[str, int], h: np.ndarray, weight: np.ndarray | None = None):
         self.subjects, self.vocabulary, self.h = subjects, vocabulary, h  # h: terms by components
-        self.weight = informative(h)
+        self.weight = informative(h) if weight is None else weight
+
+    def among(self, words: list[str] | np.ndarray) -> tuple[np.ndarray, SubjectModel]:
+        """Positions of words in the vocabulary, -1 for others, and the model with these words for terms."""
+        at = np.fromiter((self.vocabulary.get(w, -1) for w in list(words)), np.int64, len(words))
+        return at, SubjectModel(self.subjects, {}, self.h[at].astype(np.float32), self.weight[at].astype(np.float32))
 
     def code(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[list[int]], list[int]]:
         """Of each text the terms of its passages one after the other, how many each passage has, the passages' words, and
         all words."""
-        get = self.vocabulary.get
-        terms, counts, sizes, totals = [], [], [], []
-        for t in texts:
-            passages, total = sentences_of(t)
-            flat: list[int] = []
-            n, w = [], []
-            for words in passages:
-                ids = [i for i in map(get, words) if i is not None]
-                if ids:
-                    flat += ids
-                    n.append(len(ids))
-                    w.append(len(words))
-            terms.append(flat)
-            counts.append(n)
-            sizes.append(w)
-            totals.append(total)
-        return terms, counts, sizes, totals
+        x = Block(block([None] * len(texts), [sentences_of(t) for t in texts], [None] * len(texts)), 0)
+        at, _ = self.among(x.words)
+        terms, counts, sizes, owner = x.passages(at)
+        of = np.repeat(owner, counts)
+        each = range(len(texts))
+        return [at[terms[of == n]].tolist() for n in each], [counts[owner == n].tolist() for n in each], [sizes[owner == n].tolist() for n in each], x.totals.tolist()
 
     def mixtures(self, terms: np.ndarray, counts: np.ndarray, rounds: int = 5) -> np.ndarray:
         """W of passages: evidence of each subject, H fixed."""
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        seg = np.repeat(np.arange(len(counts)), counts)
-        h = self.h.astype(np.float32)[terms]
-        much = self.weight.astype(np.float32)[terms][:, None]
-        w = np.ones((len(counts), h.shape[1]), np.float32)
-        for _ in range(rounds):
-            q = w[seg] * h
-            q *= much / np.maximum(q.sum(axis=1, keepdims=True), 1e-30)
-            w = np.add.reduceat(q, starts, axis=0)
-        return w
+        much = self.weight.astype(np.float32).take(terms)
+        return solved(self.h.astype(np.float32), much, np.asarray(terms), np.asarray(counts), np.ones((len(counts), len(self.subjects)), np.float32), rounds)
 
     def counts(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """What passages add to the next H: their terms' counts, divided among the subjects."""
-        q = self.mixtures(terms, counts)[np.repeat(np.arange(len(counts)), counts)] * self.h[terms]
-        q /= np.maximum(q.sum(axis=1, keepdims=True), 1e-300)
-        return np.stack([np.bincount(terms, q[:, k], minlength=len(self.vocabulary)) for k in range(q.shape[1])], axis=1)
+        return divided(terms, 1.0, self.h.astype(np.float32), counts, self.mixtures(terms, counts))
+
+    def document_counts(self, terms: np.ndarray, v: np.ndarray, counts: np.ndarray, mask: np.ndarray, rounds: int) -> np.ndarray:
+        """What documents add to the next H, their mixtures found from ``mask`` and scaled by it at every update."""
+        w = solved(self.h, v * self.weight.take(terms), terms, counts, mask, rounds, mask)
+        return divided(terms, v, self.h, counts, w / np.maximum(w.sum(axis=1, keepdims=True), 1e-30))
 
     def shares(self, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, totals: np.ndarray) -> np.ndarray:
         """(texts, subjects): the part of each text's words that its passages' mixtures give to the subject."""
@@ -111,139 +182,229 @@ class SubjectModel:
         return np.minimum(1.0, out / np.maximum(1, totals)[:, None])
 
 
-def fit(docs: list[tuple[str, frozenset[str]]], subjects: list[str], rounds: int = 30, anchor: float = 0.1, free: int = 20, most: int = 8, seed: int = 3) -> SubjectModel:
-    """Factor the documents (text, labels); labels may be empty."""
-    k = len(subjects)
-    counts = []
-    for text, _ in docs:
-        sents, _ = sentences_of(text)
-        counts.append(Counter(w for s in sents for w in s))
-    df = Counter(w for c in counts for w in c)
-    least = 3 if len(docs) > 300 else 2
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= least))}
-    if not vocabulary or not k or not any(y for _, y in docs):
-        return SubjectModel([], {}, np.ones((0, 0)))
-    r = np.array([n for n, c in enumerate(counts) for w in c if w in vocabulary])
-    c = np.array([vocabulary[w] for cnt in counts for w in cnt if w in vocabulary])
-    v = np.array([float(min(x, most)) for cnt in counts for w, x in cnt.items() if w in vocabulary])
-    by_col = np.argsort(c, kind="stable")
-    col_starts = np.flatnonzero(np.diff(c[by_col], prepend=-1))
-    row_ids, row_starts = np.unique(r, return_index=True)
-    rng = np.random.default_rng(seed)
-    mask = np.ones((len(docs), k))
-    h = np.full((len(vocabulary), k), 1e-2) + rng.random((len(vocabulary), k)) * 1e-3
-    for n, (_, labels) in enumerate(docs):
-        if labels:
-            mask[n] = anchor
-            for s in labels:
-                mask[n, subjects.index(s)] = 1.0
-    w = mask / mask.sum(axis=1, keepdims=True)
-    labelled = np.array([bool(y) for _, y in docs])
-    seeds = np.where((mask[r] == 1.0) & labelled[r][:, None], v[:, None], 0.0)
-    h[c[by_col[col_starts]]] += np.add.reduceat(seeds[by_col], col_starts, axis=0)
-    h /= h.sum(axis=0)
-    for n in range(rounds):
-        much = v * informative(h)[c]
-        q = w[r] * h[c]
-        q *= (much / np.maximum(q.sum(axis=1), 1e-300))[:, None]
-        w[row_ids] = np.add.reduceat(q, row_starts, axis=0) + 1e-9
-        w *= mask if n < free else 1.0
-        w /= w.sum(axis=1, keepdims=True)
-        q = w[r] * h[c]
-        q *= (v / np.maximum(q.sum(axis=1), 1e-300))[:, None]
-        h[c[by_col[col_starts]]] = np.add.reduceat(q[by_col], col_starts, axis=0) + 1e-2
-        h /= h.sum(axis=0)
-    return SubjectModel(subjects, vocabulary, h)
+NONE = SubjectModel([], {}, np.ones((0, 0)))
+
+#: A block of documents: ids, all words and number of passages of each; words of each passage, and the passages' words one
+#: after the other by their position in ``words``; of each document the different words and how often each stands there;
+#: the block's different words and how many of its documents hold each; labels as pairs of document and subject.
+CODED = (
+    "doc_ids array<bigint>, totals array<int>, parts array<int>, sizes array<int>, terms array<int>, distinct array<int>, own array<int>, times array<int>, "
+    "words array<string>, df array<int>, label_doc array<int>, label array<int>"
+)
+BLOCK_DOCS, BLOCK_WORDS = 256, 1 << 15
+
+
+def block(ids: list, read: list[tuple[list[list[str]], int]], labels: list) -> pa.RecordBatch:
+    """One block of documents, of each its words by sentence and their number."""
+    index: defaultdict[str, int] = defaultdict()
+    index.default_factory = index.__len__  # a new word gets the next position
+    at = index.__getitem__
+    terms = np.fromiter(map(at, chain.from_iterable(chain.from_iterable(passages for passages, _ in read))), np.int64)
+    sizes = [len(words) for passages, _ in read for words in passages]
+    long = [sum(map(len, passages)) for passages, _ in read]
+    times = np.bincount(np.repeat(np.arange(len(read)), long) * len(index) + terms)
+    keys = np.flatnonzero(times)
+    times, (doc, own) = times[keys], np.divmod(keys, max(1, len(index)))
+    pairs = [(n, k) for n, y in enumerate(labels) for k in y or ()]
+    values = {
+        "totals": [n for _, n in read], "parts": [len(p) for p, _ in read], "sizes": sizes, "terms": terms, "distinct": np.bincount(doc, minlength=len(read)),
+        "own": own, "times": times, "df": np.bincount(own, minlength=len(index)), "label_doc": [n for n, _ in pairs], "label": [k for _, k in pairs],
+    }
+    made = {k: pa.array(np.asarray(v, np.int32)) for k, v in values.items()} | {"doc_ids": pa.array(ids, pa.int64()), "words": pa.array(list(index), pa.string())}
+    names = [c.split()[0] for c in CODED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(made[n])], pa.int32()), made[n]) for n in names], names=names)
+
+
+class Block:
+    """A row of coded documents, with those columns that were read."""
+
+    def __init__(self, x: pa.RecordBatch, row: int):
+        for n, name in enumerate(x.schema.names):
+            v = x.column(n)[row].values
+            setattr(self, name, v if name == "doc_ids" else v.to_numpy(zero_copy_only=False))
+
+    def passages(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Known words of passages that have any, how many each has, the passages' words and their documents."""
+        known = at[self.terms] >= 0
+        starts = np.cumsum(self.sizes) - self.sizes
+        counts = np.add.reduceat(known, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        some = counts > 0
+        return self.terms[known], counts[some], self.sizes[some], np.repeat(np.arange(len(self.parts)), self.parts)[some]
+
+    def documents(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Known different words of documents that have any, how often each stands there, how many each has, and the documents."""
+        known = at[self.own] >= 0
+        counts = np.bincount(np.repeat(np.arange(len(self.distinct)), self.distinct)[known], minlength=len(self.distinct))
+        return self.own[known], self.times[known], counts[counts > 0], np.flatnonzero(counts)
+
+    def labels(self, k: int) -> np.ndarray:
+        """(documents, subjects): whether the document carries the label."""
+        out = np.zeros((len(self.distinct), k), bool)
+        out[self.label_doc, self.label] = True
+        return out
+
+
+def coded(documents: DataFrame, doc_id: str, text: str, labels: DataFrame | None = None) -> DataFrame:
+    """Blocks of the documents that have a text; ``labels`` (id, labels) has positions of subjects for some ids."""
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    if labels is None:
+        rows = rows.withColumn("labels", F.lit(None).cast("array<int>"))
+    else:
+        labels = cut(labels)
+        few = broadcastable(labels, F.lit(16) + 4 * F.size("labels"))
+        rows = rows.join(F.broadcast(labels) if few else labels, "id", "left").select("id", "text", "labels")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, read, labels, words = [], [], [], 0
+        for b in batches:
+            for n, t, y in zip(*[b.column(c).to_pylist() for c in range(3)]):
+                ids.append(n)
+                labels.append(y)
+                read.append(sentences_of(t))
+                words += read[-1][1]
+                if len(ids) >= BLOCK_DOCS or words >= BLOCK_WORDS:
+                    yield block(ids, read, labels)
+                    ids, read, labels, words = [], [], [], 0
+        if ids:
+            yield block(ids, read, labels)
 
-def train(documents: DataFrame, doc_id: str, text: str, labels: DataFrame, subjects: DataFrame, labelled: int = 2500, unlabelled: int = 2500) -> SubjectModel:
-    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().collect())  # the fixed list of areas
-    spelled = F.lower(F.trim("subject"))
-    known = {n.strip().lower(): n for n in names}
-    y = labels.select(F.col("doc_id").alias("id"), spelled.alias("subject")).where(F.col("subject").isin(*known)) if known else None
-    if y is None:
-        return fit([], [])
-    y = y.groupBy("id").agg(F.collect_set("subject").alias("labels"))
-    d = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    order = [F.xxhash64("id"), F.col("id")]
-    with_ = d.join(y.orderBy(*order).limit(labelled), "id")
-    ids = d.select("id").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled)
-    without = d.join(F.broadcast(ids), "id", "left_semi").join(y.select("id"), "id", "left_anti")  # at most ``unlabelled`` ids
-    rows = [(r["id"], r["text"], frozenset(known[x] for x in r["labels"])) for r in with_.collect()]
-    rows += [(r["id"], r["text"], frozenset()) for r in without.collect()]
-    rows.sort(key=lambda x: (x[0], sorted(x[2])))
-    return fit([(t, s) for _, t, s in rows], names)
+    return rows.mapInArrow(run, CODED)
 
 
-CODED = "doc_id bigint, terms array<int>, counts array<int>, sizes array<int>, total int"
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for x in batches:
+        for row in range(len(x)):
+            yield Block(x, row)
 
 
-def coded(documents: DataFrame, doc_id: str, text: str, model: SubjectModel) -> DataFrame:
-    """(doc_id, terms, counts, sizes, total): the passages of each document in the model's vocabulary."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    ints = pa.list_(pa.int32())
+def _sum(rows: DataFrame, columns: list[str], model: SubjectModel, add: Callable[[Block, np.ndarray, SubjectModel], np.ndarray]) -> np.ndarray:
+    """(terms, subjects): sum over all blocks of what ``add`` gives for a block's words. A task sends one row for each term; the
+    vocabulary bounds it."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    each = [f"s{k}" for k in range(len(model.subjects))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            terms, counts, sizes, totals = m.code(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, ints), pa.array(counts, ints), pa.array(sizes, ints), pa.array(totals, pa.int32())], names=["doc_id", "terms", "counts", "sizes", "total"])
-
-    return rows.mapInArrow(run, CODED)
+        total = np.zeros(m.h.shape)
+        for x in _blocks(batches):
+            at, part = m.among(x.words)
+            known = at >= 0
+            total[at[known]] += add(x, at, part)[known]
+        i = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), *[pa.array(total[i, k]) for k in range(len(each))]], names=["i", *each])
+
+    sums = rows.select("words", *columns).mapInArrow(run, ", ".join(["i int", *[f"{c} double" for c in each]])).groupBy("i").agg(*[F.sum(c).alias(c) for c in each]).toArrow()
+    out = np.zeros(model.h.shape)
+    out[sums.column("i").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in each], axis=1)
+    shared.unpersist()
+    return out
+
+
+def _positions(labels: DataFrame, subjects: DataFrame) -> tuple[list[str], DataFrame | None]:
+    """The fixed list of areas, and of each labelled id the positions of its labels there."""
+    names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().collect())
+    known = {n.strip().lower(): k for k, n in enumerate(names)}
+    if not known:
+        return names, None
+    at = F.get(F.array(*map(F.lit, known.values())), (F.array_position(F.array(*map(F.lit, known)), F.lower(F.trim("subject"))) - 1).cast("int"))
+    return names, labels.select(F.col("doc_id").cast("bigint").alias("id"), at.alias("at")).where("id is not null and at is not null").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("labels"))
+
+
+def learned(rows: DataFrame, names: list[str], rounds: int = 30, anchor: float = 0.1, free: int = 1, most: int = 8, inner: int = 3, still: float = 1e-3, seed: int = 3) -> SubjectModel:
+    """Factor all coded documents."""
+    n, labelled = rows.agg(F.sum(F.size("doc_ids")), F.sum(F.size("label_doc"))).first()
+    if not names or not labelled:
+        return NONE
+    least = 3 if n > 300 else 2
+    words = rows.select(F.explode(F.arrays_zip("words", "df")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.df").alias("n")).where(F.col("n") >= least).select("word")
+    vocabulary = {w: i for i, w in enumerate(sorted(words.toArrow().column(0).to_pylist()))}
+    if not vocabulary:
+        return NONE
+    k = len(names)
+    columns = ["distinct", "own", "times", "label_doc", "label"]
+
+    def seeds(x: Block, at: np.ndarray, part: SubjectModel) -> np.ndarray:
+        terms, times, counts, docs = x.documents(at)
+        return summed(terms, np.repeat(x.labels(k)[docs], counts, axis=0) * np.minimum(times, most)[:, None], len(at))
+
+    def update(anchored: float) -> Callable[[Block, np.ndarray, SubjectModel], np.ndarray]:
+        def add(x: Block, at: np.ndarray, part: SubjectModel) -> np.ndarray:
+            terms, times, counts, docs = x.documents(at)
+            if not len(docs):
+                return np.zeros((len(at), k))
+            y = x.labels(k)[docs]
+            mask = np.where(y | ~y.any(axis=1, keepdims=True), 1.0, anchored).astype(np.float32)
+            return part.document_counts(terms, np.minimum(times, most).astype(np.float32), counts, mask, inner)
+
+        return add
+
+    h = np.full((len(vocabulary), k), 1e-2) + np.random.default_rng(seed).random((len(vocabulary), k)) * 1e-3
+    h += _sum(rows, columns, SubjectModel(names, vocabulary, h), seeds)
+    h /= h.sum(axis=0)
+    turn = 0
+    while turn < rounds:
+        before = h
+        h = 1e-2 + _sum(rows, columns, SubjectModel(names, vocabulary, h), update(anchor))
+        h /= h.sum(axis=0)
+        turn += 1
+        if np.abs(h - before).sum(axis=0).max() / 2 <= still:
+            break
+    for _ in range(free):
+        h = 1e-2 + _sum(rows, columns, SubjectModel(names, vocabulary, h), update(1.0))
+        h /= h.sum(axis=0)
+    return SubjectModel(names, vocabulary, h)
 
 
-def _flat(x: pa.RecordBatch, k: int) -> np.ndarray:
-    return x.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+def _kept(rows: DataFrame) -> DataFrame:
+    """Written in small row groups, as a reader holds a group of blocks at once."""
+    return written(rows, "coded", **{"parquet.block.size": 16 << 20})
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, len(b), rows):
-            yield b.slice(at, rows)
+def train(documents: DataFrame, doc_id: str, text: str, labels: DataFrame, subjects: DataFrame) -> SubjectModel:
+    """The model of all documents, with all their labels."""
+    names, at = _positions(labels, subjects)
+    return learned(_kept(coded(documents, doc_id, text, at)), names) if at is not None else NONE
 
 
 def refine(rows: DataFrame, model: SubjectModel) -> SubjectModel:
-    """One update of H over all coded documents. A task sends one sum for each term and subject; the vocabulary bounds it."""
+    """One update of H over all passages of coded documents."""
     if not model.subjects:
         return model
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        total = np.zeros(m.h.shape)
-        for x in _slices(batches):
-            counts = _flat(x, 2)
-            if len(counts):
-                total += m.counts(_flat(x, 1), counts)
-        i, k = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(k, pa.int32()), pa.array(total[i, k])], names=["i", "k", "v"])
-
-    h = np.full(model.h.shape, 1e-2)
-    for r in rows.mapInArrow(run, "i int, k int, v double").groupBy("i", "k").agg(F.sum("v").alias("v")).collect():  # terms x subjects at most
-        h[r["i"], r["k"]] += r["v"]
+    def add(x: Block, at: np.ndarray, part: SubjectModel) -> np.ndarray:
+        terms, counts, _, _ = x.passages(at)
+        return part.counts(terms, counts) if len(counts) else np.zeros((len(at), len(part.subjects)))
+
+    h = 1e-2 + _sum(rows, ["parts", "sizes", "terms"], model, add)
     return SubjectModel(model.subjects, model.vocabulary, h / h.sum(axis=0))
 
 
-def mixtures(documents: DataFrame, doc_id: str, text: str, model: SubjectModel, passes: int = 1) -> DataFrame:
-    """(doc_id, subject, share): the subjects of each document with the part of its words, those above 0."""
-    rows = coded(documents, doc_id, text, model)
-    if passes:
-        rows = written(rows, "coded")
+def _read(rows: DataFrame, model: SubjectModel, passes: int) -> DataFrame:
     for _ in range(passes):
         model = refine(rows, model)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for x in _slices(batches):
-            owner = np.repeat(np.arange(len(x)), x.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            s = m.shares(_flat(x, 1), _flat(x, 2), _flat(x, 3), owner, x.column(4).to_numpy(zero_copy_only=False)) if m.subjects else np.zeros((0, 0))
+        for x in _blocks(batches):
+            if not m.subjects:
+                continue
+            at, part = m.among(x.words)
+            s = part.shares(*x.passages(at), x.totals)
             i, k = np.nonzero(np.round(s, 6))
-            yield pa.RecordBatch.from_arrays(
-                [x.column(0).take(pa.array(i)), pa.array([m.subjects[j] for j in k], pa.string()), pa.array(s[i, k] if s.size else [], pa.float64())],
-                names=["doc_id", "subject", "share"],
-            )
+            yield pa.RecordBatch.from_arrays([x.doc_ids.take(pa.array(i)), pa.array([m.subjects[j] for j in k], pa.string()), pa.array(s[i, k], pa.float64())], names=["doc_id", "subject", "share"])
+
+    return rows.select("words", "doc_ids", "totals", "parts", "sizes", "terms").mapInArrow(run, "doc_id bigint, subject string, share double")
+
+
+def mixtures(documents: DataFrame, doc_id: str, text: str, model: SubjectModel, passes: int = 1) -> DataFrame:
+    """(doc_id, subject, share): the subjects of each document with the part of its words, those above 0."""
+    rows = coded(documents, doc_id, text)
+    return _read(_kept(rows) if passes else rows, model, passes)
+
 
-    return rows.mapInArrow(run, "doc_id bigint, subject string, share double")
+def factored(documents: DataFrame, doc_id: str, text: str, labels: DataFrame, subjects: DataFrame, passes: int = 1) -> DataFrame:
+    """``mixtures`` of the documents by the model of themselves; their texts are read once."""
+    names, at = _positions(labels, subjects)
+    rows = _kept(coded(documents, doc_id, text, at))
+    return _read(rows, learned(rows, names), passes)
