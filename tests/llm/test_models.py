@@ -287,3 +287,56 @@ def test_words_equal_their_expressions():
     odd = ["".join(r.choices("ab É-_/+=1²½Ⅷİßª.,!’“…—\t\x85\u0307#<%(x)'\"", k=r.randint(1, 14))) for _ in range(20_000)]
     for s in [*odd, "", "The key-rate of 2004-05 rose 3.5 % (a-1, x--y, -z).", "qq7/+x 0xff a_b"]:
         assert subjects.words_of(s) == (subjects.WORD.findall(s.lower()), len(subjects.ALL.findall(s))), s
+
+
+def coded_as_defined(texts):
+    """Of each text the words of its sentences and the number of all words, by the expressions themselves."""
+    import re
+    from html import unescape
+
+    ends = re.compile(r"(?<=[.!?…;])[\"'”»’)\]]*\s+|\n")
+    out = []
+    for t in texts:
+        parts = ends.split(subjects.TARGET.sub(" ", unescape(t)))
+        out.append(([w for w in (subjects.WORD.findall(s.lower()) for s in parts) if w], sum(len(subjects.ALL.findall(s)) for s in parts)))
+    return out
+
+
+def test_blocks_equal_their_definition():
+    import random
+
+    r = random.Random(5)
+    pieces = [*"ab É-_/+=1²½Ⅷİßª.,!’“…—\t\x85\u0307\u2003#<%(x)'\"|\n;?»]&Σσ", "ab", "Cd ", ". ", '?" ', "!) \n", "http://x.y ", "](u) ", "&amp;", "&quot;", "<b>", "İs", "ΑΣ", "|| "]
+    for _ in range(3000):
+        texts = ["".join(r.choices(pieces, k=r.randint(0, 25))) for _ in range(r.randint(1, 3))]
+        x = subjects.Block(subjects.block([1] * len(texts), [subjects.spaced(t) for t in texts], [None] * len(texts)), 0)
+        words, got = iter([x.words[n] for n in x.terms]), []
+        sizes = iter(x.sizes)
+        for parts, total in zip(x.parts, x.totals):
+            got.append(([[next(words) for _ in range(next(sizes))] for _ in range(parts)], total))
+        assert got == coded_as_defined(texts), texts
+        own = iter(zip(x.own, x.times))
+        for n, (passages, _) in zip(x.distinct, got):
+            flat = [w for p in passages for w in p]
+            assert {x.words[i]: t for i, t in (next(own) for _ in range(n))} == {w: flat.count(w) for w in flat}
+
+
+def test_subjects_read_each_token_once_and_updates_read_bytes(spark, monkeypatch):
+    """p9_found took more CPU time than it may: odd sentences went to the expressions one by one, and every update had each number of every array handed over."""
+    import numpy as np
+
+    calls = []
+
+    class Counted:
+        def findall(self, s, find=subjects.WORD.findall):
+            calls.append(s)
+            return find(s)
+
+    monkeypatch.setattr(subjects, "WORD", Counted())
+    m = subjects.SubjectModel(["a", "b"], {"odd-mark": 0, "plain": 1}, np.eye(2))
+    terms, counts, _, totals = m.code(["An odd-mark and a/b stand in plain text_here. " * 50] * 40)
+    assert (terms[0][:2], counts[0], totals[0]) == ([0, 1], [2] * 50, 500)
+    assert len(calls) < 20  # 2,000 sentences, four odd tokens and the marks
+
+    kinds = dict(subjects.coded(spark.createDataFrame([(1, "One text.")], "doc_id long, text string"), "doc_id", "text").dtypes)
+    assert all(kinds[c] == "binary" for c in "totals parts sizes terms distinct own times label_doc label".split()) and kinds["words"] == "string"

@@ -29,10 +29,12 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,62 +42,51 @@ from weftline.session import broadcastable, cut, written
 
 WORD = re.compile(r"(?<![\w/+=])[^\W\d_]+(?:-[^\W\d_]+)*(?![\w/+=])")
 ALL = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-CUT = re.compile(r"(?<=[.!?…;])[\"'”»’)\]]*\s+|\n")
+CUT = re.compile(r"[.!?…;][\"'”»’)\]]*\s")  # sentences end here and at every new line; the pattern begins with a set of characters, which is found fast
 TARGET = re.compile(r"\]\([^)]*\)|https?://\S+|<[^>\n]{1,200}>")
 
 
 #: Characters that only part words, but for those that make a word part of an address or formula (``WORD``), hyphens and underscores.
 PARTING = {ord(c): " " for c in "\t\r\f\v!\"#$%&'()*,.:;<>?@[\\]^`{|}~"}
-PARTING_TOO = "’“”‘…—–«».,!?:;'\"()#*[]%"
+PARTING_TOO = "’“”‘…—–«».,!?:;'\"()#*[]%|"
+SENTENCE, TEXT = "|", "||"  # tokens that end a sentence and a text; no other token holds the character
 
 
-def words_of(sentence: str) -> tuple[list[str], int]:
-    """``WORD``'s words of a sentence and how many ``ALL`` finds. In a sentence of letters, digits, single hyphens inside words or
-    numbers, and parting characters alone both are read off its parts, which takes a fraction of the expressions' time."""
-    s = sentence.lower()
-    if s.isascii():
-        x = s.translate(PARTING)
-    else:
-        x = s
-        for c in PARTING_TOO:
-            x = x.replace(c, " ")
-    parts = x.split()
-    flat = "".join(parts)
-    if flat.isalpha():
-        return parts, len(parts)
-    if "-" not in flat or "--" not in x:
-        words = []
-        for w in parts:
-            if w.isalpha():
-                words.append(w)
-            elif "-" in w:
-                if w[0] == "-" or w[-1] == "-":
-                    break
-                both = w.replace("-", "")
-                if both.isalpha():
-                    words.append(w)
-                elif not both.isdecimal():
-                    break
-            elif not (w.isdecimal() or w.isascii() and w.isalnum()):
-                break
-        else:
-            return words, len(parts)
-    return WORD.findall(s), len(ALL.findall(sentence))
-
-
-def sentences_of(text: str) -> tuple[list[list[str]], int]:
-    """Words of each sentence and the number of words of the text."""
+def spaced(text: str) -> tuple[str, int]:
+    """A text's tokens, each sentence ended by ``SENTENCE``, and the words that small letters make less of it: neither expression
+    looks across space, so that every token can be read alone."""
     if "&" in text:
         text = html.unescape(text)
     if "](" in text or "://" in text or "<" in text:
         text = TARGET.sub(" ", text)
-    out, total = [], 0
-    for s in CUT.split(text):
-        words, n = words_of(s)
-        total += n
-        if words:
-            out.append(words)
-    return out, total
+    x = CUT.sub("\n", text).lower()
+    less = len(ALL.findall(text)) - len(ALL.findall(x)) if "İ" in text else 0  # its small form is two characters
+    if x.isascii():
+        x = x.translate(PARTING)
+    else:
+        for c in PARTING_TOO:
+            x = x.replace(c, " ")
+    return x.replace("\n", f" {SENTENCE} "), less
+
+
+def read_token(token: str) -> tuple[list[str], int]:
+    """``WORD``'s words of a token and how many ``ALL`` finds."""
+    if token.isalpha():
+        return [token], 1
+    if token.isdecimal() or token.isascii() and token.isalnum():
+        return [], 1
+    return WORD.findall(token), len(ALL.findall(token))
+
+
+known_token = lru_cache(1 << 16)(read_token)  # for short tokens, so that what it holds has a bound
+SHORT = 40
+
+
+def words_of(text: str) -> tuple[list[str], int]:
+    """``WORD``'s words of a text and how many ``ALL`` finds."""
+    x, less = spaced(text)
+    read = [read_token(t) for t in x.split() if t != SENTENCE]
+    return [w for words, _ in read for w in words], sum(n for _, n in read) + less
 
 
 def informative(h: np.ndarray) -> np.ndarray:
@@ -144,15 +135,15 @@ class SubjectModel:
         self.subjects, self.vocabulary, self.h = subjects, vocabulary, h  # h: terms by components
         self.weight = informative(h) if weight is None else weight
 
-    def among(self, words: list[str] | np.ndarray) -> tuple[np.ndarray, SubjectModel]:
+    def among(self, words: list[str]) -> tuple[np.ndarray, SubjectModel]:
         """Positions of words in the vocabulary, -1 for others, and the model with these words for terms."""
-        at = np.fromiter((self.vocabulary.get(w, -1) for w in list(words)), np.int64, len(words))
+        at = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         return at, SubjectModel(self.subjects, {}, self.h[at].astype(np.float32), self.weight[at].astype(np.float32))
 
     def code(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[list[int]], list[int]]:
         """Of each text the terms of its passages one after the other, how many each passage has, the passages' words, and
         all words."""
-        x = Block(block([None] * len(texts), [sentences_of(t) for t in texts], [None] * len(texts)), 0)
+        x = Block(block([None] * len(texts), [spaced(t) for t in texts], [None] * len(texts)), 0)
         at, _ = self.among(x.words)
         terms, counts, sizes, owner = x.passages(at)
         of = np.repeat(owner, counts)
@@ -184,35 +175,60 @@ class SubjectModel:
 
 NONE = SubjectModel([], {}, np.ones((0, 0)))
 
-#: A block of documents: ids, all words and number of passages of each; words of each passage, and the passages' words one
-#: after the other by their position in ``words``; of each document the different words and how often each stands there;
-#: the block's different words and how many of its documents hold each; labels as pairs of document and subject.
+#: A block of documents: how many they are and how many labels they carry; ids, all words and number of passages of each; words
+#: of each passage, and the passages' words one after the other by their position in ``words``; of each document the different
+#: words and how often each stands there; the block's different words, parted by new lines, and how many of its documents hold
+#: each; labels as pairs of document and subject. Numbers that only Python reads are ``packed``, as every update reads them and the
+#: JVM would hand over each number of an array by itself.
 CODED = (
-    "doc_ids array<bigint>, totals array<int>, parts array<int>, sizes array<int>, terms array<int>, distinct array<int>, own array<int>, times array<int>, "
-    "words array<string>, df array<int>, label_doc array<int>, label array<int>"
+    "docs int, labelled int, doc_ids array<bigint>, totals binary, parts binary, sizes binary, terms binary, distinct binary, own binary, times binary, "
+    "words string, df array<int>, label_doc binary, label binary"
 )
-BLOCK_DOCS, BLOCK_WORDS = 256, 1 << 15
+BLOCK_DOCS, BLOCK_WORDS = 256, 1 << 16  # a block is full from either on; words as the spaces of ``spaced`` tell
+
+
+def packed(v: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the fewest bytes that hold the largest; how many these are stands before."""
+    v = v.astype(np.min_scalar_type(int(v.max(initial=0))))
+    return bytes([v.itemsize]) + v.tobytes()
 
 
-def block(ids: list, read: list[tuple[list[list[str]], int]], labels: list) -> pa.RecordBatch:
-    """One block of documents, of each its words by sentence and their number."""
+def unpacked(v: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(v, f"u{v[0]}", offset=1).astype(np.int64)
+
+
+def block(ids: list, texts: list[tuple[str, int]], labels: list) -> pa.RecordBatch:
+    """One block of documents, of each its ``spaced`` text."""
+    tokens = pc.split_pattern(pa.array(["".join([f"{x} {SENTENCE} {TEXT} " for x, _ in texts])]), " ").values.dictionary_encode()
+    each, tokens = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
+    end, last = (each.index(x) for x in (SENTENCE, TEXT))
+    read = [known_token(t) if len(t) <= SHORT else read_token(t) for t in each]
+    held, every = np.array([len(words) for words, _ in read]), np.array([n for _, n in read])
     index: defaultdict[str, int] = defaultdict()
     index.default_factory = index.__len__  # a new word gets the next position
-    at = index.__getitem__
-    terms = np.fromiter(map(at, chain.from_iterable(chain.from_iterable(passages for passages, _ in read))), np.int64)
-    sizes = [len(words) for passages, _ in read for words in passages]
-    long = [sum(map(len, passages)) for passages, _ in read]
-    times = np.bincount(np.repeat(np.arange(len(read)), long) * len(index) + terms)
-    keys = np.flatnonzero(times)
-    times, (doc, own) = times[keys], np.divmod(keys, max(1, len(index)))
+    flat = np.fromiter(map(index.__getitem__, chain.from_iterable(words for words, _ in read)), np.int64)
+
+    counts, starts = held[tokens], np.cumsum(held) - held
+    some = tokens[counts > 0]
+    terms = flat[starts[some]] if held.max() < 2 else flat[np.repeat(starts[some] - np.cumsum(held[some]) + held[some], held[some]) + np.arange(counts.sum())]
+    ends, texts_end = np.flatnonzero(tokens == end), np.flatnonzero(tokens == last)
+    upto = np.cumsum(counts)
+    sizes = np.diff(upto[ends], prepend=0)
+    parts = np.diff(np.searchsorted(ends[sizes > 0], texts_end), prepend=0)
+    totals = np.diff(np.cumsum(every[tokens])[texts_end], prepend=0) + [less for _, less in texts]
+    keys, times = np.unique(np.repeat(np.arange(len(texts)), np.diff(upto[texts_end], prepend=0)) * len(index) + terms, return_counts=True)
+    doc, own = np.divmod(keys, max(1, len(index)))
     pairs = [(n, k) for n, y in enumerate(labels) for k in y or ()]
-    values = {
-        "totals": [n for _, n in read], "parts": [len(p) for p, _ in read], "sizes": sizes, "terms": terms, "distinct": np.bincount(doc, minlength=len(read)),
-        "own": own, "times": times, "df": np.bincount(own, minlength=len(index)), "label_doc": [n for n, _ in pairs], "label": [k for _, k in pairs],
+    made = {
+        "totals": totals, "parts": parts, "sizes": sizes[sizes > 0], "terms": terms, "distinct": np.bincount(doc, minlength=len(texts)), "own": own, "times": times,
+        "label_doc": np.array([n for n, _ in pairs], np.int64), "label": np.array([k for _, k in pairs], np.int64),
     }
-    made = {k: pa.array(np.asarray(v, np.int32)) for k, v in values.items()} | {"doc_ids": pa.array(ids, pa.int64()), "words": pa.array(list(index), pa.string())}
-    names = [c.split()[0] for c in CODED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(made[n])], pa.int32()), made[n]) for n in names], names=names)
+    row = {k: packed(v) for k, v in made.items()} | {"docs": len(ids), "labelled": len(pairs), "doc_ids": ids, "words": "\n".join(index), "df": np.bincount(own, minlength=len(index))}
+    return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in SCHEMA], schema=SCHEMA)
+
+
+ARROW = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+SCHEMA = pa.schema([(name, ARROW[kind]) for name, kind in map(str.split, CODED.split(", "))])
 
 
 class Block:
@@ -220,8 +236,8 @@ class Block:
 
     def __init__(self, x: pa.RecordBatch, row: int):
         for n, name in enumerate(x.schema.names):
-            v = x.column(n)[row].values
-            setattr(self, name, v if name == "doc_ids" else v.to_numpy(zero_copy_only=False))
+            v = x.column(n)[row]
+            setattr(self, name, v.as_py().split("\n") if name == "words" else v.values if name == "doc_ids" else unpacked(v.as_buffer()) if pa.types.is_binary(v.type) else v)
 
     def passages(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Known words of passages that have any, how many each has, the passages' words and their documents."""
@@ -255,18 +271,18 @@ def coded(documents: DataFrame, doc_id: str, text: str, labels: DataFrame | None
         rows = rows.join(F.broadcast(labels) if few else labels, "id", "left").select("id", "text", "labels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, read, labels, words = [], [], [], 0
+        ids, texts, labels, words = [], [], [], 0
         for b in batches:
             for n, t, y in zip(*[b.column(c).to_pylist() for c in range(3)]):
                 ids.append(n)
                 labels.append(y)
-                read.append(sentences_of(t))
-                words += read[-1][1]
+                texts.append(spaced(t))
+                words += texts[-1][0].count(" ")
                 if len(ids) >= BLOCK_DOCS or words >= BLOCK_WORDS:
-                    yield block(ids, read, labels)
-                    ids, read, labels, words = [], [], [], 0
+                    yield block(ids, texts, labels)
+                    ids, texts, labels, words = [], [], [], 0
         if ids:
-            yield block(ids, read, labels)
+            yield block(ids, texts, labels)
 
     return rows.mapInArrow(run, CODED)
 
@@ -312,11 +328,11 @@ def _positions(labels: DataFrame, subjects: DataFrame) -> tuple[list[str], DataF
 
 def learned(rows: DataFrame, names: list[str], rounds: int = 30, anchor: float = 0.1, free: int = 1, most: int = 8, inner: int = 3, still: float = 1e-3, seed: int = 3) -> SubjectModel:
     """Factor all coded documents."""
-    n, labelled = rows.agg(F.sum(F.size("doc_ids")), F.sum(F.size("label_doc"))).first()
+    n, labelled = rows.agg(F.sum("docs"), F.sum("labelled")).first()
     if not names or not labelled:
         return NONE
     least = 3 if n > 300 else 2
-    words = rows.select(F.explode(F.arrays_zip("words", "df")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.df").alias("n")).where(F.col("n") >= least).select("word")
+    words = rows.select(F.explode(F.arrays_zip(F.split("words", "\n").alias("words"), "df")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.df").alias("n")).where(F.col("n") >= least).select("word")
     vocabulary = {w: i for i, w in enumerate(sorted(words.toArrow().column(0).to_pylist()))}
     if not vocabulary:
         return NONE
